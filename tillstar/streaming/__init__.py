@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The modelled pipeline has no stream source, watermark, event-time window or
+state: every run is a full batch rebuild of the star. Nothing here is built
+on purpose (see README, "Not built").
+"""
