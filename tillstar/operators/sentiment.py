@@ -97,12 +97,18 @@ def rule_table(spark: SparkSession, lexicon: DataFrame) -> DataFrame:
     return lex.join(fixed, "token", "full_outer")
 
 
+# A token is a whitespace-separated word with leading characters that are not
+# letters/digits and trailing characters that are not letters/digits/apostrophes
+# removed. One split does it: the delimiter absorbs such edges around the
+# whitespace, and the text's own edges are stripped first.
+_EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}']+$"
+_DELIM = r"[^\p{L}\p{N}']*\s+[^\p{L}\p{N}]*"
+
+
 def tokenize(text: Column) -> Column:
     """Lower-cased whitespace tokens with edge punctuation stripped."""
-    toks = F.split(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"\s+")
-    toks = F.transform(toks, lambda t: F.regexp_replace(
-        t, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}']+$", ""))
-    return F.filter(toks, lambda t: t != "")
+    t = F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), _EDGES, "")
+    return F.array_remove(F.split(t, _DELIM), "")
 
 
 def _count_char(text: Column, ch: str) -> Column:
@@ -153,12 +159,8 @@ def score_reviews(reviews: DataFrame, rules: DataFrame, *, id_col: str = "review
 
     Output: ``id_col``, ``keep`` columns, ``sentiment_score``.
     """
-    spark = reviews.sparkSession
     n_rules = rules.count()
-    if n_rules > LEXICON_BROADCAST_MAX_ROWS:
-        rules_side = rules  # large lexicon: let the planner shuffle-join it
-    else:
-        rules_side = F.broadcast(rules)
+    rules_side = F.broadcast(rules) if n_rules <= LEXICON_BROADCAST_MAX_ROWS else rules
 
     base = reviews.select(
         F.col(id_col), *[F.col(c) for c in keep],

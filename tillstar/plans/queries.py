@@ -752,13 +752,13 @@ def q_page_headings(spark, sf):
 def q_competitor_listings(spark, sf):
     from tillstar.operators import extract
     from tillstar.sources.tables import read_table
-    return extract.competitor_listings(read_table(spark, sf, "pages", ["page_id", "html"]))
+    return extract.competitor_listings(read_table(spark, sf, "pages", ["page_id", "html"], spread=True))
 
 
 def _invoices(spark, sf):
     from tillstar.operators import extract
     from tillstar.sources.tables import read_table
-    docs = read_table(spark, sf, "documents", ["doc_id", "text"])
+    docs = read_table(spark, sf, "documents", ["doc_id", "text"], spread=True)
     return extract.parse_invoices(docs.withColumnRenamed("doc_id", "source_file"))
 
 

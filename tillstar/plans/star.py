@@ -25,7 +25,9 @@ store and product dimensions keeps; ``customer_known`` the same for customers.
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
+import time
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +59,7 @@ class Warehouse:
 
     spark: SparkSession
     root: str
+    timings: dict[str, float] = field(default_factory=dict)
 
     def path(self, name: str) -> str:
         return os.path.join(self.root, name)
@@ -192,6 +195,18 @@ def sales_from_orders(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
 # Build
 # --------------------------------------------------------------------------
 
+_TIMINGS: dict[str, float] = {}
+
+
+@contextmanager
+def _step(name: str):
+    t = time.perf_counter()
+    try:
+        yield
+    finally:
+        _TIMINGS[name] = round(time.perf_counter() - t, 3)
+
+
 def _write(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
     w = df.write.mode("overwrite")
     if partition_by:
@@ -204,15 +219,18 @@ def build_dimensions(spark: SparkSession, sf_dir: str, root: str) -> dict[str, D
     part = read_table(spark, sf_dir, "part",
                       ["p_partkey", "p_name", "p_brand", "p_type", "p_retailprice"])
     products = products_from_part(part)
-    n_products = part.count()
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
-    senti = sentiment.analyze_sentiment(reviews_from_documents(docs, max(n_products, 1)))
-    senti = _write(senti, os.path.join(root, "product_review_stats"))
-    matches = matching.match_competitors(products, competitor_catalogue(part))
-    gaps = matching.price_gap(products.select("product_id", "unit_price"), matches)
-    dim_product = _write(dims.build_dim_product(products, senti, gaps),
-                         os.path.join(root, "dim_product"))
-
+    with _step("sentiment"):
+        n_products = part.count()
+        docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"], spread=True)
+        senti = sentiment.analyze_sentiment(reviews_from_documents(docs, max(n_products, 1)))
+        senti = _write(senti, os.path.join(root, "product_review_stats"))
+    with _step("dim_product"):
+        matches = matching.match_competitors(products, competitor_catalogue(part))
+        gaps = matching.price_gap(products.select("product_id", "unit_price"), matches)
+        dim_product = _write(dims.build_dim_product(products, senti, gaps),
+                             os.path.join(root, "dim_product"))
+
+    t_geo = time.perf_counter()
     geo = geography(spark, sf_dir)
     supplier = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"])
     targets = clean.clean_targets(target_sheet(supplier))
@@ -223,11 +241,14 @@ def build_dimensions(spark: SparkSession, sf_dir: str, root: str) -> dict[str, D
     customer = read_table(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_nationkey"])
     dim_customer = _write(dims.build_dim_customer(customers_from_customer(customer, geo)),
                           os.path.join(root, "dim_customer"))
+    _TIMINGS["dim_store_customer"] = round(time.perf_counter() - t_geo, 3)
     return {"dim_product": dim_product, "dim_store": dim_store, "dim_customer": dim_customer}
 
 
 def build_fact(spark: SparkSession, sf_dir: str, root: str, d: dict[str, DataFrame]) -> DataFrame:
-    lineitem = read_table(spark, sf_dir, "lineitem")
+    lineitem = read_table(spark, sf_dir, "lineitem",
+                          ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                           "l_quantity", "l_extendedprice", "l_discount"], spread=True)
     orders = read_table(spark, sf_dir, "orders")
     sales = sales_from_orders(lineitem, orders)
 
@@ -254,13 +275,20 @@ def build_fact(spark: SparkSession, sf_dir: str, root: str, d: dict[str, DataFra
                 .withColumn("category", F.lower(F.trim("category_name")))
                 .withColumn("month", F.trunc("full_date", "month")))
 
-    totals = facts.category_month_revenue(enriched)
-    totals = _write(totals, os.path.join(root, "category_month_revenue"))
-    spend = clean.spend_per_category_month(
-        clean.harmonize_currency(clean.clean_marketing(marketing_sheet(totals))))
-    spend = _write(spend, os.path.join(root, "marketing_spend"))
-    cm = totals.join(spend, ["category", "month"], "left")
-    cm = facts.bounded_broadcast(cm)
+    # Totals need only revenue, date and category: a narrow plan of its own
+    # (sales JOIN product category), not the fully enriched rows.
+    narrow = (sales.select("product_id", "full_date", "total_revenue")
+              .join(prod.select("product_id", "category_name"), "product_id", "left")
+              .select(F.lower(F.trim("category_name")).alias("category"),
+                      F.trunc("full_date", "month").alias("month"), "total_revenue"))
+    with _step("category_month_totals"):
+        totals = facts.category_month_revenue(narrow)
+        totals = _write(totals, os.path.join(root, "category_month_revenue"))
+        spend = clean.spend_per_category_month(
+            clean.harmonize_currency(clean.clean_marketing(marketing_sheet(totals))))
+        spend = _write(spend, os.path.join(root, "marketing_spend"))
+        cm = totals.join(spend, ["category", "month"], "left")
+        cm = facts.bounded_broadcast(cm)
 
     fact = facts.profit_columns(facts.allocate_marketing(enriched, cm))
     attrs = date_attributes(F.col("full_date"))
@@ -278,13 +306,16 @@ def build_fact(spark: SparkSession, sf_dir: str, root: str, d: dict[str, DataFra
         (F.coalesce("_p", F.lit(False)) & F.coalesce("_s", F.lit(False))
          & F.col("full_date").isNotNull()).alias("in_star"),
         F.coalesce("_c", F.lit(False)).alias("customer_known"))
-    return _write(fact, os.path.join(root, "fact_sales"), partition_by="year")
+    with _step("fact_write"):
+        return _write(fact, os.path.join(root, "fact_sales"), partition_by="year")
 
 
 def build_warehouse(spark: SparkSession, sf_dir: str, root: str | None = None) -> Warehouse:
     root = root or scratch_path(spark, "warehouse")
+    _TIMINGS.clear()
     d = build_dimensions(spark, sf_dir, root)
     fact = build_fact(spark, sf_dir, root, d)
-    _write(dims.build_dim_date(fact), os.path.join(root, "dim_date"))
-    _write(facts.marketing_roi_monthly(fact), os.path.join(root, "marketing_roi"))
-    return Warehouse(spark, root)
+    with _step("dim_date_roi"):
+        _write(dims.build_dim_date(fact), os.path.join(root, "dim_date"))
+        _write(facts.marketing_roi_monthly(fact), os.path.join(root, "marketing_roi"))
+    return Warehouse(spark, root, dict(_TIMINGS))
