@@ -78,7 +78,9 @@ def match_competitors(products: DataFrame, catalogue: DataFrame,
         if len(rows) >= 4 * chunk_rows:
             raise ValueError("catalogue chunk exceeds its size bound")
         cands = [(int(r[0]), r[1]) for r in rows]
-        parts.append(rest.mapInPandas(_scorer(cands), _SCORE_SCHEMA))
+        key_type = prods.schema["product_id"].dataType.simpleString()
+        parts.append(rest.mapInPandas(
+            _scorer(cands), f"product_id {key_type}, ordinal long, match_score int"))
     if parts:
         scored = parts[0]
         for p in parts[1:]:
@@ -101,15 +103,12 @@ def match_competitors(products: DataFrame, catalogue: DataFrame,
             .join(prices, "_lname", "left").drop("_lname"))
 
 
-_SCORE_SCHEMA = "product_id long, ordinal long, match_score int"
-
-
 def _scorer(cands):
     def run(batches):
         for pdf in batches:
             out = [fuzzy.best_match(n, cands) for n in pdf["product_name"]]
             yield pd.DataFrame({
-                "product_id": pdf["product_id"].astype("int64"),
+                "product_id": pdf["product_id"],
                 "ordinal": pd.array([o for o, _ in out], dtype="Int64"),
                 "match_score": pd.array([s for _, s in out], dtype="int32"),
             })

@@ -727,9 +727,19 @@ def q_page_anchors(spark, sf):
     return extract.page_anchors(read_table(spark, sf, "pages", ["page_id", "url", "html"]))
 
 
+_PAGINATION_SQL = """
+SELECT page_id, url,
+       coalesce(NULLIF(regexp_extract(html, '<div[^>]*class="[^"]*pagination[^"]*"[^>]*>(.*?)</div>', 1), ''),
+                NULLIF(regexp_extract(html, '<ul[^>]*class="[^"]*pagination[^"]*"[^>]*>(.*?)</ul>', 1), ''),
+                CASE WHEN regexp_matches(regexp_extract(html, '<nav[^>]*>(.*?)</nav>', 1), 'Previous|Next')
+                     THEN regexp_extract(html, '<nav[^>]*>(.*?)</nav>', 1) END, '') AS html
+FROM pages"""
+
+
 @register("page_links", f"""
 SELECT page_id, position, CAST(text AS INTEGER) AS page_number, absolute_url AS page_url
-FROM (SELECT *, min(position) OVER (PARTITION BY page_id, href) AS first_pos FROM ({_ANCHORS_SQL})
+FROM (SELECT *, min(position) OVER (PARTITION BY page_id, href) AS first_pos
+      FROM ({_ANCHORS_SQL.replace("FROM pages", "FROM (" + _PAGINATION_SQL + ")")})
       WHERE regexp_matches(text, '^[0-9]+$') AND href <> '' AND TRY_CAST(text AS BIGINT) > 1)
 WHERE position = first_pos""")
 def q_page_links(spark, sf):
