@@ -50,3 +50,24 @@ def test_entry_smoke(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
     assert df.count() >= 0 and "monthly_revenue" in df.columns
+
+
+def test_invoice_sql_matches_spark_on_fixture(spark):
+    """The driver documents hold almost no invoice fields, so the parser's
+    SQL oracle is also compared with Spark on the literal invoices."""
+    import duckdb
+
+    import __spark_entry__ as E
+    from test_extract import INVOICES
+    from tillstar.operators import extract
+    from tillstar.sources.tables import DRIVER_TABLES
+    con = duckdb.connect()
+    for t in DRIVER_TABLES:
+        if t != "documents":
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    con.execute("CREATE TABLE documents (doc_id VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", INVOICES)
+    duck = sorted(con.execute(E.oracle_sql()["invoice_fields"]).fetchall(), key=lambda r: r[0])
+    df = spark.createDataFrame(INVOICES, "source_file string, text string")
+    sp = sorted((tuple(r) for r in extract.parse_invoices(df).collect()), key=lambda r: r[0])
+    assert sp == duck

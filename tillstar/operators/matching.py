@@ -68,7 +68,7 @@ def match_competitors(products: DataFrame, catalogue: DataFrame,
 
     # 2. fuzzy pass on the rest, chunk by chunk.
     rest = prods.join(exact.select("product_id"), "product_id", "left_anti")
-    n_cat = cat.count()
+    n_cat = 0 if rest.isEmpty() else cat.count()
     parts = []
     n_chunks = max(1, -(-n_cat // chunk_rows))
     for i in range(n_chunks if n_cat else 0):

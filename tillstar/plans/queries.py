@@ -781,3 +781,89 @@ def q_invoice_fields(spark, sf):
 def q_invoice_summary(spark, sf):
     from tillstar.operators import extract
     return extract.invoice_summary(_invoices(spark, sf))
+
+
+def _invoice_sql() -> str:
+    from tillstar.operators import extract as X
+
+    def q(s):
+        return "'" + s.replace("'", "''") + "'"
+
+    known = ", ".join(
+        f"CASE WHEN NULLIF(regexp_extract(t, {q(p)}, 1), '') IS NOT NULL THEN "
+        f"{q(tpl.split('{}')[0])} || regexp_extract(t, {q(p)}, 1) || {q(tpl.split('{}')[1])} END"
+        for p, tpl in X.KNOWN_PRODUCTS)
+    falsy = lambda c: f"({c} IS NULL OR {c} = 0)"
+    return f"""
+, inv0 AS (SELECT doc_id AS source_file, coalesce(text, '') AS t FROM documents),
+inv1 AS (
+  SELECT source_file, t,
+         list_filter(list_transform(string_split(t, chr(10)),
+                                    lambda l: regexp_replace(l, '^\\s+|\\s+$', '', 'g')),
+                     lambda l: l <> '') AS lines
+  FROM inv0),
+inv2 AS (
+  SELECT *,
+    list_filter(list_transform(lines, lambda l, i: {{'i': i, 'l': l}}),
+                lambda s: regexp_matches(lower(s.l), {q(X.CLIENT_LINE_RE)})
+                          AND regexp_matches(s.l, {q(X.CLIENT_ID_RE)}))[1] AS idl,
+    list_filter(list_transform(lines, lambda l, i: {{'i': i, 'n': NULLIF(regexp_extract(l, {q(X.NAME_RE)}, 1), '')}}),
+                lambda s: s.n IS NOT NULL AND NOT regexp_matches(s.n, {q(X.NAME_EXCLUDED_RE)}))[1] AS nb,
+    list_filter(list_transform(lines, lambda l: {{
+        'p': trim(regexp_extract(l, {q(X.PRODUCT_LINE_RE)}, 1)),
+        'q': regexp_extract(l, {q(X.PRODUCT_LINE_RE)}, 2),
+        'u': regexp_extract(l, {q(X.PRODUCT_LINE_RE)}, 3),
+        't': regexp_extract(l, {q(X.PRODUCT_LINE_RE)}, 4),
+        'm': regexp_matches(l, {q(X.PRODUCT_LINE_RE)})}}),
+        lambda s: s.m AND NOT regexp_matches(s.p, {q(X.PRODUCT_HEADER_RE)}))[1] AS prod,
+    list_filter(lines, lambda l: regexp_matches(l, {q(X.FALLBACK_NAME_RE)})
+                                 AND NOT regexp_matches(l, {q(X.FALLBACK_NAME_EXCLUDED_RE)}))[1] AS name_fb,
+    list_transform(regexp_extract_all(t, {q(X.NUMBER_RE)}, 1), lambda x: TRY_CAST(x AS BIGINT)) AS nums
+  FROM inv1),
+inv3 AS (
+  SELECT source_file,
+    NULLIF(regexp_extract(t, {q(X.DATE_RE)}, 1), '') AS date,
+    NULLIF(regexp_extract(t, {q(X.ORDER_RE)}, 1), '') AS order_reference,
+    coalesce(NULLIF(regexp_extract(idl.l, {q(X.CLIENT_ID_RE)}, 1), ''),
+             NULLIF(regexp_extract(t, {q(X.FALLBACK_CLIENT_RE)}, 1), '')) AS customer_id,
+    coalesce(CASE WHEN na IS NOT NULL AND (nb IS NULL OR idl.i <= nb.i) THEN trim(na) ELSE trim(nb.n) END,
+             name_fb) AS customer_name,
+    coalesce(NULLIF(prod.p, ''), {known}) AS product_name,
+    CAST(NULLIF(prod.q, '') AS INTEGER) AS q0, CAST(NULLIF(prod.u, '') AS DOUBLE) AS u0,
+    CAST(NULLIF(prod.t, '') AS DOUBLE) AS t0,
+    list_filter(nums, lambda n: n BETWEEN {X.SMALL_RANGE[0]} AND {X.SMALL_RANGE[1]}) AS small,
+    list_filter(nums, lambda n: n BETWEEN {X.LARGE_RANGE[0]} AND {X.LARGE_RANGE[1]}) AS large
+  FROM (SELECT *, CASE WHEN contains(lower(lines[idl.i + 1]), 'nom')
+                       THEN NULLIF(regexp_extract(lines[idl.i + 1], {q(X.NAME_RE)}, 1), '') END AS na
+        FROM inv2)),
+inv4 AS (
+  SELECT *,
+    CAST(CASE WHEN ({falsy('q0')} OR {falsy('t0')}) AND {falsy('q0')} AND len(small) > 0 THEN small[1]
+              ELSE q0 END AS INTEGER) AS q1,
+    CASE WHEN ({falsy('q0')} OR {falsy('t0')}) AND len(large) >= 2 AND {falsy('u0')}
+         THEN CAST(large[1] AS DOUBLE) ELSE u0 END AS u1,
+    CASE WHEN ({falsy('q0')} OR {falsy('t0')}) AND len(large) >= 2 AND {falsy('t0')} THEN CAST(large[2] AS DOUBLE)
+         WHEN ({falsy('q0')} OR {falsy('t0')}) AND len(large) = 1 AND {falsy('t0')} THEN CAST(large[1] AS DOUBLE)
+         ELSE t0 END AS t1
+  FROM inv3),
+inv5 AS (
+  SELECT *, CASE WHEN NOT {falsy('q1')} AND NOT {falsy('u1')} AND {falsy('t1')} THEN q1 * u1 ELSE t1 END AS t2
+  FROM inv4),
+inv6 AS (
+  SELECT *, CASE WHEN NOT {falsy('q1')} AND NOT {falsy('t2')} AND {falsy('u1')}
+                 THEN t2 / CAST(q1 AS DOUBLE) ELSE u1 END AS u2
+  FROM inv5),
+invoices AS (
+  SELECT source_file, date, order_reference, customer_id, customer_name, product_name,
+    CASE WHEN NOT {falsy('q1')} AND NOT {falsy('u2')} AND NOT {falsy('t2')}
+              AND abs(q1 * u2 - t2) > {X.TOTAL_TOLERANCE}
+              AND round_even(t2 / u2, 0) BETWEEN {X.QTY_RANGE[0]} AND {X.QTY_RANGE[1]}
+         THEN CAST(round_even(t2 / u2, 0) AS INTEGER) ELSE q1 END AS quantity,
+    u2 AS unit_price, t2 AS total_revenue
+  FROM inv6)
+"""
+
+
+ORACLE["invoice_fields"] = BASE + _invoice_sql() + "SELECT * FROM invoices"
+ORACLE["invoice_summary"] = (BASE + _invoice_sql() + "SELECT count(*) AS invoices, "
+                             + M("sum(CAST(total_revenue AS DECIMAL(18,2)))") + " AS total_revenue FROM invoices")

@@ -60,12 +60,19 @@ class Warehouse:
     spark: SparkSession
     root: str
     timings: dict[str, float] = field(default_factory=dict)
+    _frames: dict[str, DataFrame] = field(default_factory=dict, repr=False)
 
     def path(self, name: str) -> str:
         return os.path.join(self.root, name)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        """The written table; the DataFrame (and its file index, i.e. the
+        partition listing) is created once and shared by every query."""
+        df = self._frames.get(name)
+        if df is None:
+            df = self.spark.read.parquet(self.path(name))
+            self._frames[name] = df
+        return df
 
     @property
     def fact(self) -> DataFrame:
