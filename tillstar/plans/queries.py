@@ -867,3 +867,12 @@ invoices AS (
 ORACLE["invoice_fields"] = BASE + _invoice_sql() + "SELECT * FROM invoices"
 ORACLE["invoice_summary"] = (BASE + _invoice_sql() + "SELECT count(*) AS invoices, "
                              + M("sum(CAST(total_revenue AS DECIMAL(18,2)))") + " AS total_revenue FROM invoices")
+
+
+@register("marketing_spend", f"""
+SELECT category, month_start AS month, CAST(spend_local AS DOUBLE) AS marketing_cost_local FROM spend""")
+def q_marketing_spend(spark, sf):
+    """Cleaned spend sheet (CLN1 + CLN4) aggregated per (category, month)."""
+    return (_wh(spark, sf).table("marketing_spend")
+            .select("category", "month",
+                    F.col("marketing_cost_local").cast("double").alias("marketing_cost_local")))
