@@ -77,14 +77,18 @@ def lexicon_frame(spark: SparkSession, entries=DEFAULT_LEXICON) -> DataFrame:
     return spark.createDataFrame(list(entries), "token string, valence double")
 
 
-def rule_table(spark: SparkSession, lexicon: DataFrame) -> DataFrame:
+def rule_words(boosters_up=BOOSTERS_UP, boosters_down=BOOSTERS_DOWN, negations=NEGATIONS):
+    """(token, boost, negation, but) rows of the fixed word lists."""
+    return ([(w, 1, False, False) for w in boosters_up]
+            + [(w, -1, False, False) for w in boosters_down]
+            + [(w, None, True, False) for w in negations]
+            + [("but", None, False, True)])
+
+
+def rule_table(spark: SparkSession, lexicon: DataFrame, boosters_up=BOOSTERS_UP,
+               boosters_down=BOOSTERS_DOWN, negations=NEGATIONS) -> DataFrame:
     """token -> (valence, boost +1/-1, negation flag, but flag)."""
-    words = (
-        [(w, 1, False, False) for w in BOOSTERS_UP]
-        + [(w, -1, False, False) for w in BOOSTERS_DOWN]
-        + [(w, None, True, False) for w in NEGATIONS]
-        + [("but", None, False, True)]
-    )
+    words = rule_words(boosters_up, boosters_down, negations)
     fixed = spark.createDataFrame(
         words, "token string, boost int, neg boolean, is_but boolean")
     fixed = fixed.groupBy("token").agg(
@@ -227,11 +231,13 @@ def product_sentiment(scored: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).alias("review_count")))
 
 
-def analyze_sentiment(reviews: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+def analyze_sentiment(reviews: DataFrame, lexicon: DataFrame | None = None,
+                      boosters_up=BOOSTERS_UP, boosters_down=BOOSTERS_DOWN,
+                      negations=NEGATIONS) -> DataFrame:
     """TXT1 end to end: reviews(review_id, product_id, rating, review_text)
     -> (product_id, avg_sentiment, avg_rating, review_count)."""
     spark = reviews.sparkSession
     lex = lexicon if lexicon is not None else lexicon_frame(spark)
-    rules = rule_table(spark, lex)
+    rules = rule_table(spark, lex, boosters_up, boosters_down, negations)
     reviews = reviews.withColumn("rating", F.col("rating").try_cast(T.DoubleType()))
     return product_sentiment(score_reviews(reviews, rules))

@@ -29,10 +29,10 @@ def _values(rows, cols) -> str:
     return f"(VALUES {body}) AS t({', '.join(cols)})"
 
 
-_LEX = _values([(t, v) for t, v in sentiment.DEFAULT_LEXICON], ["token", "valence"])
+_LEX = _values([(t, v) for t, v in S.CORPUS_LEXICON], ["token", "valence"])
 _WORDS = _values(
-    [(w, 1, False, False) for w in sentiment.BOOSTERS_UP]
-    + [(w, -1, False, False) for w in sentiment.BOOSTERS_DOWN]
+    [(w, 1, False, False) for w in S.CORPUS_BOOSTERS_UP]
+    + [(w, -1, False, False) for w in S.CORPUS_BOOSTERS_DOWN]
     + [(w, None, True, False) for w in sentiment.NEGATIONS]
     + [("but", None, False, True)], ["token", "boost", "neg", "is_but"])
 _SHIP = _values(list(S.SHIPPING_SHEET), ["region_name", "shipping_cost"])
