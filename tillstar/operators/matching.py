@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tillstar.functions import fuzzy
 from tillstar.functions.money import money
+from tillstar.session import materialize
 
 THRESHOLD = 80
 CHUNK_ROWS = 20_000
@@ -71,6 +72,8 @@ def match_competitors(products: DataFrame, catalogue: DataFrame,
     n_cat = 0 if rest.isEmpty() else cat.count()
     parts = []
     n_chunks = max(1, -(-n_cat // chunk_rows))
+    if n_chunks > 1:
+        rest = materialize(rest, "match_rest")  # scanned once per chunk
     for i in range(n_chunks if n_cat else 0):
         chunk = cat if n_chunks == 1 else cat.where(
             F.pmod(F.xxhash64("ordinal"), F.lit(n_chunks)) == i)

@@ -223,8 +223,8 @@ mkt AS (
          500 + ((year(month_start) * 12 + month(month_start)) * 37 + length(category) * 101 + campaign * 13) % 4000 AS usd
   FROM (SELECT category, month_start,
                unnest(range(1, 2 + (year(month_start) * 12 + month(month_start)) % 2)) AS campaign
-        FROM cm_totals
-        WHERE (year(month_start) * 12 + month(month_start) + length(category)) % 9 <> 0)),
+        FROM (SELECT *, min(month_start) OVER (PARTITION BY category) AS first_month FROM cm_totals)
+        WHERE month_start > first_month)),
 spend AS (
   SELECT category, month_start,
          sum(CAST(ROUND(CAST(usd AS DECIMAL(18,2)) * CAST({clean.USD_TO_LOCAL} AS DECIMAL(12,4)), 2)

@@ -179,12 +179,15 @@ def shipping_sheet(spark: SparkSession) -> DataFrame:
 
 
 def marketing_sheet(cat_months: DataFrame) -> DataFrame:
-    """Raw spend sheet: one or two campaigns per (category, month); a few
-    category-months have no campaign. Cells are text, categories upper-cased
-    and padded as a spreadsheet would hold them."""
+    """Raw spend sheet: one or two campaigns per (category, month); campaigns
+    start after a category's first month of sales, so those months have none.
+    Cells are text, categories upper-cased and padded as a spreadsheet would
+    hold them. ``cat_months`` is the small (category, month) totals table."""
     idx = F.year("month") * 12 + F.month("month")
     cl = F.length("category")
-    rows = (cat_months.where(F.pmod(idx + cl, F.lit(9)) != 0)
+    first = cat_months.groupBy("category").agg(F.min("month").alias("_first"))
+    rows = (cat_months.join(F.broadcast(first), "category")
+            .where(F.col("month") > F.col("_first"))
             .withColumn("campaign", F.explode(F.sequence(F.lit(1), F.lit(1) + F.pmod(idx, F.lit(2))))))
     usd = F.lit(500) + F.pmod(idx * 37 + cl * 101 + F.col("campaign") * 13, F.lit(4000))
     return rows.select(
@@ -328,6 +331,10 @@ def build_fact(spark: SparkSession, sf_dir: str, root: str, d: dict[str, DataFra
         (F.coalesce("_p", F.lit(False)) & F.coalesce("_s", F.lit(False))
          & F.col("full_date").isNotNull()).alias("in_star"),
         F.coalesce("_c", F.lit(False)).alias("customer_known"))
+    # Rows sorted by date inside each year folder: parquet min/max statistics on
+    # full_date then let date-range filters skip row groups, not just years.
+    # The partitioned write sorts by year anyway; the extra key rides along.
+    fact = fact.sortWithinPartitions("year", "full_date")
     with _step("fact_write"):
         return _write(fact, os.path.join(root, "fact_sales"), partition_by="year")
 

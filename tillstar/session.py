@@ -84,3 +84,12 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A fresh, unique sub-path below the checkpoint folder."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "tillstar", *parts, uuid.uuid4().hex)
+
+
+def materialize(df, name: str = "tmp"):
+    """Write ``df`` once to the shared checkpoint folder and read it back: cuts
+    the lineage and lets several later passes reuse the computed rows (a lost
+    executor then re-reads them instead of recomputing the whole plan)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
