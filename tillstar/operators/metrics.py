@@ -18,10 +18,6 @@ from tillstar.functions.money import money
 from tillstar.operators.filters import SalesFilter, apply_filter
 
 
-def _sum(c: str) -> Column:
-    return F.sum(c)
-
-
 def rsum(c: str, scale: int = 2) -> Column:
     """Rounded exact sum."""
     return money(F.sum(c), scale)

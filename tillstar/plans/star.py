@@ -243,7 +243,8 @@ def build_dimensions(spark: SparkSession, sf_dir: str, root: str) -> dict[str, D
     products = products_from_part(part)
     with _step("sentiment"):
         n_products = part.count()
-        docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"], spread=True)
+        docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"], spread=True,
+                          key="doc_id")
         senti = sentiment.analyze_sentiment(
             reviews_from_documents(docs, max(n_products, 1)),
             sentiment.lexicon_frame(spark, CORPUS_LEXICON),

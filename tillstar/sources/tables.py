@@ -19,23 +19,24 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str,
                columns: list[str] | tuple[str, ...] | None = None,
-               spread: bool = False) -> DataFrame:
+               spread: bool = False, key: str | None = None) -> DataFrame:
     """Read one driver table; selecting ``columns`` right away keeps the
     parquet ``ReadSchema`` to what the caller needs. ``spread`` applies
     :func:`ensure_parallelism` (for the large inputs of heavy jobs)."""
     df = spark.read.parquet(table_path(sf_dir, name))
     if columns:
         df = df.select(*columns)
-    return ensure_parallelism(df) if spread else df
+    return ensure_parallelism(df, key) if spread else df
 
 
-def ensure_parallelism(df: DataFrame) -> DataFrame:
-    """Round-robin rebalance when the scan yields fewer splits than the
-    cluster has cores (e.g. one file with one row group). A large input
-    already has at least as many splits and is returned unchanged, so this
-    never adds a shuffle at scale. Round-robin repartitioning sorts rows
-    first, so a retried task gets the same rows."""
+def ensure_parallelism(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Rebalance when the scan yields fewer splits than the cluster has cores
+    (e.g. one file with one row group). A large input already has at least as
+    many splits and is returned unchanged, so this never adds a shuffle at
+    scale. With ``key`` the rows are hash-partitioned on it, so a later
+    grouping on that key reuses the partitioning; without, round-robin
+    (which sorts rows first, so a retried task gets the same rows)."""
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+        return df.repartition(target, key) if key else df.repartition(target)
     return df
