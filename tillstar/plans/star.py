@@ -186,7 +186,7 @@ def marketing_sheet(cat_months: DataFrame) -> DataFrame:
     idx = F.year("month") * 12 + F.month("month")
     cl = F.length("category")
     first = cat_months.groupBy("category").agg(F.min("month").alias("_first"))
-    rows = (cat_months.join(F.broadcast(first), "category")
+    rows = (cat_months.join(first, "category")
             .where(F.col("month") > F.col("_first"))
             .withColumn("campaign", F.explode(F.sequence(F.lit(1), F.lit(1) + F.pmod(idx, F.lit(2))))))
     usd = F.lit(500) + F.pmod(idx * 37 + cl * 101 + F.col("campaign") * 13, F.lit(4000))
@@ -276,7 +276,10 @@ def build_fact(spark: SparkSession, sf_dir: str, root: str, d: dict[str, DataFra
                           ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                            "l_quantity", "l_extendedprice", "l_discount"], spread=True)
     orders = read_table(spark, sf_dir, "orders")
-    sales = sales_from_orders(lineitem, orders)
+    # The order join is the largest shuffle of the build; both the totals pass
+    # and the fact pass need its result, so it is computed once and written.
+    with _step("sales_join"):
+        sales = _write(sales_from_orders(lineitem, orders), os.path.join(root, "sales"))
 
     prod = d["dim_product"].select(
         "product_id", "product_name", "subcategory_name", "category_name", "unit_cost",
