@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillstar.functions.money import money
+from tillstar.sources.tables import literal_table
 
 # Fixed values of the method (published constants).
 BOOSTER_INCREMENT = "0.293"
@@ -74,7 +75,7 @@ _ACC = "decimal(30,12)"
 
 
 def lexicon_frame(spark: SparkSession, entries=DEFAULT_LEXICON) -> DataFrame:
-    return spark.createDataFrame(list(entries), "token string, valence double")
+    return literal_table(spark, [(t, float(v)) for t, v in entries], "token string, valence double")
 
 
 def rule_words(boosters_up=BOOSTERS_UP, boosters_down=BOOSTERS_DOWN, negations=NEGATIONS):
@@ -89,8 +90,7 @@ def rule_table(spark: SparkSession, lexicon: DataFrame, boosters_up=BOOSTERS_UP,
                boosters_down=BOOSTERS_DOWN, negations=NEGATIONS) -> DataFrame:
     """token -> (valence, boost +1/-1, negation flag, but flag)."""
     words = rule_words(boosters_up, boosters_down, negations)
-    fixed = spark.createDataFrame(
-        words, "token string, boost int, neg boolean, is_but boolean")
+    fixed = literal_table(spark, words, "token string, boost int, neg boolean, is_but boolean")
     fixed = fixed.groupBy("token").agg(
         F.max("boost").alias("boost"), F.max("neg").alias("neg"),
         F.max("is_but").alias("is_but"))

@@ -36,7 +36,7 @@ from tillstar.functions.dates import date_attributes
 from tillstar.functions.money import MONEY, dec, money
 from tillstar.operators import clean, dims, facts, matching, sentiment
 from tillstar.session import scratch_path
-from tillstar.sources.tables import read_table
+from tillstar.sources.tables import literal_table, read_table
 
 # Fixed values of our mapping (both the Spark build and the SQL oracle use them).
 COST_RATIO = "0.70"            # unit cost = retail price * ratio
@@ -175,7 +175,7 @@ def customers_from_customer(customer: DataFrame, geo: DataFrame) -> DataFrame:
 
 
 def shipping_sheet(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(SHIPPING_SHEET), "region_name string, shipping_cost string")
+    return literal_table(spark, SHIPPING_SHEET, "region_name string, shipping_cost string")
 
 
 def marketing_sheet(cat_months: DataFrame) -> DataFrame:

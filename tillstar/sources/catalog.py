@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillstar.sources.tables import literal_table
+
 
 def register_views(tables: Mapping[str, DataFrame]) -> None:
     for name, df in tables.items():
@@ -16,7 +18,7 @@ def register_views(tables: Mapping[str, DataFrame]) -> None:
 def table_list(spark: SparkSession) -> DataFrame:
     """SRC9: table and view names, sorted."""
     names = sorted(t.name for t in spark.catalog.listTables())
-    return spark.createDataFrame([(n,) for n in names], "name string")
+    return literal_table(spark, [(n,) for n in names], "name string")
 
 
 def table_schema(spark: SparkSession, table: str) -> DataFrame:
@@ -24,8 +26,8 @@ def table_schema(spark: SparkSession, table: str) -> DataFrame:
     df = spark.table(table)
     rows = [(i, f.name, f.dataType.simpleString(), not f.nullable, None, False)
             for i, f in enumerate(df.schema.fields)]
-    return spark.createDataFrame(
-        rows, "cid int, name string, type string, notnull boolean, dflt_value string, pk boolean")
+    return literal_table(
+        spark, rows, "cid int, name string, type string, notnull boolean, dflt_value string, pk boolean")
 
 
 def row_count(spark: SparkSession, table: str) -> DataFrame:

@@ -40,3 +40,19 @@ def ensure_parallelism(df: DataFrame, key: str | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target, key) if key else df.repartition(target)
     return df
+
+
+def literal_table(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """A small literal table as a JVM-side local relation.
+
+    Built from a pandas frame (Arrow), so scanning it never starts Python
+    workers the way a list-backed frame (a Python RDD) does.
+    """
+    import pandas as pd
+    from pyspark.sql.types import _parse_datatype_string
+
+    st = _parse_datatype_string(schema)
+    names = [f.name for f in st.fields]
+    pdf = pd.DataFrame(list(rows), columns=names, dtype=object) if rows else \
+        pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
+    return spark.createDataFrame(pdf, st)
