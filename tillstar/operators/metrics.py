@@ -106,20 +106,19 @@ def kpi_avg_sentiment_global(dim_product):
 def kpi_bundle(star, dim_product, flt=None):
     """The four headline KPIs in one pass over the star; NULL -> 0; the
     sentiment falls back to the global product average when the filtered
-    one is NULL. Both inputs are global aggregates (exactly one row each), so
-    the join below pairs one row with one row."""
+    one is NULL (a scalar subquery over the product dimension)."""
     df = _f(star, flt)
     g = df.agg(F.sum("total_revenue").alias("_rev"), F.sum("net_profit").alias("_np"),
                F.sum(_target_expr()).alias("_tgt"),
                _sentiment_avg(df).alias("_sent"))
-    glob = kpi_avg_sentiment_global(dim_product).withColumnRenamed("avg_sentiment", "_gsent")
+    glob = kpi_avg_sentiment_global(dim_product).scalar()
     ach = F.when(F.col("_tgt") > 0,
                  money(F.col("_rev").cast("double") * 100.0 / F.col("_tgt").cast("double")))
-    return g.crossJoin(glob).select(
+    return g.select(
         F.coalesce(money("_rev"), F.lit(0.0)).alias("total_revenue"),
         F.coalesce(money("_np"), F.lit(0.0)).alias("net_profit"),
         F.coalesce(ach, F.lit(0.0)).alias("target_achievement"),
-        F.coalesce(F.col("_sent"), F.col("_gsent"), F.lit(0.0)).alias("avg_sentiment"))
+        F.coalesce(F.col("_sent"), glob, F.lit(0.0)).alias("avg_sentiment"))
 
 
 def dashboard_summary(star, flt=None):

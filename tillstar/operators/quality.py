@@ -82,11 +82,8 @@ def table_status(tables: Mapping[str, tuple[DataFrame, Sequence[str] | None]]) -
         miss = reduce(lambda a, b: a + b,
                       [F.sum(F.col(f"`{c}`").isNull().cast("long")) for c in cols])
         base = df.agg(F.count(F.lit(1)).alias("rows"), miss.alias("missing_values"))
-        if key:
-            dups = duplicate_keys(df, key)
-        else:
-            dups = df.sparkSession.range(1).select(F.lit(0).cast("long").alias("duplicate_keys"))
-        row = base.crossJoin(dups)  # one row x one row
+        dups = duplicate_keys(df, key).scalar() if key else F.lit(0).cast("long")
+        row = base.withColumn("duplicate_keys", dups)
         pct = money(F.try_divide(F.col("missing_values") * 100.0,
                                  (F.col("rows") * len(cols)).cast("double")))
         out.append(row.select(

@@ -3,7 +3,7 @@ sentiment / target / profit bands (KPI1-KPI3)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillstar.functions.money import money
@@ -44,8 +44,8 @@ def unpivot(df: DataFrame, ids: list[str], measures: list[str],
 
 
 def share_of_total(df: DataFrame, value: str, out: str = "share_pct") -> DataFrame:
-    """KPI4: value * 100 / total of the (already grouped, small) result."""
-    total = F.sum(value).over(Window.partitionBy())
+    """KPI4: value * 100 / total (a scalar subquery: no single-partition window)."""
+    total = df.agg(F.sum(value)).scalar()
     return df.withColumn(out, money(F.try_divide(F.col(value) * 100.0, total)))
 
 
