@@ -77,6 +77,12 @@ def gauge_band(value, maximum) -> F.Column:
     return F.when(value >= maximum * g, a).when(value >= maximum * o, b).otherwise(GAUGE_ELSE)
 
 
+def gauge_step(value, maximum) -> F.Column:
+    """KPI3: which background step of the gauge the value falls in."""
+    lo, mid = GAUGE_STEPS
+    return F.when(value >= maximum * mid, "high").when(value >= maximum * lo, "mid").otherwise("low")
+
+
 def sentiment_bands(dim_product: DataFrame) -> DataFrame:
     """Products per sentiment band (and face)."""
     s = F.col("avg_sentiment")
@@ -90,5 +96,6 @@ def target_bands(store_ranking: DataFrame, maximum: float = 100.0) -> DataFrame:
     a = F.col("target_achievement_pct")
     return (store_ranking.where(a.isNotNull())
             .groupBy(gauge_band(a, F.lit(maximum)).alias("band"),
+                     gauge_step(a, F.lit(maximum)).alias("step"),
                      target_status(a).alias("status"))
             .agg(F.count(F.lit(1)).alias("store_count")))

@@ -514,9 +514,11 @@ def q_sentiment_bands(spark, sf):
 @register("target_bands", f"""
 SELECT CASE WHEN target_achievement_pct >= 100.0 * 0.9 THEN 'green'
             WHEN target_achievement_pct >= 100.0 * 0.7 THEN 'orange' ELSE 'red' END AS band,
+       CASE WHEN target_achievement_pct >= 100.0 * 0.75 THEN 'high'
+            WHEN target_achievement_pct >= 100.0 * 0.5 THEN 'mid' ELSE 'low' END AS step,
        CASE WHEN target_achievement_pct >= 100 THEN 'reached' ELSE 'below' END AS status,
        count(*) AS store_count
-FROM ({_STORE_RANKING_SQL}) WHERE target_achievement_pct IS NOT NULL GROUP BY 1, 2""")
+FROM ({_STORE_RANKING_SQL}) WHERE target_achievement_pct IS NOT NULL GROUP BY 1, 2, 3""")
 def q_target_bands(spark, sf):
     return SH.target_bands(MT.store_ranking(_wh(spark, sf).star))
 

@@ -298,6 +298,7 @@ def build_fact(spark: SparkSession, sf_dir: str, root: str, d: dict[str, DataFra
 
     enriched = (sales.join(prod, "product_id", "left")
                 .join(cust, "customer_id", "left")
+                # the rate sheet is a fixed literal of a handful of rows
                 .join(F.broadcast(ship), F.lower(F.trim(F.col("customer_region")))
                       == F.col("_ship_region"), "left")
                 .join(store, "store_id", "left")
