@@ -101,7 +101,11 @@ _CACHE: dict[tuple[str, str], Warehouse] = {}
 
 def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     """The session's materialised star for ``sf_dir`` (built on first use)."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # Spark Connect: no SparkContext on the client
+        app = str(id(spark))
+    key = (app, os.path.abspath(sf_dir))
     wh = _CACHE.get(key)
     if wh is None:
         wh = build_warehouse(spark, sf_dir)

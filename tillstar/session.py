@@ -62,7 +62,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     folder is created and registered.
     """
     global _LOCAL_CKPT
-    d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext on the client
+        sc = None
+    d = sc.getConf().get("spark.checkpoint.dir", None) if sc is not None else None
     if not d:
         try:
             d = spark.conf.get("spark.checkpoint.dir", None)
@@ -72,8 +76,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if _LOCAL_CKPT is None:
             _LOCAL_CKPT = tempfile.mkdtemp(prefix="tillstar-ckpt-")
         d = _LOCAL_CKPT
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 

@@ -36,8 +36,12 @@ def ensure_parallelism(df: DataFrame, key: str | None = None) -> DataFrame:
     scale. With ``key`` the rows are hash-partitioned on it, so a later
     grouping on that key reuses the partitioning; without, round-robin
     (which sorts rows first, so a retried task gets the same rows)."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a Spark Connect session): leave as is
+        return df
+    if splits < target:
         return df.repartition(target, key) if key else df.repartition(target)
     return df
 
