@@ -797,7 +797,7 @@ def _invoice_sql() -> str:
         for p, tpl in X.KNOWN_PRODUCTS)
     falsy = lambda c: f"({c} IS NULL OR {c} = 0)"
     return f"""
-, inv0 AS (SELECT doc_id AS source_file, coalesce(text, '') AS t FROM documents),
+, inv0 AS (SELECT doc_id AS source_file, text AS t FROM documents WHERE text IS NOT NULL AND text <> ''),
 inv1 AS (
   SELECT source_file, t,
          list_filter(list_transform(string_split(t, chr(10)),
@@ -878,3 +878,27 @@ def q_marketing_spend(spark, sf):
     return (_wh(spark, sf).table("marketing_spend")
             .select("category", "month",
                     F.col("marketing_cost_local").cast("double").alias("marketing_cost_local")))
+
+
+_INVOICE_COLS = ("date", "order_reference", "customer_id", "customer_name", "product_name",
+                 "quantity", "unit_price", "total_revenue")
+
+
+def _invoice_completeness_sql() -> str:
+    parts = []
+    for i, c in enumerate(_INVOICE_COLS):
+        pct = M(f"count({c}) * 100.0 / count(*)")
+        parts.append(f"SELECT 'invoices' AS table_name, {i} AS position, '{c}' AS column_name, "
+                     f"count({c}) AS filled, {pct} AS filled_pct, "
+                     f"coalesce({pct}, 0.0) >= 80.0 AS complete FROM invoices")
+    return " UNION ALL ".join(parts)
+
+
+ORACLE["invoice_completeness"] = BASE + _invoice_sql() + _invoice_completeness_sql()
+
+
+@register("invoice_completeness")
+def q_invoice_completeness(spark, sf):
+    """SNK5/DQ3: filled count and % per parsed invoice field (bar: 80 %)."""
+    inv = _invoices(spark, sf).select(*_INVOICE_COLS)
+    return DQ.completeness(inv, "invoices").withColumn("position", F.col("position").cast("int"))
