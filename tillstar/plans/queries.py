@@ -767,11 +767,22 @@ def q_competitor_listings(spark, sf):
     return extract.competitor_listings(read_table(spark, sf, "pages", ["page_id", "html"], spread=True))
 
 
+_INVOICES: dict[tuple[str, str], DataFrame] = {}
+
+
 def _invoices(spark, sf):
+    """Parsed invoices, extracted once per session and written (the reports
+    read the extract, as the modelled pipeline reads its saved invoice file)."""
     from tillstar.operators import extract
+    from tillstar.plans.star import session_key
+    from tillstar.session import materialize
     from tillstar.sources.tables import read_table
-    docs = read_table(spark, sf, "documents", ["doc_id", "text"], spread=True)
-    return extract.parse_invoices(docs.withColumnRenamed("doc_id", "source_file"))
+    key = session_key(spark, sf)
+    if key not in _INVOICES:
+        docs = read_table(spark, sf, "documents", ["doc_id", "text"], spread=True)
+        parsed = extract.parse_invoices(docs.withColumnRenamed("doc_id", "source_file"))
+        _INVOICES[key] = materialize(parsed, "invoices")
+    return _INVOICES[key]
 
 
 @register("invoice_fields")

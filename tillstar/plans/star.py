@@ -99,13 +99,17 @@ class Warehouse:
 _CACHE: dict[tuple[str, str], Warehouse] = {}
 
 
-def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
-    """The session's materialised star for ``sf_dir`` (built on first use)."""
+def session_key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     try:
         app = spark.sparkContext.applicationId
     except Exception:  # Spark Connect: no SparkContext on the client
         app = str(id(spark))
-    key = (app, os.path.abspath(sf_dir))
+    return app, os.path.abspath(sf_dir)
+
+
+def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
+    """The session's materialised star for ``sf_dir`` (built on first use)."""
+    key = session_key(spark, sf_dir)
     wh = _CACHE.get(key)
     if wh is None:
         wh = build_warehouse(spark, sf_dir)
