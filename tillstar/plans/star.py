@@ -29,7 +29,7 @@ import time
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillstar.functions.dates import date_attributes
@@ -133,11 +133,13 @@ def products_from_part(part: DataFrame) -> DataFrame:
         .cast("decimal(12,2)").alias("unit_cost"))
 
 
-def reviews_from_documents(documents: DataFrame, n_products: int) -> DataFrame:
-    """Review = document; product = doc_id mod #products, rating 1..5."""
+def reviews_from_documents(documents: DataFrame, n_products) -> DataFrame:
+    """Review = document; product = doc_id mod #products, rating 1..5.
+    ``n_products`` is an int or a Column (e.g. a scalar subquery)."""
+    n = n_products if isinstance(n_products, Column) else F.lit(n_products)
     return documents.select(
         F.col("doc_id").alias("review_id"),
-        F.pmod(F.col("doc_id"), F.lit(n_products)).alias("product_id"),
+        F.pmod(F.col("doc_id"), n).alias("product_id"),
         (F.lit(1) + F.pmod(F.col("doc_id"), F.lit(5))).cast("double").alias("rating"),
         F.col("text").alias("review_text"))
 
@@ -250,11 +252,12 @@ def build_dimensions(spark: SparkSession, sf_dir: str, root: str) -> dict[str, D
                       ["p_partkey", "p_name", "p_brand", "p_type", "p_retailprice"])
     products = products_from_part(part)
     with _step("sentiment"):
-        n_products = part.count()
+        # number of products as a scalar subquery (no separate driver job)
+        n_products = F.greatest(part.agg(F.count(F.lit(1))).scalar(), F.lit(1))
         docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"], spread=True,
                           key="doc_id")
         senti = sentiment.analyze_sentiment(
-            reviews_from_documents(docs, max(n_products, 1)),
+            reviews_from_documents(docs, n_products),
             sentiment.lexicon_frame(spark, CORPUS_LEXICON),
             CORPUS_BOOSTERS_UP, CORPUS_BOOSTERS_DOWN)
         senti = _write(senti, os.path.join(root, "product_review_stats"))
