@@ -32,3 +32,12 @@ def test_product_aggregate(spark):
     got = rows(S.analyze_sentiment(df))
     # mean of (0.44, -0.54, 0.0) = -0.0333 -> -0.03; rating mean skips NULL
     assert got == [(10, -0.03, 4.5, 3)]
+
+
+def test_local_rules_equal_distributed_rules(spark):
+    lex = (("good", 1.9), ("Good ", 2.5), ("very", 1.0), ("zero", 0.0), ("bad", -2.5))
+    local, n = S.local_rule_table(spark, lex)
+    dist = S.rule_table(spark, S.lexicon_frame(spark, lex))
+    cols = ("token", "valence", "boost", "neg", "is_but")
+    assert n == local.count()
+    assert rows(local, *cols) == rows(dist.select(*cols), *cols)

@@ -97,8 +97,10 @@ def rule_table(spark: SparkSession, lexicon: DataFrame, boosters_up=BOOSTERS_UP,
     lex = (lexicon.select(F.lower(F.trim("token")).alias("token"),
                           F.col("valence").cast("decimal(8,4)").alias("valence"))
            .where(F.col("token").isNotNull() & (F.col("valence") != 0))
-           .groupBy("token").agg(F.first("valence").alias("valence")))
-    return lex.join(fixed, "token", "full_outer")
+           .groupBy("token").agg(F.max("valence").alias("valence")))
+    return (lex.join(fixed, "token", "full_outer")
+            .withColumns({"neg": F.coalesce("neg", F.lit(False)),
+                          "is_but": F.coalesce("is_but", F.lit(False))}))
 
 
 # A token is a whitespace-separated word with leading characters that are not
@@ -109,6 +111,32 @@ _EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}']+$"
 _DELIM = r"[^\p{L}\p{N}']*\s+[^\p{L}\p{N}]*"
 
 
+RULE_SCHEMA = "token string, valence decimal(8,4), boost int, neg boolean, is_but boolean"
+
+
+def local_rule_table(spark: SparkSession, entries=DEFAULT_LEXICON, boosters_up=BOOSTERS_UP,
+                     boosters_down=BOOSTERS_DOWN, negations=NEGATIONS) -> tuple[DataFrame, int]:
+    """The rule table of a literal lexicon, merged on the driver (it is a
+    handful of words) and returned as a JVM local relation with its row
+    count, which is the proven size bound for the broadcast. A token listed
+    twice keeps its largest valence (as in :func:`rule_table`)."""
+    from decimal import Decimal
+    rules: dict[str, list] = {}
+    for token, valence in entries:
+        t = str(token).strip().lower()
+        v = Decimal(str(valence)).quantize(Decimal("0.0001"))
+        if t and v != 0 and (t not in rules or v > rules[t][0]):
+            rules[t] = [v, None, False, False]
+    for w, boost, neg, is_but in rule_words(boosters_up, boosters_down, negations):
+        r = rules.setdefault(w, [None, None, False, False])
+        if boost is not None:
+            r[1] = boost if r[1] is None else max(r[1], boost)
+        r[2] = r[2] or neg
+        r[3] = r[3] or is_but
+    rows = [(t, *r) for t, r in sorted(rules.items())]
+    return literal_table(spark, rows, RULE_SCHEMA), len(rows)
+
+
 def tokenize(text: Column) -> Column:
     """Lower-cased whitespace tokens with edge punctuation stripped."""
     t = F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), _EDGES, "")
@@ -158,12 +186,15 @@ def _token_valence(hits: Column, h: Column, j: Column) -> Column:
 
 def score_reviews(reviews: DataFrame, rules: DataFrame, *, id_col: str = "review_id",
                   text_col: str = "review_text",
-                  keep: tuple[str, ...] = ("product_id", "rating")) -> DataFrame:
+                  keep: tuple[str, ...] = ("product_id", "rating"),
+                  n_rules: int | None = None) -> DataFrame:
     """Per-review compound score in [-1, 1], rounded to 2 digits (DECIMAL).
 
-    Output: ``id_col``, ``keep`` columns, ``sentiment_score``.
+    Output: ``id_col``, ``keep`` columns, ``sentiment_score``. ``n_rules`` is
+    the known size of ``rules`` (counted here when not given).
     """
-    n_rules = rules.count()
+    if n_rules is None:
+        n_rules = rules.count()
     rules_side = F.broadcast(rules) if n_rules <= LEXICON_BROADCAST_MAX_ROWS else rules
 
     base = reviews.select(
@@ -231,13 +262,19 @@ def product_sentiment(scored: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).alias("review_count")))
 
 
-def analyze_sentiment(reviews: DataFrame, lexicon: DataFrame | None = None,
+def analyze_sentiment(reviews: DataFrame, lexicon=None,
                       boosters_up=BOOSTERS_UP, boosters_down=BOOSTERS_DOWN,
                       negations=NEGATIONS) -> DataFrame:
     """TXT1 end to end: reviews(review_id, product_id, rating, review_text)
-    -> (product_id, avg_sentiment, avg_rating, review_count)."""
+    -> (product_id, avg_sentiment, avg_rating, review_count).
+
+    ``lexicon``: a DataFrame (token, valence), or literal (token, valence)
+    pairs, or None for the default lexicon."""
     spark = reviews.sparkSession
-    lex = lexicon if lexicon is not None else lexicon_frame(spark)
-    rules = rule_table(spark, lex, boosters_up, boosters_down, negations)
+    if isinstance(lexicon, DataFrame):
+        rules, n = rule_table(spark, lexicon, boosters_up, boosters_down, negations), None
+    else:
+        rules, n = local_rule_table(spark, lexicon if lexicon is not None else DEFAULT_LEXICON,
+                                    boosters_up, boosters_down, negations)
     reviews = reviews.withColumn("rating", F.col("rating").try_cast(T.DoubleType()))
-    return product_sentiment(score_reviews(reviews, rules))
+    return product_sentiment(score_reviews(reviews, rules, n_rules=n))

@@ -65,7 +65,7 @@ reviews AS (
          CAST(1 + doc_id % 5 AS DOUBLE) AS rating, text AS review_text
   FROM documents),
 lex AS (
-  SELECT lower(trim(token)) AS token, first(CAST(valence AS DECIMAL(8,4))) AS valence
+  SELECT lower(trim(token)) AS token, max(CAST(valence AS DECIMAL(8,4))) AS valence
   FROM {_LEX} WHERE valence <> 0 GROUP BY 1),
 words AS (
   SELECT token, max(boost) AS boost, bool_or(neg) AS neg, bool_or(is_but) AS is_but

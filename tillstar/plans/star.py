@@ -258,7 +258,7 @@ def build_dimensions(spark: SparkSession, sf_dir: str, root: str) -> dict[str, D
                           key="doc_id")
         senti = sentiment.analyze_sentiment(
             reviews_from_documents(docs, n_products),
-            sentiment.lexicon_frame(spark, CORPUS_LEXICON),
+            CORPUS_LEXICON,
             CORPUS_BOOSTERS_UP, CORPUS_BOOSTERS_DOWN)
         senti = _write(senti, os.path.join(root, "product_review_stats"))
     with _step("dim_product"):
