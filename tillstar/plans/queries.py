@@ -913,3 +913,74 @@ def q_invoice_completeness(spark, sf):
     """SNK5/DQ3: filled count and % per parsed invoice field (bar: 80 %)."""
     inv = _invoices(spark, sf).select(*_INVOICE_COLS)
     return DQ.completeness(inv, "invoices").withColumn("position", F.col("position").cast("int"))
+
+
+# ===================================================== filtered dashboard
+# The dashboard applies one filter to every report; these keys exercise it
+# on more query shapes (window, HAVING, top-k, 4-dimension join).
+
+STORE_FILTER = FL.SalesFilter(stores=("Supplier#000000001", "Supplier#000000002",
+                                      "Supplier#000000003", "Supplier#000000005"),
+                              subcategories=("Brand#1", "Brand#2", "Brand#3", "Brand#4"))
+_STORE_WHERE = ("store_name IN ('Supplier#000000001', 'Supplier#000000002', "
+                "'Supplier#000000003', 'Supplier#000000005') "
+                "AND subcategory_name IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4')")
+
+
+@register("ytd_revenue_filtered", f"""
+SELECT year, month, {M('_rev')} AS monthly_revenue,
+       {M('sum(_rev) OVER (PARTITION BY year ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')}
+         AS ytd_revenue
+FROM (SELECT year, month, sum(total_revenue) AS _rev FROM star WHERE {_DEMO_WHERE} GROUP BY year, month)""")
+def q_ytd_revenue_filtered(spark, sf):
+    return MT.ytd_revenue(_wh(spark, sf).star, DEMO_FILTER)
+
+
+@register("store_ranking_filtered",
+          _STORE_RANKING_SQL.replace("WHERE monthly_target IS NOT NULL",
+                                     f"WHERE monthly_target IS NOT NULL AND {_DEMO_WHERE}"))
+def q_store_ranking_filtered(spark, sf):
+    return MT.store_ranking(_wh(spark, sf).star, DEMO_FILTER)
+
+
+@register("price_competitiveness_filtered", f"""
+SELECT product_name, {M('_avg')} AS our_avg_price, competitor_price,
+       {M('(_avg - competitor_price) * 100.0 / NULLIF(competitor_price, 0)')} AS price_diff_pct
+FROM (SELECT product_id, product_name, competitor_price,
+             CAST(sum({UNIT_PRICE}) AS DOUBLE) / count({UNIT_PRICE}) AS _avg
+      FROM star WHERE competitor_price IS NOT NULL AND {_DEMO_WHERE}
+      GROUP BY product_id, product_name, competitor_price HAVING count(*) >= 5)
+ORDER BY price_diff_pct DESC NULLS LAST, product_id ASC LIMIT 10""")
+def q_price_competitiveness_filtered(spark, sf):
+    return MT.price_competitiveness(_wh(spark, sf).star, DEMO_FILTER)
+
+
+@register("top_customers_filtered", f"""
+SELECT customer_name, city_name, region, purchase_count, total_spent, avg_transaction_value,
+       last_purchase_date FROM (
+  SELECT customer_id, customer_name, customer_city AS city_name, customer_region AS region,
+         count(*) AS purchase_count, {SUM('total_revenue')} AS total_spent,
+         {AVG('total_revenue')} AS avg_transaction_value, max(full_date) AS last_purchase_date
+  FROM star4 WHERE {_STORE_WHERE}
+  GROUP BY customer_id, customer_name, customer_city, customer_region
+  ORDER BY total_spent DESC NULLS LAST, customer_id ASC LIMIT 20)""")
+def q_top_customers_filtered(spark, sf):
+    return MT.top_customers(_wh(spark, sf).star, STORE_FILTER)
+
+
+@register("regional_performance_filtered", f"""
+SELECT store_region AS region, count(DISTINCT store_id) AS store_count, count(*) AS transactions,
+       {SUM('total_revenue')} AS total_revenue, {SUM('net_profit')} AS net_profit,
+       {AVG('total_revenue')} AS avg_transaction_value
+FROM star WHERE {_STORE_WHERE} GROUP BY store_region""")
+def q_regional_performance_filtered(spark, sf):
+    return MT.regional_performance(_wh(spark, sf).star, STORE_FILTER)
+
+
+@register("daily_sales_single_day", f"""
+SELECT full_date, year, month_name, day_name, count(*) AS transactions,
+       {SUM('total_revenue')} AS daily_revenue, {SUM('net_profit')} AS daily_profit
+FROM star WHERE full_date = DATE '1998-06-15' GROUP BY full_date, year, month_name, day_name""")
+def q_daily_sales_single_day(spark, sf):
+    """FLT10: a single selected date means start = end."""
+    return MT.daily_sales(_wh(spark, sf).star, FL.SalesFilter(date_range="1998-06-15"))
