@@ -46,3 +46,31 @@ def test_against_brute_force(spark):
             assert got[pid] == (cat[ordinal], score)
         else:
             assert pid not in got
+
+
+def test_fuzzy_query_against_brute_force(spark):
+    """The registered fuzzy query on the smallest driver tables equals a
+    brute-force best match computed in plain Python."""
+    import os
+
+    import pytest
+
+    import __spark_entry__ as E
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("driver tables not present")
+    part = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name").collect()
+    from tillstar.plans.star import FUZZY_SUFFIX
+    names = sorted({r["p_name"] for r in part})
+    got = {r["product_id"]: (r["matched_name"], r["match_score"])
+           for r in E.queries()["competitor_matches_fuzzy"](spark, sf).collect()}
+    import xxhash  # noqa: F401  (ordinal ties cannot occur: names are unique)
+    cands = [(i, n.upper() + FUZZY_SUFFIX) for i, n in enumerate(names)]
+    for r in part:
+        _, score = fuzzy.best_match(r["p_name"], cands)
+        best = [c for o, c in cands if fuzzy.weighted_score(r["p_name"], c) == score]
+        if score > 80:
+            assert got[r["p_partkey"]][1] == score
+            assert got[r["p_partkey"]][0] in best
+        else:
+            assert r["p_partkey"] not in got

@@ -8,11 +8,12 @@ one of the first catalogue row carrying the winning (lower-cased) name.
 Plan:
 1. exact pass - an equi-join on the processed name (a processed-equal name
    scores 100, which no other candidate can beat; ties -> lowest ordinal);
-2. fuzzy pass for the products left over - scored in Arrow batches
-   (``mapInPandas``) against the catalogue, broadcast in chunks whose size is
-   checked (``CHUNK_ROWS``); every product meets every catalogue entry, so the
-   result is exact, and each chunk is bounded. The best per product over all
-   chunks is a small ``groupBy`` (max score, min ordinal).
+2. fuzzy pass for the products left over - each distinct leftover name is
+   scored in Arrow batches (``mapInPandas``) against the catalogue, broadcast
+   in chunks whose size is checked (``CHUNK_ROWS``); every name meets every
+   catalogue entry, so the result is exact, and each chunk is bounded. The
+   best per name over all chunks is a small ``groupBy`` (max score, min
+   ordinal), joined back to the products by name.
 """
 
 from __future__ import annotations
@@ -67,13 +68,16 @@ def match_competitors(products: DataFrame, catalogue: DataFrame,
              .join(cat_keys, "_key", "inner")
              .select("product_id", "matched_name", F.lit(100).alias("match_score")))
 
-    # 2. fuzzy pass on the rest, chunk by chunk.
+    # 2. fuzzy pass on the rest. The score depends on the name only, so each
+    #    distinct leftover name is scored once (names repeat across products),
+    #    chunk by chunk, and the best match is joined back to the products.
     rest = prods.join(exact.select("product_id"), "product_id", "left_anti")
     n_cat = 0 if rest.isEmpty() else cat.count()
+    names_left = rest.select("product_name").distinct()
     parts = []
     n_chunks = max(1, -(-n_cat // chunk_rows))
     if n_chunks > 1:
-        rest = materialize(rest, "match_rest")  # scanned once per chunk
+        names_left = materialize(names_left, "match_names")  # scanned once per chunk
     for i in range(n_chunks if n_cat else 0):
         chunk = cat if n_chunks == 1 else cat.where(
             F.pmod(F.xxhash64("ordinal"), F.lit(n_chunks)) == i)
@@ -81,22 +85,23 @@ def match_competitors(products: DataFrame, catalogue: DataFrame,
         if len(rows) >= 4 * chunk_rows:
             raise ValueError("catalogue chunk exceeds its size bound")
         cands = [(int(r[0]), r[1]) for r in rows]
-        key_type = prods.schema["product_id"].dataType.simpleString()
-        parts.append(rest.mapInPandas(
-            _scorer(cands), f"product_id {key_type}, ordinal long, match_score int"))
+        parts.append(names_left.mapInPandas(
+            _scorer(cands), "product_name string, ordinal long, match_score int"))
     if parts:
         scored = parts[0]
         for p in parts[1:]:
             scored = scored.unionByName(p)
         best = (scored.where(F.col("ordinal").isNotNull())
-                .groupBy("product_id")
+                .groupBy("product_name")
                 .agg(F.max(F.struct(F.col("match_score").alias("s"),
                                     (-F.col("ordinal")).alias("o"))).alias("b"))
-                .select("product_id", F.col("b.s").alias("match_score"),
+                .select("product_name", F.col("b.s").alias("match_score"),
                         (-F.col("b.o")).alias("ordinal")))
-        names = cat.select("ordinal", F.col("competitor_product_name").alias("matched_name"))
-        fuzzy_m = (best.where(F.col("match_score") > threshold)
-                   .join(names, "ordinal", "inner")
+        cand_names = cat.select("ordinal", F.col("competitor_product_name").alias("matched_name"))
+        best_names = (best.where(F.col("match_score") > threshold)
+                      .join(cand_names, "ordinal", "inner")
+                      .select("product_name", "matched_name", "match_score"))
+        fuzzy_m = (rest.join(best_names, "product_name", "inner")
                    .select("product_id", "matched_name", "match_score"))
         matched = exact.unionByName(fuzzy_m)
     else:
@@ -111,7 +116,7 @@ def _scorer(cands):
         for pdf in batches:
             out = [fuzzy.best_match(n, cands) for n in pdf["product_name"]]
             yield pd.DataFrame({
-                "product_id": pdf["product_id"],
+                "product_name": pdf["product_name"],
                 "ordinal": pd.array([o for o, _ in out], dtype="Int64"),
                 "match_score": pd.array([s for _, s in out], dtype="int32"),
             })

@@ -984,3 +984,16 @@ FROM star WHERE full_date = DATE '1998-06-15' GROUP BY full_date, year, month_na
 def q_daily_sales_single_day(spark, sf):
     """FLT10: a single selected date means start = end."""
     return MT.daily_sales(_wh(spark, sf).star, FL.SalesFilter(date_range="1998-06-15"))
+
+
+@register("competitor_matches_fuzzy")
+def q_competitor_matches_fuzzy(spark, sf):
+    """TXT2 fuzzy pass over the whole part table: no name matches exactly, so
+    every product is scored against the catalogue (no SQL oracle: the string
+    metric is not SQL; tests compare it with brute force on sf0.001)."""
+    from tillstar.operators import matching
+    from tillstar.plans.star import fuzzy_catalogue, products_from_part
+    from tillstar.sources.tables import read_table
+    part = read_table(spark, sf, "part", ["p_partkey", "p_name", "p_brand", "p_type", "p_retailprice"],
+                      spread=True)
+    return matching.match_competitors(products_from_part(part), fuzzy_catalogue(part))

@@ -154,6 +154,17 @@ def competitor_catalogue(part: DataFrame) -> DataFrame:
                     F.xxhash64("p_name").alias("ordinal")))
 
 
+FUZZY_SUFFIX = " xl"   # alteration of the fuzzy-matching catalogue
+
+
+def fuzzy_catalogue(part: DataFrame) -> DataFrame:
+    """Listings whose names differ from ours (a suffix), so every match has
+    to be found by the fuzzy pass; same prices as :func:`competitor_catalogue`."""
+    return (competitor_catalogue(part)
+            .withColumn("competitor_product_name",
+                        F.concat(F.col("competitor_product_name"), F.lit(FUZZY_SUFFIX))))
+
+
 def geography(spark, sf_dir) -> DataFrame:
     nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
     region = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
