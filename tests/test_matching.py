@@ -64,7 +64,6 @@ def test_fuzzy_query_against_brute_force(spark):
     names = sorted({r["p_name"] for r in part})
     got = {r["product_id"]: (r["matched_name"], r["match_score"])
            for r in E.queries()["competitor_matches_fuzzy"](spark, sf).collect()}
-    import xxhash  # noqa: F401  (ordinal ties cannot occur: names are unique)
     cands = [(i, n.upper() + FUZZY_SUFFIX) for i, n in enumerate(names)]
     for r in part:
         _, score = fuzzy.best_match(r["p_name"], cands)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillstar.functions.dates import date_attributes
-from tillstar.functions.money import MONEY, dec, money
+from tillstar.functions.money import MONEY
 from tillstar.operators import clean, dims, facts, matching, sentiment
 from tillstar.session import scratch_path
 from tillstar.sources.tables import literal_table, read_table
