@@ -997,3 +997,20 @@ def q_competitor_matches_fuzzy(spark, sf):
     part = read_table(spark, sf, "part", ["p_partkey", "p_name", "p_brand", "p_type", "p_retailprice"],
                       spread=True)
     return matching.match_competitors(products_from_part(part), fuzzy_catalogue(part))
+
+
+_COUNTED = ("dim_product", "dim_store", "dim_customer", "dim_date", "fact_sales", "marketing_roi")
+
+
+@register("warehouse_row_counts", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {'fact' if t == 'fact_sales' else t}"
+    for t in _COUNTED))
+def q_warehouse_row_counts(spark, sf):
+    """ETL1/SRC11: rows per star table (parquet counts need no column data)."""
+    wh = _wh(spark, sf)
+    parts = [wh.table(t).agg(F.count(F.lit(1)).alias("row_count"))
+             .select(F.lit(t).alias("table_name"), "row_count") for t in _COUNTED]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -72,6 +72,7 @@ class Warehouse:
     spark: SparkSession
     root: str
     timings: dict[str, float] = field(default_factory=dict)
+    row_counts: dict[str, int] = field(default_factory=dict)
     _frames: dict[str, DataFrame] = field(default_factory=dict, repr=False)
 
     def path(self, name: str) -> str:
@@ -250,11 +251,18 @@ def _step(name: str):
         _TIMINGS[name] = round(time.perf_counter() - t, 3)
 
 
+_ROWS: dict[str, int] = {}
+
+
 def _write(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
-    w = df.write.mode("overwrite")
+    """Write a table; its row count is observed during the write (no extra pass)."""
+    from pyspark.sql import Observation
+    obs = Observation(os.path.basename(path))
+    w = df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(path)
+    _ROWS[os.path.basename(path)] = int(obs.get.get("rows", 0))
     return df.sparkSession.read.parquet(path)
 
 
@@ -369,9 +377,10 @@ def build_fact(spark: SparkSession, sf_dir: str, root: str, d: dict[str, DataFra
 def build_warehouse(spark: SparkSession, sf_dir: str, root: str | None = None) -> Warehouse:
     root = root or scratch_path(spark, "warehouse")
     _TIMINGS.clear()
+    _ROWS.clear()
     d = build_dimensions(spark, sf_dir, root)
     fact = build_fact(spark, sf_dir, root, d)
     with _step("dim_date_roi"):
         _write(dims.build_dim_date(fact), os.path.join(root, "dim_date"))
         _write(facts.marketing_roi_monthly(fact), os.path.join(root, "marketing_roi"))
-    return Warehouse(spark, root, dict(_TIMINGS))
+    return Warehouse(spark, root, dict(_TIMINGS), dict(_ROWS))
