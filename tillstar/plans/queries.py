@@ -777,11 +777,13 @@ def _invoices(spark, sf):
     from tillstar.plans.star import session_key
     from tillstar.session import materialize
     from tillstar.sources.tables import read_table
+    from tillstar.plans.star import _LOCK
     key = session_key(spark, sf)
-    if key not in _INVOICES:
-        docs = read_table(spark, sf, "documents", ["doc_id", "text"], spread=True)
-        parsed = extract.parse_invoices(docs.withColumnRenamed("doc_id", "source_file"))
-        _INVOICES[key] = materialize(parsed, "invoices")
+    with _LOCK:
+        if key not in _INVOICES:
+            docs = read_table(spark, sf, "documents", ["doc_id", "text"], spread=True)
+            parsed = extract.parse_invoices(docs.withColumnRenamed("doc_id", "source_file"))
+            _INVOICES[key] = materialize(parsed, "invoices")
     return _INVOICES[key]
 
 

@@ -25,6 +25,7 @@ store and product dimensions keeps; ``customer_known`` the same for customers.
 from __future__ import annotations
 
 import os
+import threading
 import time
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -98,6 +99,7 @@ class Warehouse:
 
 
 _CACHE: dict[tuple[str, str], Warehouse] = {}
+_LOCK = threading.RLock()
 
 
 def session_key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
@@ -111,10 +113,11 @@ def session_key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
 def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     """The session's materialised star for ``sf_dir`` (built on first use)."""
     key = session_key(spark, sf_dir)
-    wh = _CACHE.get(key)
-    if wh is None:
-        wh = build_warehouse(spark, sf_dir)
-        _CACHE[key] = wh
+    with _LOCK:  # concurrent callers share one build
+        wh = _CACHE.get(key)
+        if wh is None:
+            wh = build_warehouse(spark, sf_dir)
+            _CACHE[key] = wh
     return wh
 
 
