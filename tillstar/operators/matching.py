@@ -85,6 +85,10 @@ def match_competitors(products: DataFrame, catalogue: DataFrame,
         if len(rows) >= 4 * chunk_rows:
             raise ValueError("catalogue chunk exceeds its size bound")
         cands = [(int(r[0]), r[1]) for r in rows]
+        try:  # ship the bounded chunk once per executor, not with every task
+            cands = names_left.sparkSession.sparkContext.broadcast(cands)
+        except Exception:  # no SparkContext (e.g. Spark Connect): closure
+            pass
         parts.append(names_left.mapInPandas(
             _scorer(cands), "product_name string, ordinal long, match_score int"))
     if parts:
@@ -113,8 +117,9 @@ def match_competitors(products: DataFrame, catalogue: DataFrame,
 
 def _scorer(cands):
     def run(batches):
+        chunk = cands.value if hasattr(cands, "value") else cands
         for pdf in batches:
-            out = [fuzzy.best_match(n, cands) for n in pdf["product_name"]]
+            out = [fuzzy.best_match(n, chunk) for n in pdf["product_name"]]
             yield pd.DataFrame({
                 "product_name": pdf["product_name"],
                 "ordinal": pd.array([o for o, _ in out], dtype="Int64"),
