@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -54,29 +58,70 @@ def apply_engine_conf(spark: SparkSession) -> None:
             pass
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that
+    Python workers can import it whatever folder the driver started in."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext on the client
+        sc = None
+    app = sc.applicationId if sc is not None else id(spark)
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="tillstar-pkg-")  # the driver serves it as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = os.path.join(folder, "tillstar_package.zip")
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(at, f)
+                    z.write(full, os.path.join("tillstar", os.path.relpath(full, root)))
+    if sc is None:
+        spark.addArtifacts(name, pyfile=True)
+    else:
+        sc.addPyFile(name)
+    _SHIPPED.add(app)
+
+
+_SHIPPED: set = set()
+
+
+def _is_local(spark: SparkSession) -> bool:
+    """One JVM does all the work, so that its own disk is shared."""
+    try:
+        return re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is not None
+    except Exception:
+        return False
 
-    Read from the session; only when it is unset (local tests) a scratch
-    folder is created and registered.
-    """
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir`` or what
+    the session set with ``setCheckpointDir``. Only a local session that has
+    neither gets a scratch folder of its own; on a cluster that is an error."""
     global _LOCAL_CKPT
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: no SparkContext on the client
         sc = None
-    d = sc.getConf().get("spark.checkpoint.dir", None) if sc is not None else None
+    d = sc.getCheckpointDir() if sc is not None else None
+    if d:  # Spark appends a folder of its own to what was set
+        return d
+    if sc is not None:
+        d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        try:
-            d = spark.conf.get("spark.checkpoint.dir", None)
-        except Exception:
-            d = None
+        d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not _is_local(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if _LOCAL_CKPT is None:
             _LOCAL_CKPT = tempfile.mkdtemp(prefix="tillstar-ckpt-")
+            atexit.register(shutil.rmtree, _LOCAL_CKPT, ignore_errors=True)
         d = _LOCAL_CKPT
-    if sc is not None and sc.getCheckpointDir() is None:
+    if sc is not None:
         sc.setCheckpointDir(d)
+        d = sc.getCheckpointDir() or d
     return d
 
 
