@@ -148,3 +148,37 @@ def windows(word_hash: np.ndarray, word_doc: np.ndarray, k: int, n_docs: int,
 def per_doc(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """Sum of ``values`` by document, as int64."""
     return np.bincount(doc, weights=values, minlength=n).astype(np.int64)
+
+
+def sliding_min(key: np.ndarray, span: int) -> np.ndarray:
+    """Minimum of ``key[i:i + span]`` for each i that has a whole span."""
+    m = len(key)
+    if m < span:
+        return key[:0]
+    blocks = -(-m // span)
+    pad = np.full(blocks * span, np.uint64(0xFFFFFFFFFFFFFFFF))
+    pad[:m] = key
+    left = np.minimum.accumulate(pad.reshape(blocks, span), axis=1).ravel()
+    right = np.minimum.accumulate(pad.reshape(blocks, span)[:, ::-1], axis=1)[:, ::-1].ravel()
+    start = np.arange(m - span + 1)
+    return np.minimum(right[start], left[start + span - 1])
+
+
+def sampled(h: np.ndarray, doc: np.ndarray, span: int, n_docs: int) -> np.ndarray:
+    """Places of minimizers: for each ``span`` values in a row in a document its
+    least one (the first of equals); of a shorter document the least of all."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    bits = np.uint64(max(1, int(len(h)).bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+    first = np.searchsorted(doc, np.arange(n_docs + 1))
+    size = np.diff(first)
+    least = sliding_min(key, span)
+    start = np.arange(len(least))
+    least = least[start + span <= first[1:][doc[start]]]
+    few = np.flatnonzero((size > 0) & (size < span))
+    ends = np.stack([first[few], first[few] + size[few]], 1).ravel()
+    ends = ends[:-1] if len(ends) and ends[-1] == len(key) else ends
+    short = np.minimum.reduceat(key, ends)[::2] if len(ends) else key[:0]
+    return np.unique(np.concatenate([least, short]) & low).astype(np.int64)

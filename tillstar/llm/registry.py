@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from . import decontam, licenses, quality, sharding
+from . import chaining, chat, decontam, jaccard, langid, licenses, quality, segment, sharding, suffix_dedup
 
 QUERIES = {
+    "op1_ngram_jaccard": jaccard.op1,
+    "op2_chat_format": chat.op2,
+    "op3_suffix_dedup": suffix_dedup.op3,
     "op4_jump_sharding": sharding.op4,
+    "op5_language_id": langid.op5,
     "op6_quality_votes": quality.op6,
+    "op7_piece_samples": segment.op7,
+    "op8_chained_passages": chaining.op8,
     "op9_decontaminate": decontam.op9,
     "op10_license_scan": licenses.op10,
 }
 ORACLE = {
+    "op2_chat_format": chat.OP2_SQL,
     "op9_decontaminate": decontam.OP9_SQL,
     "op10_license_scan": licenses.OP10_SQL,
 }
