@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillstar.session import scratch_path
+from tillstar.session import scratch_path, ship_package
 from tillstar.sources.tables import read_table
 
 #: Rows in an Arrow batch: bounds what a Python worker holds at once.
@@ -16,6 +16,7 @@ BATCH_ROWS = 1000
 
 
 def prepare(spark: SparkSession) -> None:
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
@@ -32,6 +33,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def recount(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``n_chars``, if it has that column, counted anew."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]],
                 schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""

@@ -133,25 +133,45 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = EM_ROUNDS) -> np
     return post
 
 
-def judge(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` plus the features, ``_f_base_failed``, ``_f_posterior`` and
-    ``_f_kept``. The model is fitted on the votes of all rows."""
-    spark = docs.sparkSession
-    v = votes()
-    code = sum((c + 1) * 3 ** i for i, c in enumerate(v.values()))
-    rows = common.cut(features(docs, keep, text).withColumn("_f_code", code.cast("int")), "quality")
-    seen = rows.groupBy("_f_code").count().collect()      # at most 3^rules rows
+def _code() -> F.Column:
+    return sum((c + 1) * 3 ** i for i, c in enumerate(votes().values())).cast("int")
+
+
+def posteriors(coded: DataFrame) -> DataFrame:
+    """(_f_code, _f_posterior) of the vote patterns of ``coded``, fitted on all
+    its rows."""
+    rules = len(votes())
+    seen = coded.groupBy("_f_code").count().collect()      # at most 3^rules rows
     codes = np.array([r[0] for r in seen], np.int64)
-    patterns = np.stack([codes // 3 ** i % 3 - 1 for i in range(len(v))], 1) if len(codes) else np.zeros((0, len(v)))
+    patterns = np.stack([codes // 3 ** i % 3 - 1 for i in range(rules)], 1)
     post = fit(patterns, np.array([r[1] for r in seen], float)) if len(codes) else []
-    known = spark.createDataFrame([(int(c), float(p)) for c, p in zip(codes, post)],
-                                  "_f_code int, _f_posterior double")
+    return coded.sparkSession.createDataFrame(
+        [(int(c), float(p)) for c, p in zip(codes, post)], "_f_code int, _f_posterior double")
+
+
+def _verdict(rows: DataFrame, known: DataFrame) -> DataFrame:
     failed = (F.col("_f_n_words") < MIN_WORDS) | (100 * F.col("_f_n_repeat_words") > 50 * F.col("_f_n_words"))
     return (rows.join(F.broadcast(known), "_f_code").drop("_f_code")
             .withColumn("_f_base_failed", failed)
             .withColumn("_f_kept", ~failed & (F.col("_f_posterior") >= 0.5)))
 
 
+def judge(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` (short columns) plus the features, ``_f_base_failed``,
+    ``_f_posterior`` and ``_f_kept``. Texts are measured once."""
+    rows = common.cut(features(docs, keep, text).withColumn("_f_code", _code()), "quality")
+    return _verdict(rows, posteriors(rows))
+
+
+def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` without the rejected rows. Texts are measured twice instead of
+    being moved or written: once for the fit, once for the verdict."""
+    common.prepare(docs.sparkSession)
+    known = posteriors(features(docs, [], text).select(_code().alias("_f_code")))
+    rows = features(docs, docs.columns, text).withColumn("_f_code", _code())
+    return _verdict(rows, known).where("_f_kept").select(*docs.columns)
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(common.table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
     return out.select("doc_id", *(F.col(f"_f_{c}").alias(c) for c in (
