@@ -38,7 +38,7 @@ def test_against_brute_force(spark):
     catalogue = spark.createDataFrame([(c, float(100 + i), i) for i, c in enumerate(cat)],
                                       "competitor_product_name string, competitor_price double, ordinal long")
     got = {r["product_id"]: (r["matched_name"], r["match_score"])
-           for r in matching.match_competitors(products, catalogue, chunk_rows=3).collect()}
+           for r in matching.match_competitors(products, catalogue, block_rows=3).collect()}
     cands = list(enumerate(cat))
     for pid, n in enumerate(names):
         ordinal, score = fuzzy.best_match(n, cands)
@@ -60,16 +60,43 @@ def test_fuzzy_query_against_brute_force(spark):
     if not os.path.isdir(sf):
         pytest.skip("driver tables not present")
     part = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name").collect()
-    from tillstar.plans.star import FUZZY_SUFFIX
+    from tillstar.plans.star import FUZZY_SUFFIX, fuzzy_catalogue
     names = sorted({r["p_name"] for r in part})
     got = {r["product_id"]: (r["matched_name"], r["match_score"])
            for r in E.queries()["competitor_matches_fuzzy"](spark, sf).collect()}
-    cands = [(i, n.upper() + FUZZY_SUFFIX) for i, n in enumerate(names)]
+    order = {r["n"]: r["o"] for r in fuzzy_catalogue(spark.read.parquet(f"{sf}/part.parquet"))
+             .selectExpr("competitor_product_name AS n", "ordinal AS o").collect()}
+    cands = [(order[n.upper() + FUZZY_SUFFIX], n.upper() + FUZZY_SUFFIX) for n in names]
+    known = {}
     for r in part:
-        _, score = fuzzy.best_match(r["p_name"], cands)
-        best = [c for o, c in cands if fuzzy.weighted_score(r["p_name"], c) == score]
+        if r["p_name"] not in known:
+            known[r["p_name"]] = fuzzy.best_match(r["p_name"], cands)
+        ordinal, score = known[r["p_name"]]
         if score > 80:
-            assert got[r["p_partkey"]][1] == score
-            assert got[r["p_partkey"]][0] in best
+            assert got[r["p_partkey"]] == (dict(cands)[ordinal], score)
         else:
             assert r["p_partkey"] not in got
+
+
+def test_bound_never_drops_a_match():
+    import random
+    rng = random.Random(4)
+    words = ["dell", "xps", "13", "pro", "max", "a", "galaxy", "s23", "ultra", "lg", "gram", "x"]
+    for _ in range(4000):
+        a = " ".join(rng.choice(words) for _ in range(rng.randint(1, 5)))
+        b = list(a if rng.random() < 0.6 else " ".join(rng.choice(words) for _ in range(rng.randint(1, 9))))
+        for _ in range(rng.randint(0, 4)):
+            b[rng.randrange(len(b))] = rng.choice("abcdx 13")
+        b = "".join(b)
+        s = fuzzy.weighted_score(a, b)
+        assert not (s > 80 and fuzzy._hopeless(fuzzy._parts(a), fuzzy._parts(b), 80)), (a, b, s)
+
+
+def test_long_names_tie_by_ordinal(spark):
+    """Two long names that differ in one character round to 100 as well."""
+    long_ = "product " * 30
+    products = spark.createDataFrame([(1, long_ + "x")], "product_id long, product_name string")
+    catalogue = spark.createDataFrame([(long_ + "x", 9.0, 1), (long_ + "y", 5.0, 0)],
+                                      "competitor_product_name string, competitor_price double, ordinal long")
+    got = matching.match_competitors(products, catalogue).first()
+    assert (got["matched_name"], got["match_score"], got["competitor_price"]) == (long_ + "y", 100, 5.0)

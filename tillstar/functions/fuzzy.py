@@ -1,5 +1,7 @@
 """Weighted fuzzy string score (0..100), pure Python, used inside Arrow batches.
 
+Written from the published definition of the score.
+
 The score is the maximum of: the indel similarity of the processed strings;
 token-sorted and token-set variants (weighted 0.95); and, when one string is at
 least 1.5x longer than the other, the best partial alignment of the shorter
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 
 _NON_ALNUM = re.compile(r"(?ui)\W|_")
 
@@ -125,3 +128,50 @@ def best_match(name: str | None, candidates: list[tuple[int, str]]) -> tuple[int
         if s > best_score or (s == best_score and best_ord is not None and ordinal < best_ord):
             best_ord, best_score = ordinal, s
     return best_ord, max(best_score, 0)
+
+
+def prepare(entries) -> list[tuple]:
+    """Catalogue entries with what :func:`best_above` needs of them."""
+    return [(int(o), c, *_parts(c)) for o, c in entries]
+
+
+def _parts(raw: str):
+    p = process(raw)
+    tokens = p.split()
+    # repeated blanks or words make a variant shorter than the string itself
+    return p, Counter(p), set(tokens), len(set(tokens)) == len(tokens) and " ".join(tokens) == p
+
+
+def _hopeless(a, b, threshold: int) -> bool:
+    """Whether every part of the score is at most ``threshold``, by the
+    characters in common. All parts compare strings made of the same characters
+    as the names (a window of the longer one in the partial parts), unless a word
+    is shared, so their similarity is at most that of the character counts."""
+    pa, ca, ta, plain_a = a
+    pb, cb, tb, plain_b = b
+    if not pa or not pb:
+        return True
+    short, long_ = sorted((len(pa), len(pb)))
+    if long_ / short > LONG_LEN_RATIO:
+        # the full ratio is below 2/9 then, the partial parts are scaled
+        return threshold >= 100 * LONG_PARTIAL_SCALE
+    if not (plain_a and plain_b) or ta & tb:
+        return False
+    common = sum((ca & cb).values())
+    whole = _pct(2 * common / (short + long_))
+    if long_ / short < PARTIAL_MIN_LEN_RATIO:
+        return whole <= threshold
+    return max(whole, _pct(2 * common / (short + common)) * PARTIAL_SCALE if common else 0) <= threshold
+
+
+def best_above(name: str, entries: list[tuple], threshold: int) -> tuple[int | None, int]:
+    """(ordinal, score) of the best entry scoring above ``threshold``; ties go to
+    the lowest ordinal; (None, 0) if there is none."""
+    own, best = _parts(name), (None, 0)
+    for ordinal, raw, *parts in entries:
+        if _hopeless(own, parts, threshold):
+            continue
+        s = weighted_score(name, raw)
+        if s > threshold and (s > best[1] or s == best[1] and ordinal < best[0]):
+            best = (ordinal, s)
+    return best

@@ -6,14 +6,16 @@ ties go to the earliest catalogue entry (lowest ``ordinal``). The price is the
 one of the first catalogue row carrying the winning (lower-cased) name.
 
 Plan:
-1. exact pass - an equi-join on the processed name (a processed-equal name
-   scores 100, which no other candidate can beat; ties -> lowest ordinal);
-2. fuzzy pass for the products left over - each distinct leftover name is
-   scored in Arrow batches (``mapInPandas``) against the catalogue, broadcast
-   in chunks whose size is checked (``CHUNK_ROWS``); every name meets every
-   catalogue entry, so the result is exact, and each chunk is bounded. The
-   best per name over all chunks is a small ``groupBy`` (max score, min
-   ordinal), joined back to the products by name.
+1. The catalogue gets its ordinals once, in a written table.
+2. Exact pass: an equi-join on the processed name. Equal names score 100. A
+   different name can only round to 100 when the two are 200 characters long or
+   more together, so names of up to EXACT_LENGTH characters are done then.
+3. Fuzzy pass for the rest, which is a search of each distinct name in the whole
+   catalogue, in blocks: the catalogue is dealt into blocks of about BLOCK_ROWS
+   entries, the names into salts of about as many, and each (block, salt) is one
+   cogroup, scored in its own task. Nothing is collected, no entry is left out;
+   a pair is skipped only if a bound on every part of its score is too low. The
+   best per name over all blocks is a small ``groupBy``.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from tillstar.functions.money import money
 from tillstar.session import materialize
 
 THRESHOLD = 80
-CHUNK_ROWS = 20_000
+BLOCK_ROWS = 2000
+#: Equal processed names of up to this length can't be tied by another name.
+EXACT_LENGTH = 98
 
 
 def _processed(c):
@@ -52,79 +56,56 @@ def _price_by_name(cat: DataFrame) -> DataFrame:
 
 def match_competitors(products: DataFrame, catalogue: DataFrame,
                       threshold: int = THRESHOLD,
-                      chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                      block_rows: int = BLOCK_ROWS) -> DataFrame:
     """products(product_id, product_name) x catalogue(competitor_product_name,
     competitor_price[, ordinal]) -> (product_id, matched_name, match_score,
     competitor_price). Unmatched products are absent."""
-    cat = _catalogue(catalogue).where(F.col("competitor_product_name").isNotNull())
+    spark = products.sparkSession
+    cat = materialize(_catalogue(catalogue).where(F.col("competitor_product_name").isNotNull()), "catalogue")
     prods = products.select("product_id", "product_name").where(
         F.col("product_name").isNotNull())
 
-    # 1. exact pass on the processed name.
     cat_keys = (cat.groupBy(_processed(F.col("competitor_product_name")).alias("_key"))
                 .agg(F.min_by("competitor_product_name", "ordinal").alias("matched_name")))
-    exact = (prods.withColumn("_key", _processed(F.col("product_name")))
-             .where(F.col("_key") != "")
-             .join(cat_keys, "_key", "inner")
-             .select("product_id", "matched_name", F.lit(100).alias("match_score")))
-
-    # 2. fuzzy pass on the rest. The score depends on the name only, so each
-    #    distinct leftover name is scored once (names repeat across products),
-    #    chunk by chunk, and the best match is joined back to the products.
-    rest = prods.join(exact.select("product_id"), "product_id", "left_anti")
-    n_cat = 0 if rest.isEmpty() else cat.count()
-    names_left = rest.select("product_name").distinct()
-    parts = []
-    n_chunks = max(1, -(-n_cat // chunk_rows))
-    if n_chunks > 1:
-        names_left = materialize(names_left, "match_names")  # scanned once per chunk
-    for i in range(n_chunks if n_cat else 0):
-        chunk = cat if n_chunks == 1 else cat.where(
-            F.pmod(F.xxhash64("ordinal"), F.lit(n_chunks)) == i)
-        rows = chunk.select("ordinal", "competitor_product_name").limit(4 * chunk_rows).collect()
-        if len(rows) >= 4 * chunk_rows:
-            raise ValueError("catalogue chunk exceeds its size bound")
-        cands = [(int(r[0]), r[1]) for r in rows]
-        try:  # ship the bounded chunk once per executor, not with every task
-            cands = names_left.sparkSession.sparkContext.broadcast(cands)
-        except Exception:  # no SparkContext (e.g. Spark Connect): closure
-            pass
-        parts.append(names_left.mapInPandas(
-            _scorer(cands), "product_name string, ordinal long, match_score int"))
-    if parts:
-        scored = parts[0]
-        for p in parts[1:]:
-            scored = scored.unionByName(p)
-        best = (scored.where(F.col("ordinal").isNotNull())
-                .groupBy("product_name")
-                .agg(F.max(F.struct(F.col("match_score").alias("s"),
-                                    (-F.col("ordinal")).alias("o"))).alias("b"))
-                .select("product_name", F.col("b.s").alias("match_score"),
-                        (-F.col("b.o")).alias("ordinal")))
-        cand_names = cat.select("ordinal", F.col("competitor_product_name").alias("matched_name"))
-        best_names = (best.where(F.col("match_score") > threshold)
-                      .join(cand_names, "ordinal", "inner")
-                      .select("product_name", "matched_name", "match_score"))
-        fuzzy_m = (rest.join(best_names, "product_name", "inner")
-                   .select("product_id", "matched_name", "match_score"))
-        matched = exact.unionByName(fuzzy_m)
-    else:
-        matched = exact
-    prices = _price_by_name(cat)
+    names = prods.select("product_name").distinct().withColumn("_key", _processed(F.col("product_name")))
+    short = (F.col("_key") != "") & (F.length("_key") <= EXACT_LENGTH)
+    names = materialize(names.join(cat_keys, "_key", "left").withColumn(
+        "matched_name", F.when(short, F.col("matched_name"))).drop("_key"), "match_names")
+    exact = names.where("matched_name IS NOT NULL").withColumn("match_score", F.lit(100))
+    rest = names.where("matched_name IS NULL").select("product_name")
+
+    # counts of two written tables: their footers have them
+    n_blocks = max(1, -(-cat.count() // block_rows))
+    n_salts = max(1, -(-names.count() // block_rows), -(-spark.sparkContext.defaultParallelism // n_blocks))
+    # named partitions, which adaptive execution doesn't merge: scoring is slow, not large
+    tasks = min(n_blocks * n_salts, 4 * max(spark.sparkContext.defaultParallelism,
+                                            int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    left = (rest.withColumn("_s", F.pmod(F.xxhash64("product_name"), F.lit(n_salts)).cast("int"))
+            .withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
+    right = (cat.select("ordinal", "competitor_product_name",
+                        F.pmod(F.xxhash64("ordinal"), F.lit(n_blocks)).cast("int").alias("_b"))
+             .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(n_salts - 1)))))
+    keys = ("_b", "_s")
+    scored = (left.repartition(tasks, *keys).groupBy(*keys)
+              .cogroup(right.repartition(tasks, *keys).groupBy(*keys))
+              .applyInPandas(_scorer(threshold), "product_name string, ordinal long, match_score int"))
+    best = (scored.groupBy("product_name")
+            .agg(F.max(F.struct(F.col("match_score").alias("s"), (-F.col("ordinal")).alias("o"))).alias("b"))
+            .select("product_name", F.col("b.s").alias("match_score"), (-F.col("b.o")).alias("ordinal")))
+    found = (best.join(cat.select("ordinal", F.col("competitor_product_name").alias("matched_name")), "ordinal")
+             .select("product_name", "matched_name", "match_score"))
+    matched = prods.join(exact.unionByName(found), "product_name").select("product_id", "matched_name", "match_score")
     return (matched.withColumn("_lname", F.lower("matched_name"))
-            .join(prices, "_lname", "left").drop("_lname"))
-
-
-def _scorer(cands):
-    def run(batches):
-        chunk = cands.value if hasattr(cands, "value") else cands
-        for pdf in batches:
-            out = [fuzzy.best_match(n, chunk) for n in pdf["product_name"]]
-            yield pd.DataFrame({
-                "product_name": pdf["product_name"],
-                "ordinal": pd.array([o for o, _ in out], dtype="Int64"),
-                "match_score": pd.array([s for _, s in out], dtype="int32"),
-            })
+            .join(_price_by_name(cat), "_lname", "left").drop("_lname"))
+
+
+def _scorer(threshold):
+    def run(names: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        cands = fuzzy.prepare(zip(entries["ordinal"], entries["competitor_product_name"]))
+        rows = [(n, *fuzzy.best_above(n, cands, threshold)) for n in names["product_name"]]
+        rows = [r for r in rows if r[1] is not None]
+        return pd.DataFrame(rows, columns=["product_name", "ordinal", "match_score"]).astype(
+            {"ordinal": "int64", "match_score": "int32"})
     return run
 
 
