@@ -121,33 +121,42 @@ def kpi_bundle(star, dim_product, flt=None):
         F.coalesce(F.col("_sent"), glob, F.lit(0.0)).alias("avg_sentiment"))
 
 
+def _distinct(df, column: str):
+    """Distinct values of one column as a scalar: a pass that reads that column
+    only and shuffles each value once, where several distinct counts in one
+    aggregate would copy every row for each of them."""
+    return F.coalesce(df.where(F.col(column).isNotNull()).select(column).distinct()
+                      .agg(F.count(F.lit(1))).scalar(), F.lit(0).cast("long"))
+
+
 def dashboard_summary(star, flt=None):
-    return _f(star, flt).agg(
+    df = _f(star, flt)
+    return df.agg(
         F.min("full_date").alias("start_date"),
         F.max("full_date").alias("end_date"),
         F.count(F.lit(1)).alias("total_transactions"),
-        F.count_distinct("customer_id").alias("unique_customers"),
-        F.count_distinct("product_id").alias("unique_products"),
-        F.count_distinct("store_id").alias("unique_stores"),
         rsum("total_revenue").alias("total_revenue"),
         rsum("net_profit").alias("total_profit"),
         ravg("total_revenue").alias("avg_transaction_value"),
         margin_pct().alias("overall_profit_margin"),
         F.sum("quantity").alias("total_units_sold"),
-        ravg("quantity").alias("avg_quantity_per_transaction"))
+        ravg("quantity").alias("avg_quantity_per_transaction")).select(
+        "*", _distinct(df, "customer_id").alias("unique_customers"),
+        _distinct(df, "product_id").alias("unique_products"),
+        _distinct(df, "store_id").alias("unique_stores"))
 
 
 def warehouse_summary(fact):
     """Straight from the fact (no dimension join)."""
     return fact.agg(
-        F.count_distinct("product_id").alias("unique_products"),
-        F.count_distinct("store_id").alias("unique_stores"),
-        F.count_distinct("customer_id").alias("unique_customers"),
         F.count(F.lit(1)).alias("total_transactions"),
         money(F.sum("total_revenue").cast("double") / 1e6).alias("total_revenue_m"),
         money(F.sum("net_profit").cast("double") / 1e6).alias("total_profit_m"),
         margin_pct().alias("profit_margin_pct"),
-        ravg("total_revenue").alias("avg_transaction_value"))
+        ravg("total_revenue").alias("avg_transaction_value")).select(
+        "*", _distinct(fact, "product_id").alias("unique_products"),
+        _distinct(fact, "store_id").alias("unique_stores"),
+        _distinct(fact, "customer_id").alias("unique_customers"))
 
 
 def financial_summary(fact):
@@ -358,17 +367,18 @@ def star_sample(star, limit: int = 10):
                     money("net_profit").alias("net_profit")))
 
 
-def sales_detailed(star, limit: int = 1000):
-    """SRC5: the denormalised sales extract (product, category, store, city,
-    region, customer), first ``limit`` rows in sale order."""
-    s = _with_customer(star)
-    return (s.orderBy("order_key", "line_number", "product_id", "store_id", "customer_id",
-                      "quantity", "total_revenue")
-            .limit(limit)
-            .select("order_key", "line_number", "full_date", "store_name",
-                    F.col("store_city").alias("city_name"), F.col("store_region").alias("region"),
-                    "product_name", "subcategory_name", "category_name", "customer_name",
-                    "quantity", money("total_revenue").alias("total_revenue")))
+def sales_detailed(star, dim_product, limit: int = 1000):
+    """SRC5: the denormalised sales extract (product with its unit cost,
+    category, store, customer with city and region), first ``limit`` rows in
+    sale order. The unit cost is looked up for those rows only."""
+    order = ("order_key", "line_number", "product_id", "store_id", "customer_id", "quantity", "total_revenue")
+    s = _with_customer(star).where("customer_city IS NOT NULL AND customer_region IS NOT NULL")
+    cost = dim_product.select("product_id", F.col("unit_cost").cast("decimal(12,2)").alias("unit_cost"))
+    return (s.orderBy(*order).limit(limit).join(cost, "product_id")
+            .select("order_key", "line_number", "full_date", "quantity",
+                    money("total_revenue").alias("total_revenue"), "product_name", "unit_cost",
+                    "subcategory_name", "category_name", "store_name", "customer_name",
+                    "customer_city", "customer_region"))
 
 
 # -------------------------------------------------------- derived tables

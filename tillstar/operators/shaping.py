@@ -26,10 +26,10 @@ def pivot(df: DataFrame, index: str, columns: str, values: str,
     A duplicated (index, column) cell is an error (as in a pandas pivot);
     passing ``column_values`` avoids a pass to discover them.
     """
-    dup = df.groupBy(index, columns).count().where(F.col("count") > 1).limit(1).count()
-    if dup:
-        raise ValueError(f"pivot: duplicate ({index}, {columns}) cells")
-    p = df.groupBy(index).pivot(columns, column_values).agg(F.first(values))
+    one = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit(f"pivot: duplicate ({index}, {columns}) cells"))).otherwise(
+        F.first(values))
+    cells = df.groupBy(index, columns).agg(one.alias("_v"))
+    p = cells.groupBy(index).pivot(columns, column_values).agg(F.first("_v"))
     if prefix:
         p = p.select(index, *[F.col(f"`{c}`").alias(f"{prefix}{c}")
                               for c in p.columns if c != index])
