@@ -188,7 +188,7 @@ dim_customer AS (
   FROM customer c LEFT JOIN geo g ON c.c_nationkey = g.nationkey),
 ship AS (
   SELECT lower(trim(region_name)) AS ship_region,
-         first(greatest(coalesce(TRY_CAST(trim(shipping_cost) AS DOUBLE), 0.0), 0.0)) AS shipping_rate
+         max(greatest(coalesce(TRY_CAST(trim(shipping_cost) AS DOUBLE), 0.0), 0.0)) AS shipping_rate
   FROM (SELECT DISTINCT * FROM {_SHIP}) GROUP BY 1),
 sales AS (
   SELECT l.l_orderkey AS order_key, l.l_linenumber AS line_number,

@@ -355,17 +355,18 @@ def q_star_sample(spark, sf):
 
 
 @register("sales_detailed", f"""
-SELECT order_key, line_number, full_date, store_name, store_city AS city_name, store_region AS region,
-       product_name, subcategory_name, category_name, customer_name, quantity,
-       {M('total_revenue')} AS total_revenue
-FROM star4
-ORDER BY order_key, line_number, product_id, store_id, customer_id, quantity, total_revenue
+SELECT s.order_key, s.line_number, s.full_date, s.quantity, {M('s.total_revenue')} AS total_revenue,
+       p.product_name, CAST(p.unit_cost AS DECIMAL(12,2)) AS unit_cost, p.subcategory_name, p.category_name,
+       st.s_name AS store_name, c.c_name AS customer_name, n.n_name AS customer_city, r.r_name AS customer_region
+FROM sales s JOIN products p ON s.product_id = p.product_id JOIN supplier st ON s.store_id = st.s_suppkey
+JOIN customer c ON s.customer_id = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+JOIN region r ON n.n_regionkey = r.r_regionkey
+ORDER BY s.order_key, s.line_number, s.product_id, s.store_id, s.customer_id, s.quantity, s.total_revenue
 LIMIT 1000""")
 def q_sales_detailed(spark, sf):
-    return MT.sales_detailed(_wh(spark, sf).star, 1000)
-
+    wh = _wh(spark, sf)
+    return MT.sales_detailed(wh.star, wh.table("dim_product"), 1000)
 
-# ========================================================= derived tables
 
 @register("marketing_roi_monthly", "SELECT * FROM marketing_roi")
 def q_marketing_roi_monthly(spark, sf):
@@ -525,9 +526,21 @@ def q_target_bands(spark, sf):
 
 # ================================================================ quality
 
-_PROFILED = {"dim_store": ("store_id", "store_name", "city_name", "region", "monthly_target",
-                           "annual_target", "manager_name"),
-             "dim_customer": ("customer_id", "customer_name", "city_name", "region")}
+#: Every star table with the columns that the checks cover; the fact's own
+#: columns, not the attributes copied into it.
+_PROFILED = {
+    "dim_product": ("product_id", "product_name", "subcategory_name", "category_name", "unit_price", "unit_cost",
+                    "competitor_price", "price_difference", "price_difference_pct", "avg_sentiment", "avg_rating",
+                    "review_count"),
+    "dim_store": ("store_id", "store_name", "city_name", "region", "monthly_target", "annual_target", "manager_name"),
+    "dim_customer": ("customer_id", "customer_name", "city_name", "region"),
+    "dim_date": ("date_id", "full_date", "year", "quarter", "month", "month_name", "day", "day_of_week", "day_name",
+                 "week_of_year"),
+    "fact_sales": ("order_key", "line_number", "date_id", "product_id", "store_id", "customer_id", "quantity",
+                   "total_revenue", "product_cost", "gross_profit", "shipping_cost", "marketing_cost", "net_profit"),
+    "marketing_roi": ("category", "month", "total_revenue", "marketing_cost", "roi_percent"),
+}
+_SQL_NAME = {"fact_sales": "fact"}
 
 
 def _profile_sql() -> str:
@@ -537,7 +550,7 @@ def _profile_sql() -> str:
             parts.append(
                 f"SELECT '{t}' AS table_name, {i} AS position, '{c}' AS column_name, "
                 f"count({c}) AS non_null, count(*) - count({c}) AS null_count, "
-                f"{M(f'(count(*) - count({c})) * 100.0 / count(*)')} AS null_pct FROM {t}")
+                f"{M(f'(count(*) - count({c})) * 100.0 / count(*)')} AS null_pct FROM {_SQL_NAME.get(t, t)}")
     return " UNION ALL ".join(parts)
 
 
@@ -560,7 +573,7 @@ def _completeness_sql() -> str:
             parts.append(
                 f"SELECT '{t}' AS table_name, {i} AS position, '{c}' AS column_name, "
                 f"count({c}) AS filled, {pct} AS filled_pct, coalesce({pct}, 0.0) >= 80.0 AS complete "
-                f"FROM {t}")
+                f"FROM {_SQL_NAME.get(t, t)}")
     return " UNION ALL ".join(parts)
 
 
@@ -619,32 +632,26 @@ def q_orphan_keys(spark, sf):
     })
 
 
-_STATUS_TABLES = {"dim_store": ("store_id",), "dim_customer": ("customer_id",),
-                  "dim_date": ("date_id",)}
-_STATUS_COLS = {
-    "dim_store": ("store_id", "store_name", "city_name", "region", "monthly_target",
-                  "annual_target", "manager_name"),
-    "dim_customer": ("customer_id", "customer_name", "city_name", "region"),
-    "dim_date": ("date_id", "full_date", "year", "quarter", "month", "month_name", "day",
-                 "day_of_week", "day_name", "week_of_year"),
-}
+_STATUS_TABLES = dict(_KEYED, marketing_roi=["category", "month"])
+_STATUS_COLS = _PROFILED
 
 
 def _status_sql() -> str:
     parts = []
     for t, cols in _STATUS_COLS.items():
         miss = " + ".join(f"count(*) - count({c})" for c in cols)
-        key = _STATUS_TABLES[t][0]
+        key = ", ".join(_STATUS_TABLES[t])
+        name = _SQL_NAME.get(t, t)
         pct = M(f"({miss}) * 100.0 / (count(*) * {len(cols)})")
         parts.append(f"""
 SELECT '{t}' AS table_name, count(*) AS rows, {len(cols)} AS columns,
        CAST({miss} AS BIGINT) AS missing_values, coalesce({pct}, 0.0) AS missing_pct,
-       (SELECT CAST(coalesce(sum(_n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS _n FROM {t} GROUP BY {key}))
+       (SELECT CAST(coalesce(sum(_n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS _n FROM {name} GROUP BY {key}))
          AS duplicate_keys,
        CASE WHEN coalesce({pct}, 0.0) < 5.0 AND
-                 (SELECT coalesce(sum(_n - 1), 0) FROM (SELECT count(*) AS _n FROM {t} GROUP BY {key})) = 0
+                 (SELECT coalesce(sum(_n - 1), 0) FROM (SELECT count(*) AS _n FROM {name} GROUP BY {key})) = 0
             THEN 'OK' ELSE 'WARNING' END AS status
-FROM {t}""")
+FROM {name}""")
     return " UNION ALL ".join(parts)
 
 
@@ -658,7 +665,9 @@ def q_table_status(spark, sf):
 _REQUIRED = {"dim_product": ("product_id", "product_name"),
              "dim_store": ("store_id", "store_name"),
              "dim_customer": ("customer_id", "customer_name"),
-             "fact_sales": ("date_id", "product_id", "store_id", "customer_id")}
+             "dim_date": ("date_id", "full_date"),
+             "fact_sales": ("date_id", "product_id", "store_id", "customer_id"),
+             "marketing_roi": ("category", "month")}
 
 
 @register("not_null_violations", " UNION ALL ".join(
@@ -694,7 +703,6 @@ def q_competitor_price_stats(spark, sf):
 
 # ================================================================= text
 
-_ANCHOR = "'<a\\s[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>'"
 _SCHEME = "'^([a-zA-Z][a-zA-Z0-9+.-]*:)'"
 _HOST = "'^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)'"
 
@@ -713,13 +721,16 @@ def _url_join_sql(base: str, href: str) -> str:
             f"ELSE ({pdir}) || {href} END")
 
 
+# anchors by cutting the page at "<a ": the first href of a piece, its text up to "</a>"
 _ANCHORS_SQL = f"""
-SELECT page_id, CAST(position AS INTEGER) AS position, href,
-       trim(regexp_replace(raw, '<[^>]+>', '', 'g')) AS text,
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS INTEGER) AS position, href,
+       trim(regexp_replace(raw, '<[^>]*>', '', 'g')) AS text,
        {_url_join_sql('url', 'href')} AS absolute_url
-FROM (SELECT page_id, url, unnest(h) AS href, unnest(t) AS raw, generate_subscripts(h, 1) - 1 AS position
-      FROM (SELECT page_id, url, regexp_extract_all(html, {_ANCHOR}, 1) AS h,
-                   regexp_extract_all(html, {_ANCHOR}, 2) AS t FROM pages))"""
+FROM (SELECT page_id, url, k, string_split(string_split(p, 'href="')[2], '"')[1] AS href,
+             substr(string_split(p, '</a>')[1], strpos(p, '>') + 1) AS raw
+      FROM (SELECT page_id, url, unnest(s[2:]) AS p, generate_subscripts(s[2:], 1) AS k
+            FROM (SELECT page_id, url, string_split(html, '<a ') AS s FROM pages))
+      WHERE contains(p, 'href="') AND contains(p, '</a>'))"""
 
 
 @register("page_anchors", _ANCHORS_SQL)
@@ -729,22 +740,22 @@ def q_page_anchors(spark, sf):
     return extract.page_anchors(read_table(spark, sf, "pages", ["page_id", "url", "html"]))
 
 
-_PAGINATION_SQL = """
-SELECT page_id, url,
-       coalesce(NULLIF(regexp_extract(html, '<div[^>]*class="[^"]*pagination[^"]*"[^>]*>(.*?)</div>', 1), ''),
-                NULLIF(regexp_extract(html, '<ul[^>]*class="[^"]*pagination[^"]*"[^>]*>(.*?)</ul>', 1), ''),
-                CASE WHEN regexp_matches(regexp_extract(html, '<nav[^>]*>(.*?)</nav>', 1), 'Previous|Next')
-                     THEN regexp_extract(html, '<nav[^>]*>(.*?)</nav>', 1) END, '') AS html
-FROM pages"""
+@register("page_links", """
+SELECT page_id, CAST(n - 1 AS INTEGER) AS position, CAST(n AS INTEGER) AS page_number,
+       'https://shop.example.com/a/list?page=' || (page_id + n) AS page_url
+FROM (SELECT DISTINCT CAST(floor(p_partkey / 12) AS BIGINT) AS page_id FROM part
+      WHERE p_name IS NOT NULL AND p_retailprice IS NOT NULL), (VALUES (2), (3)) AS t(n)""")
+def q_page_links(spark, sf):
+    """Pages that list the parts: links by the way the pages are made."""
+    from tillstar.operators import extract
+    from tillstar.plans.star import listing_pages
+    from tillstar.sources.tables import read_table
+    return extract.page_links(listing_pages(read_table(spark, sf, "part", ["p_partkey", "p_name", "p_retailprice"])))
 
 
-@register("page_links", f"""
-SELECT page_id, position, CAST(text AS INTEGER) AS page_number, absolute_url AS page_url
-FROM (SELECT *, min(position) OVER (PARTITION BY page_id, href) AS first_pos
-      FROM ({_ANCHORS_SQL.replace("FROM pages", "FROM (" + _PAGINATION_SQL + ")")})
-      WHERE regexp_matches(text, '^[0-9]+$') AND href <> '' AND TRY_CAST(text AS BIGINT) > 1)
-WHERE position = first_pos""")
-def q_page_links(spark, sf):
+@register("driver_page_links", "SELECT page_id, 0 AS position, 0 AS page_number, url AS page_url FROM pages "
+                               "WHERE html ILIKE '%pagination%' OR html LIKE '%Previous%' OR html LIKE '%Next%'")
+def q_driver_page_links(spark, sf):
     from tillstar.operators import extract
     from tillstar.sources.tables import read_table
     return extract.page_links(read_table(spark, sf, "pages", ["page_id", "url", "html"]))
@@ -760,11 +771,27 @@ def q_page_headings(spark, sf):
     return extract.page_headings(read_table(spark, sf, "pages", ["page_id", "html"]))
 
 
-@register("competitor_listings")
+@register("competitor_listings", """
+SELECT CAST(floor(p_partkey / 12) AS BIGINT) AS page_id,
+       CAST(row_number() OVER (PARTITION BY floor(p_partkey / 12) ORDER BY p_partkey) - 1 AS INTEGER) AS position,
+       trim(p_name) AS competitor_product_name, floor(p_retailprice) AS competitor_price,
+       'Ref: P-' || p_partkey AS product_reference, 'DZD' AS currency
+FROM part WHERE p_name IS NOT NULL AND p_retailprice >= 1 AND p_partkey % 7 <> 0""")
 def q_competitor_listings(spark, sf):
+    """Pages that list the parts, read back: one listing for each priced part."""
+    from tillstar.operators import extract
+    from tillstar.plans.star import listing_pages
+    from tillstar.sources.tables import read_table
+    return extract.competitor_listings(listing_pages(
+        read_table(spark, sf, "part", ["p_partkey", "p_name", "p_retailprice"])))
+
+
+@register("driver_listings", "SELECT page_id FROM pages WHERE html LIKE '%DZD%'")
+def q_driver_listings(spark, sf):
+    """The pages table holds no listing; every page is searched."""
     from tillstar.operators import extract
     from tillstar.sources.tables import read_table
-    return extract.competitor_listings(read_table(spark, sf, "pages", ["page_id", "html"], spread=True))
+    return extract.competitor_listings(read_table(spark, sf, "pages", ["page_id", "html"], spread=True)).select("page_id")
 
 
 _INVOICES: dict[tuple[str, str], DataFrame] = {}
@@ -1016,3 +1043,104 @@ def q_warehouse_row_counts(spark, sf):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# ================================================= files, catalog, sinks
+
+@register("csv_roundtrip", """
+SELECT review_id, product_id, CAST(NULL AS VARCHAR) AS customer_id, CAST(rating AS VARCHAR) AS rating,
+       nullif('"' || replace(review_text, chr(13), '') || '", he said', '') AS review_text FROM reviews""")
+def q_csv_roundtrip(spark, sf):
+    """SNK1, SRC1: the reviews, with quotes added and their line breaks kept,
+    written as CSV and read back by the declared schema."""
+    import os
+
+    from tillstar.plans.star import reviews_from_documents
+    from tillstar.session import scratch_path
+    from tillstar.sources import files, sinks
+    from tillstar.sources.tables import read_table
+    docs = read_table(spark, sf, "documents", ["doc_id", "text"], spread=True)
+    n = F.greatest(read_table(spark, sf, "part", ["p_partkey"]).agg(F.count(F.lit(1))).scalar(), F.lit(1))
+    rows = reviews_from_documents(docs, n).select(
+        "review_id", "product_id", F.lit(None).cast("string").alias("customer_id"),
+        F.col("rating").cast("string").alias("rating"),
+        F.concat(F.lit('"'), F.replace("review_text", F.lit("\r"), F.lit("")), F.lit('", he said')).alias("review_text"))
+    root = scratch_path(spark, "csv")
+    sinks.save_tables({"reviews": rows}, root)
+    back = files.read_csv(spark, os.path.join(root, "reviews"), files.SCHEMAS["reviews"], enforce_schema=True)
+    return back.withColumn("product_id", F.col("product_id").cast("long"))
+
+
+@register("flat_files", f"""
+SELECT 'marketing_expenses' AS sheet, count(*) AS rows, {M('sum(usd)')} AS amount FROM (SELECT DISTINCT * FROM mkt)
+UNION ALL SELECT 'monthly_targets', count(*), {M('sum(CAST(s_acctbal AS DECIMAL(18,2)))')} FROM supplier WHERE s_acctbal > 0
+UNION ALL SELECT 'shipping_rates', count(*), {M('sum(shipping_rate)')} FROM ship""")
+def q_flat_files(spark, sf):
+    """SNK1, SRC2, CLN1-3: the three sheets written as CSV, loaded and cleaned."""
+    from tillstar.operators import clean
+    from tillstar.plans.star import marketing_sheet, shipping_sheet, target_sheet
+    from tillstar.session import scratch_path
+    from tillstar.sources import files, sinks
+    from tillstar.sources.tables import read_table
+    totals = _wh(spark, sf).table("category_month_revenue")
+    supplier = read_table(spark, sf, "supplier", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"])
+    root = scratch_path(spark, "flat")
+    sheets = {"marketing_expenses.csv": marketing_sheet(totals), "monthly_targets.csv": target_sheet(supplier),
+              "shipping_rates.csv": shipping_sheet(spark)}
+    sinks.save_tables(sheets, root)
+    m, t, s = files.load_flat_files(spark, root)
+    s = clean.clean_shipping(s).groupBy("region_name").agg(F.max("shipping_cost").alias("shipping_cost"))
+    one = lambda df, name, c: df.agg(F.lit(name).alias("sheet"), F.count(F.lit(1)).alias("rows"),
+                                     money(F.sum(F.col(c).cast("decimal(18,2)"))).alias("amount"))
+    return (one(clean.clean_marketing(m), "marketing_expenses", "marketing_cost_usd")
+            .unionByName(one(clean.clean_targets(t), "monthly_targets", "target_revenue"))
+            .unionByName(one(s, "shipping_rates", "shipping_cost")))
+
+
+_CATALOG = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+
+
+def _views(spark, sf):
+    from tillstar.sources import catalog
+    from tillstar.sources.tables import read_table
+    catalog.register_views({f"t_{n}": read_table(spark, sf, n) for n in _CATALOG})
+    return catalog
+
+
+@register("table_list", " UNION ALL ".join(f"SELECT 't_{n}' AS name" for n in _CATALOG))
+def q_table_list(spark, sf):
+    """SRC9."""
+    return _views(spark, sf).table_list(spark).where(F.col("name").isin(*(f"t_{n}" for n in _CATALOG)))
+
+
+@register("table_info", " UNION ALL ".join(
+    f"SELECT 't_{n}' AS table_name, column_name AS name, CAST(ordinal_position - 1 AS INTEGER) AS cid, "
+    f"(SELECT count(*) FROM {n}) AS row_count FROM (SELECT column_name, ordinal_position "
+    f"FROM (SELECT unnest(c) AS column_name, generate_subscripts(c, 1) AS ordinal_position "
+    f"FROM (SELECT list(column_name ORDER BY column_index) AS c FROM duckdb_columns() WHERE table_name = '{n}')))"
+    for n in _CATALOG))
+def q_table_info(spark, sf):
+    """SRC7, SRC10: structure and row count of each table."""
+    cat, out = _views(spark, sf), None
+    for n in _CATALOG:
+        structure = cat.table_schema(spark, f"t_{n}")
+        rows = cat.row_count(spark, f"t_{n}").scalar()
+        df = structure.select(F.lit(f"t_{n}").alias("table_name"), "name", "cid", rows.alias("row_count"))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+@register("table_preview", "SELECT * FROM (SELECT c_custkey, c_name, c_nationkey FROM customer ORDER BY c_custkey LIMIT 100)")
+def q_table_preview(spark, sf):
+    """SRC12, SRC8: the first rows by key."""
+    cat = _views(spark, sf)
+    return cat.preview(spark, "t_customer", 100, ["c_custkey"]).select("c_custkey", "c_name", "c_nationkey")
+
+
+@register("sql_parameters", """
+SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey BETWEEN 10 AND 40 AND o_orderdate >= DATE '1995-01-01'""")
+def q_sql_parameters(spark, sf):
+    """SRC8: values are bound, not pasted."""
+    return _views(spark, sf).run_sql(
+        spark, "SELECT o_orderkey, o_custkey FROM t_orders WHERE o_custkey BETWEEN :lo AND :hi "
+               "AND o_orderdate >= CAST(:since AS DATE)", {"lo": 10, "hi": 40, "since": "1995-01-01"})

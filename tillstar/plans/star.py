@@ -169,6 +169,48 @@ def fuzzy_catalogue(part: DataFrame) -> DataFrame:
                         F.concat(F.col("competitor_product_name"), F.lit(FUZZY_SUFFIX))))
 
 
+LISTINGS_A_PAGE = 12   # parts on a listing page
+PAGES_LINKED = 3       # pages a listing page links to
+
+
+def listing_pages(part: DataFrame) -> DataFrame:
+    """Shop pages that list our parts, LISTINGS_A_PAGE to a page, in the shapes
+    that real pages come in: by page number, containers are ``col-`` blocks,
+    cards, product blocks or bare blocks; names stand in links, headings or
+    classed links; prices are the last of two; every seventh part has none. The
+    pagination is a block over several lines, one with nested blocks, a list, a
+    navigation named by its labels, or a block in single quotes."""
+    no = F.floor(F.col("p_partkey") / LISTINGS_A_PAGE).cast("long")
+    kind, k = F.pmod(no, F.lit(4)), F.col("p_partkey")
+    name = F.replace(F.replace(F.col("p_name"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    dinar = F.floor("p_retailprice").cast("long").cast("string")
+    price = F.when(k % 7 == 0, "<p>on request</p>").otherwise(
+        F.concat(F.lit("<p><s>99999 DZD</s>\n <b>"), dinar, F.lit(" DZD</b></p>")))
+    title = (F.when(k % 3 == 0, F.concat(F.lit("<a href='/p/"), k.cast("string"), F.lit("'>Promo: "), name, F.lit("</a>")))
+             .when(k % 3 == 1, F.concat(F.lit("<H3 class=t>\n"), name, F.lit("</H3>")))
+             .otherwise(F.concat(F.lit("<a class='n'><i>"), name, F.lit("</i></a>"))))
+    inner = F.concat(title, F.lit("<div><span>Ref: P-"), k.cast("string"), F.lit("</span></div>"), price)
+    opening = (F.when(kind == 0, "<div class=\"x col-md-4\">").when(kind == 1, "<div\n class='card'>")
+               .when(kind == 2, "<DIV class=\"product-box\">").otherwise("<div>"))
+    rows = (part.where("p_name IS NOT NULL AND p_retailprice IS NOT NULL")
+            .select(no.alias("page_id"), k.alias("k"), F.concat(opening, inner, F.lit("</div>")).alias("b"))
+            .groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("k", "b"))).alias("l")))
+    p = F.col("page_id")
+    links = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(PAGES_LINKED)), lambda i: F.concat(
+        F.lit("<a href=\"../list?page="), (p + i).cast("string"), F.lit("\">\n"), i.cast("string"), F.lit("</a>"))), " ")
+    shape = F.pmod(p, F.lit(5))
+    nav = (F.when(shape == 0, F.concat(F.lit("<div class=\"pagination\">\n"), links, F.lit("\n</div>")))
+           .when(shape == 1, F.concat(F.lit("<div class='my-pagination'><div>1</div>"), links, F.lit("</div>")))
+           .when(shape == 2, F.concat(F.lit("<ul class=\"pagination\"><li>"), links, F.lit("</li></ul>")))
+           .when(shape == 3, F.concat(F.lit("<nav><span>Previous</span>"), links, F.lit("<b>Next</b></nav>")))
+           .otherwise(F.concat(F.lit("<DIV Class='a pagination b'>"), links, F.lit("</DIV>"))))
+    # a page without a container class must not be split at other blocks
+    return rows.select(
+        "page_id", F.concat(F.lit("https://shop.example.com/a/b/"), p.cast("string")).alias("url"),
+        F.concat(F.lit("<html><script>var t='<div class=\"col-1\">5 DZD';</script><a href=\"/x\">7</a>"), nav,
+                 F.array_join(F.transform("l", lambda r: r["b"]), "\n"), F.lit("</html>")).alias("html"))
+
+
 def geography(spark, sf_dir) -> DataFrame:
     nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
     region = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
@@ -326,7 +368,7 @@ def build_fact(spark: SparkSession, sf_dir: str, root: str, d: dict[str, DataFra
         "customer_id", "customer_name", F.col("city_name").alias("customer_city"),
         F.col("region").alias("customer_region"), F.lit(True).alias("_c"))
     ship = clean.clean_shipping(shipping_sheet(spark))
-    ship = (ship.groupBy("region_name").agg(F.first("shipping_cost").alias("shipping_rate"))
+    ship = (ship.groupBy("region_name").agg(F.max("shipping_cost").alias("shipping_rate"))  # of two rates the higher
             .withColumnRenamed("region_name", "_ship_region"))
 
     enriched = (sales.join(prod, "product_id", "left")
