@@ -1144,3 +1144,52 @@ def q_sql_parameters(spark, sf):
     return _views(spark, sf).run_sql(
         spark, "SELECT o_orderkey, o_custkey FROM t_orders WHERE o_custkey BETWEEN :lo AND :hi "
                "AND o_orderdate >= CAST(:since AS DATE)", {"lo": 10, "hi": 40, "since": "1995-01-01"})
+
+
+@register("etl_star", """
+SELECT order_key * 8 + line_number AS sale_id, date_id, product_id, store_id, customer_id, quantity,
+       CAST(total_revenue AS DECIMAL(18,4)) AS total_revenue, product_cost, shipping_cost, marketing_cost, net_profit
+FROM fact""")
+def q_etl_star(spark, sf):
+    """ETL1, JN4, PRJ1-6: the driver tables written as extracted CSV files, read
+    back by name, and the whole pipeline run over them; the fact by its contract."""
+    from tillstar.plans import etl
+    from tillstar.plans import star as S
+    from tillstar.session import scratch_path
+    from tillstar.sources import files, sinks
+    from tillstar.sources.tables import read_table
+    rd = lambda t: read_table(spark, sf, t)
+    wh = _wh(spark, sf)
+    part, docs = S.products_from_part(rd("part")), rd("documents")
+    kinds = part.select(F.col("category_name")).distinct().withColumn(
+        "category_id", F.pmod(F.hash("category_name"), F.lit(1 << 30)))
+    prods = part.withColumn("subcat_id", F.col("product_id").cast("int"))
+    sales = S.sales_from_orders(rd("lineitem"), rd("orders"))
+    root = scratch_path(spark, "extracted")
+    sinks.save_tables({f"{n}.csv": df for n, df in {
+        "sales": sales.select((F.col("order_key") * 8 + F.col("line_number")).alias("Trans_ID"),
+                              F.col("full_date").alias("Date"), F.col("store_id").alias("Store_ID"),
+                              F.col("product_id").alias("Product_ID"), F.col("customer_id").alias("Customer_ID"),
+                              F.col("quantity").alias("Quantity"), F.col("total_revenue").alias("Total Revenue")),
+        "products": prods.select("product_id", "product_name", "subcat_id", "unit_price", "unit_cost"),
+        "subcategories": prods.join(kinds, "category_name", "left").select(
+            F.col("subcat_id").alias("Sub_Category_ID"), F.col("subcategory_name").alias("Sub_Category_Name"), "category_id"),
+        "categories": kinds.select("category_id", "category_name"),
+        "stores": rd("supplier").select(F.col("s_suppkey").alias("store_id"), F.col("s_name").alias("store_name"),
+                                        F.col("s_nationkey").alias("city_id")),
+        "cities": S.geography(spark, sf).select(F.col("nationkey").alias("city_id"), "city_name",
+                                                F.col("region").alias("Region_Name")),
+        "customers": rd("customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("full_name"),
+                                           F.col("c_nationkey").alias("city_id")),
+        "reviews": S.reviews_from_documents(docs.select("doc_id", "text"), F.greatest(
+            rd("part").agg(F.count(F.lit(1))).scalar(), F.lit(1))).select("review_id", "product_id", "rating", "review_text"),
+        "marketing_expenses": S.marketing_sheet(wh.table("category_month_revenue")),
+        "monthly_targets": S.target_sheet(rd("supplier")),
+        "shipping_rates": S.shipping_sheet(spark),
+    }.items()}, root)
+    out = etl.run_etl(files.read_extracted(spark, root), write_to=scratch_path(spark, "etl"))
+    num = lambda c: F.col(c).cast("long").alias(c)
+    return out["fact_sales"].select(
+        "sale_id", "date_id", num("product_id"), num("store_id"), num("customer_id"), "quantity",
+        F.col("total_revenue").cast("decimal(18,4)").alias("total_revenue"),
+        *(F.col(c).cast("decimal(18,4)").alias(c) for c in ("product_cost", "shipping_cost", "marketing_cost", "net_profit")))
