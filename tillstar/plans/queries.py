@@ -794,7 +794,7 @@ def q_driver_listings(spark, sf):
     return extract.competitor_listings(read_table(spark, sf, "pages", ["page_id", "html"], spread=True)).select("page_id")
 
 
-_INVOICES: dict[tuple[str, str], DataFrame] = {}
+_INVOICES: dict[tuple, DataFrame] = {}
 
 
 def _invoices(spark, sf):

@@ -37,7 +37,7 @@ from tillstar.functions.dates import date_attributes
 from tillstar.functions.money import MONEY
 from tillstar.operators import clean, dims, facts, matching, sentiment
 from tillstar.session import scratch_path
-from tillstar.sources.tables import literal_table, read_table
+from tillstar.sources.tables import DRIVER_TABLES, table_path, literal_table, read_table
 
 # Fixed values of our mapping (both the Spark build and the SQL oracle use them).
 COST_RATIO = "0.70"            # unit cost = retail price * ratio
@@ -98,16 +98,30 @@ class Warehouse:
         return self.fact.where(F.col("in_star"))
 
 
-_CACHE: dict[tuple[str, str], Warehouse] = {}
+_CACHE: dict[tuple, Warehouse] = {}
 _LOCK = threading.RLock()
 
 
-def session_key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+def _input_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Length and time of each input table's files, so that a changed table is
+    not answered from an earlier build."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    state = []
+    for name in DRIVER_TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, name))
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            files = fs.listStatus(path)
+            state.append((name, tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)))
+    return tuple(state)
+
+
+def session_key(spark: SparkSession, sf_dir: str) -> tuple:
+    path = sf_dir if "://" in sf_dir else os.path.abspath(sf_dir)
     try:
-        app = spark.sparkContext.applicationId
+        return spark.sparkContext.applicationId, path, _input_state(spark, sf_dir)
     except Exception:  # Spark Connect: no SparkContext on the client
-        app = str(id(spark))
-    return app, os.path.abspath(sf_dir)
+        return str(id(spark)), path, ()
 
 
 def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:

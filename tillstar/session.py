@@ -134,6 +134,13 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     return os.path.join(base, "tillstar", *parts, uuid.uuid4().hex)
 
 
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete what the engine wrote below the checkpoint folder. Frames that read
+    it are lost; call it when a session's results have been saved."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(checkpoint_dir(spark), "tillstar"))
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+
+
 def materialize(df, name: str = "tmp"):
     """Write ``df`` once to the shared checkpoint folder and read it back: cuts
     the lineage and lets several later passes reuse the computed rows (a lost
