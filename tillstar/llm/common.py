@@ -50,15 +50,41 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(run, schema)
 
 
+#: Words of 64 bits in the sketch of :func:`probably_in`.
+SKETCH_WORDS = 1 << 17
+
+
+def probably_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``df`` without most of the rows whose ``key`` (long) isn't in ``ids`` (one
+    column): a Bloom filter of SKETCH_WORDS words, built on the cluster and
+    broadcast, spares them the shuffle of the exact join that must follow. A
+    full filter lets everything pass."""
+    def place(c):
+        h = F.xxhash64(c)
+        return F.pmod(h, F.lit(SKETCH_WORDS)).cast("int"), F.pmod(F.shiftright(h, 40), F.lit(64)).cast("int")
+    slot, bit = place(F.col(ids.columns[0]))
+    words = (ids.select(slot.alias("_w_slot"), F.expr("1L").alias("_w_one"), bit.alias("_w_bit"))
+             .groupBy("_w_slot").agg(F.expr("bit_or(shiftleft(_w_one, _w_bit))").alias("_w_word")))
+    slot, bit = place(F.col(key))
+    # at most SKETCH_WORDS rows of 12 bytes, whatever the input
+    return (df.withColumn("_w_slot", slot).withColumn("_w_bit", bit).join(F.broadcast(words), "_w_slot")
+            .where(F.expr("getbit(_w_word, _w_bit) = 1")).select(*df.columns))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of the undirected ``edges`` (``a`` long, ``b``
-    long): (node, root), root the least node reachable. Alternating large and
-    small stars; each step is an aggregation with map-side combine and a join
-    that adaptive execution can split, so that a hub is never one group."""
+    long): (node, root), root the least node reachable; only nodes with an edge.
+    Alternating large and small stars; each step is an aggregation with map-side
+    combine and a join that adaptive execution can split, so that a hub is never
+    one group. Done when all edges are stars: each node has one edge to a root."""
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
             .where("a <> b").distinct(), name)
-    before = None
     while True:
+        ends = (e.select("a", F.lit(1).alias("up"), F.lit(0).alias("root"))
+                .unionByName(e.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+                .groupBy("a").agg(F.sum("up").alias("up"), F.max("root").alias("root")))
+        if ends.where("up > 1 OR up > 0 AND root > 0").isEmpty():
+            break
         sides = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = sides.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = (sides.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -67,9 +93,5 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         small = large.join(low, "a")
         e = cut(small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
                 .unionByName(low.select("a", F.col("m").alias("b"))).distinct(), name)
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
     return (e.select(F.col("a").alias("node"), F.col("b").alias("root"))
             .unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct())

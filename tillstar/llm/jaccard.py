@@ -12,8 +12,9 @@ links that decide which documents belong together.
    x there are two neighbours that are shared and neighbours in y too. One
    subtree for each such pair of neighbours therefore brings every link
    together, and hardly anything else.
-3. A first round links each class to the least class it shares most subtrees
-   with, checked exactly. Subtrees whose classes are all connected are done.
+3. A first round links each class to a leader of its subtrees, the class that is
+   in the largest ones, checked exactly. Subtrees whose classes are all connected
+   are done.
 4. In the others, nodes hold the OR of their classes' shingle bitmaps and the
    range of their sizes. Two trees are traversed together, and a pair of nodes
    is dropped when the most overlap it allows is below the least overlap a link
@@ -148,7 +149,8 @@ def _subtrees(docs: DataFrame, k: int, num: int, den: int, heavy) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """(fp, shingles as 6-byte words) of the classes ``reps`` (id, fp)."""
+    """(fp, shingles as 5-byte words) of the classes ``reps`` (id, fp). Of the 47
+    bits of a shingle 40 tell those of two texts apart."""
     def run(b):
         want = b.column("fp").to_numpy()
         done = 0
@@ -157,34 +159,35 @@ def _whole_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
             fp, n = _set_hash(tok, doc, c.n)
             ok = fp == want[done:done + c.n]       # an id may stand for other texts too
             done += c.n
-            six = tok[ok[doc]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            five = np.ascontiguousarray(tok[ok[doc]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(fp[ok]), _binary(six.ravel(), np.concatenate(([0], np.cumsum(n[ok] * 6))))],
+                [pa.array(fp[ok]), _binary(five.ravel(), np.concatenate(([0], np.cumsum(n[ok] * 5))))],
                 names=["fp", "toks"])
-    both = docs.select(F.col("_j_id").alias("id"), "_j_text").join(reps, "id")
+    texts = common.probably_in(docs, "_j_id", reps.select("id"))
+    both = texts.select(F.col("_j_id").alias("id"), "_j_text").join(reps, "id")
     return common.map_batches(both.select("fp", "_j_text"), run, "fp long, toks binary").dropDuplicates(["fp"])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link, by the whole sets."""
+def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int, extra: tuple = ()) -> DataFrame:
+    """The pairs (a, b) that link, by the whole sets; ``extra`` columns go along."""
     def words(raw):
-        x = np.zeros((len(raw) // 6, 8), np.uint8)
-        x[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+        x = np.zeros((len(raw) // 5, 8), np.uint8)
+        x[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
         return x.view("<u8").ravel()
 
     def run(b):
         keep, last, x = [], None, None
-        for a_id, ta, tb in zip(b.column(0).to_pylist(), b.column(2), b.column(3)):
+        for a_id, ta, tb in zip(b.column("a").to_pylist(), b.column("ta"), b.column("tb")):
             if a_id != last:
                 last, x = a_id, words(ta.as_py())
             y = words(tb.as_py())
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(den * both >= num * (len(x) + len(y) - both))
-        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield b.select(["a", "b", *extra]).filter(pa.array(keep, pa.bool_()))
     full = (pairs.join(sets.select(F.col("fp").alias("a"), F.col("toks").alias("ta")), "a")
             .join(sets.select(F.col("fp").alias("b"), F.col("toks").alias("tb")), "b")
-            .select("a", "b", "ta", "tb"))
-    return common.map_batches(full, run, "a long, b long")
+            .select("a", "b", *extra, "ta", "tb"))
+    return common.map_batches(full, run, ", ".join(f"{c} long" for c in ("a", "b", *extra)))
 
 
 class Tree:
@@ -255,14 +258,16 @@ def _open(kids, i, other):
 
 
 def _tree_join(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of classes that the trees can't rule out. ``rows``: (key,
-    lo, hi, side, fp, n, comp, sig), grouped by (key, lo, hi)."""
+    """Pairs of classes that the trees can't rule out, with their components and
+    the subtrees that pair them: (a, b, ca, cb, m). ``rows``: (key, lo, hi, side,
+    fp, n, comp, sig), grouped by (key, lo, hi)."""
     def group(t):
         side, n, comp, fp = (t[c] for c in ("side", "n", "comp", "fp"))
         halves = [np.arange(len(n))] if side.min() == side.max() else [np.flatnonzero(side == s) for s in (side.min(), side.max())]
         trees = [Tree(t["sig"][h], n[h], comp[h]) for h in halves]
         for i, j in traverse(trees[0], trees[-1], num, den):
-            yield fp[halves[0][i]], fp[halves[-1][j]]
+            i, j = halves[0][i], halves[-1][j]
+            yield fp[i], fp[j], comp[i], comp[j]
 
     def flush(t):
         cut = np.flatnonzero(np.concatenate(([True], (t["key"][1:] != t["key"][:-1]) | (t["lo"][1:] != t["lo"][:-1])
@@ -276,17 +281,23 @@ def _tree_join(rows: DataFrame, num: int, den: int) -> DataFrame:
             flat = (t["sig"], t["n"], t["n"], t["n"] - np.bitwise_count(t["sig"]).sum(1).astype(np.int64), t["comp"],
                     np.ones(len(t["n"]), bool))
             ok = _possible(flat, two, flat, two + 1, num, den)
-            got.append((t["fp"][two[ok]], t["fp"][two[ok] + 1]))
+            two = two[ok]
+            got.append((t["fp"][two], t["fp"][two + 1], t["comp"][two], t["comp"][two + 1]))
         for s, e in zip(cut[:-1], cut[1:]):
             if e - s < 2 or (e - s == 2 and not crossed[s]) or (crossed[s] and t["side"][s:e].min() == t["side"][s:e].max()):
                 continue
             got += group({c: v[s:e] for c, v in t.items()})
         if not got:
             return None
-        x = np.concatenate([g[0] for g in got])
-        y = np.concatenate([g[1] for g in got])
-        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        x, y, cx, cy = (np.concatenate([g[k] for g in got]) for k in range(4))
+        swap = x > y
+        ends = np.stack([np.where(swap, y, x), np.where(swap, x, y), np.where(swap, cy, cx), np.where(swap, cx, cy)])
+        order = np.lexsort(ends[1::-1])
+        ends = ends[:, order]
+        new = np.flatnonzero(np.concatenate(([True], (np.diff(ends[:2], axis=1) != 0).any(0)))) if len(order) else order
+        m = np.diff(np.append(new, len(order)))
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (*ends[:, new], m.astype(np.int64))],
+                                          names=["a", "b", "ca", "cb", "m"])
 
     def run(batches):
         held = None
@@ -306,7 +317,7 @@ def _tree_join(rows: DataFrame, num: int, den: int) -> DataFrame:
         if held is not None and (out := flush(held)):
             yield out
     return (rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "fp")
-            .mapInArrow(run, "a long, b long"))
+            .mapInArrow(run, "a long, b long, ca long, cb long, m long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS,
@@ -328,28 +339,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     w = W.partitionBy("key", "salt")
     members = common.cut(
         keys.withColumn("lo", F.min("fp").over(w)).withColumn("hi", F.max("fp").over(w))
-        .where("late or lo <> hi").select("key", "salt", "fp", "lo", "late").dropDuplicates(["key", "salt", "fp"]), "members")
-    late = members.where("late")
-    ends = late.groupBy("key").agg(F.min("lo").alias("glo"), F.max("fp").alias("ghi")).where("glo <> ghi")
-    members = common.cut(members.where("not late").select("key", "fp", "lo")
-                         .unionByName(late.join(ends, "key").select("key", "fp", F.col("glo").alias("lo"))), "members")
+        .where("late or lo <> hi").select("key", "salt", "fp").dropDuplicates(["key", "salt", "fp"]), "members")
+    # classes in a subtree; its leader is the class that is in the largest subtrees
+    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sized = members.join(size, "key").select("key", "fp", "size")
+    weight = sized.groupBy("fp").agg(F.avg("size").alias("w"))
+    sized = common.cut(sized.join(weight, "fp"), "members")
+    leads = sized.groupBy("key").agg(F.max(F.struct("w", F.col("fp").alias("lead"))).alias("l"))
+    members = common.cut(sized.join(leads, "key").select("key", "fp", F.col("l.lead").alias("lead")), "members")
 
     reps = (base.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("id"))
             .join(members.select("fp").distinct(), "fp", "left_semi"))
     reps = common.cut(reps, "reps")
     sets = common.cut(_whole_sets(src, reps, words), "sets")
 
-    # first round: each class with the least class it meets most often
-    stars = (members.where("fp <> lo").groupBy("fp", "lo").count()
-             .groupBy("fp").agg(F.max(F.struct("count", F.col("lo").alias("lo"))).alias("m"))
-             .select(F.col("m.lo").alias("a"), F.col("fp").alias("b")))
-    links = common.cut(_linked(stars, sets, num, den), "links")
-    comp = common.components(links, "first")
+    # first round: each class with the leader that it shares most subtrees with
+    stars = (members.where("fp <> lead").groupBy("fp", "lead").count()
+             .groupBy("fp").agg(F.max(F.struct("count", F.col("lead").alias("lead"))).alias("m"))
+             .select(F.col("m.lead").alias("a"), F.col("fp").alias("b")))
+    comp = common.components(common.cut(_linked(stars, sets, num, den), "links"), "first")
 
     # second round: the trees, over subtrees that hold more than one component
-    known = members.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "key", "fp", F.coalesce("root", "fp").alias("comp"))
-    known = common.cut(known, "known")
+    known = common.cut(members.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "key", "fp", F.coalesce("root", "fp").alias("comp")), "known")
     open_keys = (known.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"),
                                           F.count(F.lit(1)).alias("size")).where("c1 <> c2"))
     sigs = base.join(reps, ["fp", "id"], "left_semi").dropDuplicates(["fp"]).select("fp", "n", "sig")
@@ -359,9 +371,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
             .select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"),
                     "side", "fp", "comp").join(sigs, "fp"))
-    pairs = _tree_join(rows, num, den).distinct()
-    more = common.cut(_linked(pairs, sets, num, den), "links")
-    comp = common.components(links.unionByName(more), "all")
+    pairs = common.cut(_tree_join(rows, num, den).groupBy("a", "b").agg(
+        F.sum("m").alias("m"), F.first("ca").alias("ca"), F.first("cb").alias("cb")), "pairs")
+    # one pair of each two components, then all pairs of what is still apart
+    between = (F.least("ca", "cb"), F.greatest("ca", "cb"))
+    best = (pairs.groupBy(between[0].alias("ca"), between[1].alias("cb"))
+            .agg(F.max(F.struct("m", F.col("a").alias("a"), F.col("b").alias("b"))).alias("x"))
+            .select("x.a", "x.b", "ca", "cb"))
+    joined = common.components(common.cut(_linked(best, sets, num, den, ("ca", "cb")), "links")
+                               .select(F.col("ca").alias("a"), F.col("cb").alias("b")), "second")
+    left = joined.select(F.col("node").alias("ca"), F.col("root").alias("ra"))
+    right = joined.select(F.col("node").alias("cb"), F.col("root").alias("rb"))
+    apart = (pairs.join(left, "ca", "left").join(right, "cb", "left")
+             .withColumn("ca", F.coalesce("ra", "ca")).withColumn("cb", F.coalesce("rb", "cb")).where("ca <> cb")
+             .join(best.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "ca", "cb"))
+    last = common.components(common.cut(_linked(apart, sets, num, den, ("ca", "cb")), "links")
+                             .select(F.col("ca").alias("a"), F.col("cb").alias("b")), "third")
+    for more in (joined, last):
+        nxt = more.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        comp = (comp.join(nxt, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+                .unionByName(nxt.join(comp, nxt["root"] == comp["node"], "left_anti")
+                             .select(F.col("root").alias("node"), F.col("further").alias("root"))).distinct())
 
     linked = F.expr("n > 0 AND id IS NOT NULL")
     named = (base.where(linked).groupBy("fp").agg(F.min("id").alias("id"))
