@@ -25,25 +25,6 @@ def dec(c, precision: int = 18, scale: int = 4) -> Column:
     return _c(c).try_cast(f"decimal({precision},{scale})")
 
 
-def dsum(c) -> Column:
-    """Exact sum of a money expression."""
-    return F.sum(dec(c))
-
-
-def to_double(c) -> Column:
-    return _c(c).cast("double")
-
-
 def money(c, scale: int = 2) -> Column:
     """Round to ``scale`` digits, half-up on the decimal value, as double."""
     return F.round(_c(c).cast("decimal(38,6)"), scale).cast("double")
-
-
-def ratio(num, den) -> Column:
-    """num / den in double, NULL when den is 0 or NULL (NULLIF guard)."""
-    return F.try_divide(to_double(num), to_double(den))
-
-
-def pct(num, den, scale: int = 2) -> Column:
-    """Rounded percentage num*100/den, NULL on a zero denominator."""
-    return money(F.try_divide(to_double(num) * F.lit(100.0), to_double(den)), scale)

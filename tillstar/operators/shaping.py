@@ -99,3 +99,10 @@ def target_bands(store_ranking: DataFrame, maximum: float = 100.0) -> DataFrame:
                      gauge_step(a, F.lit(maximum)).alias("step"),
                      target_status(a).alias("status"))
             .agg(F.count(F.lit(1)).alias("store_count")))
+
+
+def profit_bands(fact: DataFrame) -> DataFrame:
+    """KPI2: stores by the sign of their net profit."""
+    per = fact.groupBy("store_id").agg(F.sum("net_profit").alias("_p"))
+    return (per.where("_p IS NOT NULL").groupBy(profit_status(F.col("_p")).alias("status"))
+            .agg(F.count(F.lit(1)).alias("store_count"), money(F.sum("_p")).alias("net_profit")))

@@ -1193,3 +1193,11 @@ def q_etl_star(spark, sf):
         "sale_id", "date_id", num("product_id"), num("store_id"), num("customer_id"), "quantity",
         F.col("total_revenue").cast("decimal(18,4)").alias("total_revenue"),
         *(F.col(c).cast("decimal(18,4)").alias(c) for c in ("product_cost", "shipping_cost", "marketing_cost", "net_profit")))
+
+
+@register("profit_bands", f"""
+SELECT CASE WHEN p >= 0 THEN 'profit' ELSE 'loss' END AS status, count(*) AS store_count, {M('sum(p)')} AS net_profit
+FROM (SELECT store_id, sum(net_profit) AS p FROM star GROUP BY store_id) WHERE p IS NOT NULL GROUP BY 1""")
+def q_profit_bands(spark, sf):
+    """KPI2."""
+    return SH.profit_bands(_wh(spark, sf).star)
