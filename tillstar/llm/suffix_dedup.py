@@ -35,9 +35,10 @@ from . import kernels as K
 
 WIDTH = 400
 SEED = 32
-MAX_REGIONS = 256
-#: Bytes of regions sorted together; whole anchors, so somewhat more.
-SORT_BYTES = 1 << 18
+MAX_REGIONS = 1024
+#: Bytes of regions sorted together; whole anchors, so somewhat more. A suffix
+#: that is sorted directly takes width + 40 bytes or so meanwhile.
+SORT_BYTES = 1 << 19
 
 
 def _text_hash(c: K.Chunk) -> np.ndarray:
@@ -260,7 +261,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(
                 cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["anchor", "region", "d", "bytes"])
-    joined = wanted.join(src, wanted["id"].eqNullSafe(src["_x_id"])).select("cls", "rs", "_x_text")
+    texts = common.probably_in(src, "_x_id", wanted.select("id"))
+    joined = wanted.join(texts, wanted["id"].eqNullSafe(texts["_x_id"])).select("cls", "rs", "_x_text")
     regions = common.cut(common.map_batches(joined, extract, "anchor long, region long, d long, bytes binary"), "texts")
     found = (_sorted_repeats(regions.where(F.col("d") <= MAX_REGIONS).drop("d"), width)
              .unionByName(_counted_repeats(regions.where(F.col("d") > MAX_REGIONS).drop("d"), width)))
@@ -320,6 +322,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: in
             names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
     # classes of one row, so that no id meets a text of its own twice
     some = state.where("NOT all AND spans IS NOT NULL").select("id", "cls", "spans")
-    joined = some.join(src, some["id"].eqNullSafe(src["_x_id"])).select("id", "cls", "spans", "_x_text")
+    texts = common.probably_in(src, "_x_id", some.select("id"))
+    joined = some.join(texts, some["id"].eqNullSafe(texts["_x_id"])).select("id", "cls", "spans", "_x_text")
     part = common.map_batches(joined, strip, f"id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {span_type}")
     return same.unionByName(gone).unionByName(part)
