@@ -339,14 +339,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     w = W.partitionBy("key", "salt")
     members = common.cut(
         keys.withColumn("lo", F.min("fp").over(w)).withColumn("hi", F.max("fp").over(w))
-        .where("late or lo <> hi").select("key", "salt", "fp").dropDuplicates(["key", "salt", "fp"]), "members")
-    # classes in a subtree; its leader is the class that is in the largest subtrees
-    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sized = members.join(size, "key").select("key", "fp", "size")
-    weight = sized.groupBy("fp").agg(F.avg("size").alias("w"))
-    sized = common.cut(sized.join(weight, "fp"), "members")
-    leads = sized.groupBy("key").agg(F.max(F.struct("w", F.col("fp").alias("lead"))).alias("l"))
-    members = common.cut(sized.join(leads, "key").select("key", "fp", F.col("l.lead").alias("lead")), "members")
+        .withColumn("size", F.count(F.lit(1)).over(w)).where("late or lo <> hi")
+        .select("key", "salt", "fp", "size").dropDuplicates(["key", "salt", "fp"]), "members")
+    # a subtree's leader is the class that is in the largest subtrees
+    weight = members.groupBy("fp").agg(F.avg("size").alias("w"))
+    members = common.cut(
+        members.join(weight, "fp").withColumn("lead", F.max(F.struct("w", "fp")).over(w)["fp"])
+        .select("key", "fp", "lead"), "members")
 
     reps = (base.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("id"))
             .join(members.select("fp").distinct(), "fp", "left_semi"))
@@ -432,3 +431,25 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
     return near_duplicates(docs, words=4, num=85, den=100).select(
         F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+OP1_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  FROM w),
+u AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT p.x, p.y FROM p JOIN s a ON a.doc_id = p.x JOIN s b ON b.doc_id = p.y
+      WHERE 100 * c >= 85 * (len(a.s) + len(b.s) - c)),
+both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach AS (SELECT doc_id AS x, doc_id AS root FROM s
+          UNION SELECT b.y, r.root FROM reach r JOIN both_ways b ON b.x = r.x)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.root) AS component_id
+FROM s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, s.s
+"""

@@ -17,6 +17,7 @@ QUERIES = {
     "op10_license_scan": licenses.op10,
 }
 ORACLE = {
+    "op1_ngram_jaccard": jaccard.OP1_SQL,
     "op2_chat_format": chat.OP2_SQL,
     "op9_decontaminate": decontam.OP9_SQL,
     "op10_license_scan": licenses.OP10_SQL,
