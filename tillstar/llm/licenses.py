@@ -1,11 +1,17 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences, each is normalised and looked up among the known
-licence sentences, and the sequence of their identifiers is matched against
-ordered rules: a rule's identifiers must occur in its order, other sentences
-may stand between. A rule whose identifiers are part of a longer matching rule
+A text is normalised with marks at its sentence ends, blank lines and line
+breaks. A known licence sentence counts where it stands between two marks; line
+breaks (with the comment signs after them), colons and semicolons may fall
+inside it, so that wrapped texts match, sentence ends and blank lines may not.
+The sequence of identifiers is matched against ordered rules: a rule's
+identifiers must occur in its order, other sentences may stand between. A rule whose identifiers are part of a longer matching rule
 of the same licence adds nothing.
 
+``n_sentences`` counts the pieces between sentence ends and line breaks, as
+OP10_SQL does. That SQL also looks up each such piece alone; it gives the same
+licences except for sentences that go over a line break, colon or semicolon.
+
 Null and empty texts have no sentences and no licence. Repeated rows are
 scanned each on its own; no row is grouped or moved.
 """
@@ -90,6 +96,23 @@ def sentences(text):
     return F.transform(cut, lambda s: F.trim(F.regexp_replace(F.translate(s, _UPPER, _LOWER), "[^a-z0-9]+", " ")))
 
 
+def _marked(text):
+    """A text normalised, H at sentence ends and blank lines, S at other line
+    breaks, colons and semicolons: letters that small-lettered text hasn't."""
+    t = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
+    for what, mark in ((r"[.!?][\x20\x09-\x0D]+", " H "), (r"\n[^a-z0-9H\n]*(?=\n)", " H "),
+                       (r"[;:][\x20\x09-\x0D]+|\n", " S "), ("[^a-z0-9HS]+", " ")):
+        t = F.regexp_replace(t, what, mark)
+    return F.concat(F.lit("H "), t, F.lit(" H"))
+
+
+def known_sentences(text):
+    """Array of the known sentences in a text column, in text order."""
+    one = "|".join(s.replace(" ", " (?:S )*+") for s in sorted(SENTENCES, key=len, reverse=True))
+    found = F.regexp_extract_all(_marked(text), F.lit(f"(?<=[HS] {{1,2}})(?:{one})(?= {{1,2}}[HS])"), F.lit(0))
+    return F.transform(found, lambda s: F.replace(s, F.lit("S "), F.lit("")))
+
+
 def scan(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` plus ``<prefix>n_sentences``, ``<prefix>sentence_ids`` (in text
     order), ``<prefix>rules`` and ``<prefix>licenses`` (in rule order)."""
@@ -107,7 +130,7 @@ def scan(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     own = [F.when(hit[r] & ~(hit[c] if (c := _covered(r)) else F.lit(False)), r) for r, _, _ in RULES]
     lic = F.create_map(*(F.lit(x) for r, n, _ in RULES for x in (r, n)))
     rules = F.filter(F.array(*own), lambda x: x.isNotNull())
-    known = F.filter(F.col("_l_s"), lambda s: s.isin(*SENTENCES))
+    known = known_sentences(F.col(text))
     out = (docs.withColumn("_l_s", F.filter(sentences(F.col(text)), lambda s: s != ""))
            .withColumn("_l_ids", F.transform(known, name))
            .withColumn("_l_seq", F.concat(F.lit(" "), F.array_join(ids, " "), F.lit(" ")))
