@@ -300,6 +300,30 @@ def test_language(spark):
     assert langid.predict(df.limit(0), model, ["doc_id"]).collect() == []
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(16)
+    names = [f"l{k:02}" for k in range(70)]
+    syllables = {x: [words(1, rng)[:3] + rng.choice("fghjk") for _ in range(12)] for x in names}
+    text = lambda x: " ".join(rng.choice(syllables[x]) + rng.choice(syllables[x]) for _ in range(40))
+    # the later the rarer
+    rows = [(0, text(x), x) for k, x in enumerate(names) for _ in range(30 if k < 64 else 24)]
+    rows = [(i, t, x) for i, (_, t, x) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, langs = langid.sample(df, "doc_id", "text", "lang")
+    assert sorted(set(langs)) == names
+    model = langid.Model.fit(texts, langs)
+    new = spark.createDataFrame([(k, text(x), x) for k, x in enumerate(names)], df.schema)
+    got = langid.predict(new, model, ["lang"]).collect()
+    assert np.mean([r.lang == r._g_lang for r in got]) > 0.95
+    assert all(r.lang == r._g_lang for r in got if r.lang >= "l64")
+
+
+def test_sample_of_many_languages_keeps_each(spark):
+    df = spark.range(3000).selectExpr("id doc_id", "concat('t', id) text", "concat('l', id % 1500) lang")
+    texts, langs = langid.sample(df, "doc_id", "text", "lang")
+    assert len(texts) == 3000 and len(set(langs)) == 1500
+
+
 def test_kernel_is_the_blended_spectrum():
     from tillstar.llm import kernels as K
     import pyarrow as pa

@@ -8,9 +8,10 @@ is solved in that map. A batch's scores are presence rows times landmark rows,
 scaled, times the weights; as that is linear in the presence rows, landmarks and
 weights are multiplied once, and each batch needs one matrix product.
 
-The classifier is fitted on a bounded sample: about PER_LANG documents of each
-of at most MAX_LANGS languages (the most frequent), chosen by a hash of the
-document id. Prediction reads whole texts.
+The classifier is fitted on a bounded sample of every language: about PER_LANG
+documents of each, or less if there are so many languages that SAMPLE is passed,
+but never less than LEAST (or all, where there are fewer), chosen by a hash of
+the document id. Landmarks grow with the languages. Prediction reads whole texts.
 
 Null texts and texts without a letter are ``und`` with score 0, as are all
 texts if there is nothing to learn from. Equal scores go to the first language
@@ -29,8 +30,10 @@ from . import kernels as K
 
 ORDERS = (1, 2, 3, 4)
 SLOTS = 1 << 15
-PER_LANG, MAX_LANGS = 300, 64
+PER_LANG, SAMPLE, LEAST = 300, 19200, 20
 LANDMARKS = 256
+#: Landmarks of a language: up to as many, while they are 2048 at most, then two.
+MARKS = 8
 RIDGE = 1e-2
 #: Sharpens ridge scores into a share between 0 and 1.
 SHARPNESS = 8.0
@@ -77,21 +80,23 @@ class Model:
         labels = sorted(set(langs))
         if not labels:
             return cls([], np.zeros((SLOTS, 0), np.float32))
-        rows = np.concatenate([presence(c) for c in K.chunks(pa.array(texts, pa.large_string()))])
-        size = np.sqrt(np.maximum(rows.sum(1, dtype=np.float64), 1))
+
+        def rows(texts):
+            """(presence rows, their norms), BLOCK texts at once."""
+            for c in _few(pa.array(texts, pa.large_string())):
+                r = presence(c)
+                yield r.astype(np.float32), np.sqrt(np.maximum(r.sum(1, dtype=np.float64), 1))[:, None]
         # landmarks in turn from each language
         seen: dict[str, int] = {}
         place = [seen[x] for x in langs if not seen.update({x: seen.get(x, -1) + 1})]
         turn = np.argsort(place, kind="stable")
-        marks = turn[:LANDMARKS]
-        m = (rows[marks] / size[marks, None]).astype(np.float32)
+        marks = turn[:max(LANDMARKS, min(MARKS * len(labels), 2048), 2 * len(labels))]
+        m = np.concatenate([(r / s).astype(np.float32) for r, s in rows([texts[i] for i in marks])])
         k_mm = (m @ m.T).astype(np.float64)
         vals, vecs = np.linalg.eigh(k_mm)
         good = vals > 1e-6 * vals.max()
         to_map = vecs[:, good] / np.sqrt(vals[good])          # Nystrom: k(x, marks) @ to_map
-        k_xm = np.concatenate([(rows[i:i + BLOCK].astype(np.float32) @ m.T) / size[i:i + BLOCK, None]
-                               for i in range(0, len(rows), BLOCK)])
-        phi = k_xm @ to_map
+        phi = np.concatenate([(r @ m.T) / s @ to_map for r, s in rows(texts)])
         y = np.where(np.array(langs)[:, None] == np.array(labels)[None], 1.0, -1.0)
         w = np.linalg.solve(phi.T @ phi + RIDGE * len(y) * np.eye(phi.shape[1]), phi.T @ y)
         return cls(labels, (m.T.astype(np.float64) @ (to_map @ w)).astype(np.float32))
@@ -109,14 +114,18 @@ class Model:
 def sample(docs: DataFrame, key: str, text: str, lang: str) -> tuple[list[str], list[str]]:
     """The bounded training sample of the labelled rows of ``docs``."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = (known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGS).collect())
-    share = F.lit(0.0)
-    for name, n in counts:
-        share = F.when(F.col(lang) == name, min(1.0, PER_LANG / n)).otherwise(share)
+    counts = known.groupBy(lang).count().collect()             # one row a language, as in the model
+    if not counts:
+        return [], []
+    per = min(PER_LANG, max(LEAST, SAMPLE // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(name, min(1.0, per / n)) for name, n in counts], "_g_l string, _g_share double")
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(5)), F.lit(1 << 30)) / F.lit(1 << 30)
-    rows = (known.where(draw < share).select(draw.alias("d"), text, lang)
-            .orderBy("d", lang, text).limit(2 * PER_LANG * MAX_LANGS).collect())
-    return [r[1] for r in rows], [r[2] for r in rows]
+    # languages that are taken whole first, then all others alike
+    rows = (known.select(draw.alias("d"), F.col(text).alias("_g_text"), F.col(lang).alias("_g_lang"))
+            .join(F.broadcast(shares), F.col("_g_lang") == F.col("_g_l")).where("d < _g_share")
+            .orderBy(F.col("_g_share") < 1, F.col("d") / F.col("_g_share"), "_g_lang", "_g_text")
+            .limit(2 * per * len(counts)).select("_g_text", "_g_lang").collect())
+    return [r[0] for r in rows], [r[1] for r in rows]
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
@@ -124,7 +133,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     kept = docs.select(*keep, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_g_any"),
                        F.col(text).alias("_g_text"))
     schema = kept.select(*keep).schema.add("_g_lang", "string").add("_g_score", "double")
-    shared = docs.sparkSession.sparkContext.broadcast(model)   # SLOTS x MAX_LANGS floats at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)   # SLOTS floats a language
 
     def run(b):
         best, score = [], []
