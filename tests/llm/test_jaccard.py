@@ -87,3 +87,11 @@ def test_empty_table_and_stage(spark):
     assert sorted((d for d in got if d is not None), key=str) == want
     assert got.count(None) == 2
     assert words(1, random.Random(1))
+
+
+def test_one_row_stays_of_each_group_under_one_id(spark):
+    rng = random.Random(61)
+    a, b, c = (words(60, rng) for _ in range(3))
+    rows = [(5, a), (5, b), (5, b), (6, a + " more"), (7, c), (8, c), (9, b + " end"), (9, words(60, rng))]
+    kept = J.keep_one(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(5, a), (5, b), (7, c), (9, rows[7][1])])

@@ -322,8 +322,9 @@ def _tree_join(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS,
                     num: int = NUM, den: int = DEN) -> DataFrame:
-    """One row for each row of ``docs``: (id, n_shingles, component_id, fp), fp
-    being the class of its set."""
+    """One row for each row of ``docs``: (id, n_shingles, component_id, fp, root),
+    fp being the class of its set and root the group: two groups may have one
+    component_id, if the id stands for several texts."""
     if not 4 * num >= 3 * den or num > den:
         raise ValueError("the similarity must be 0.75 to 1")
     common.prepare(docs.sparkSession)
@@ -397,9 +398,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
              .join(comp.withColumnRenamed("node", "fp"), "fp", "left")
              .select("fp", "id", F.coalesce("root", "fp").alias("root")))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    final = named.join(least, "root").select("fp", "component_id")
-    return (base.where(linked).join(final, "fp").select("id", F.col("n").alias("n_shingles"), "component_id", "fp")
-            .unionByName(base.where(~linked).select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), "fp")))
+    final = named.join(least, "root").select("fp", "component_id", "root")
+    return (base.where(linked).join(final, "fp").select("id", F.col("n").alias("n_shingles"), "component_id", "fp", "root")
+            .unionByName(base.where(~linked).select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), "fp",
+                                                    F.col("fp").alias("root"))))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS,
@@ -409,7 +411,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words:
     link with nothing and stay."""
     cols, schema = docs.columns, docs.schema
     rows = near_duplicates(docs, id_col, text, words, num, den)
-    stay = rows.where("n_shingles > 0 AND id IS NOT NULL AND id = component_id").groupBy("id").agg(F.min("fp").alias("fp"))
+    # one text of each group; an id may stand for texts of several groups
+    stay = (rows.where("n_shingles > 0 AND id IS NOT NULL AND id = component_id")
+            .groupBy("root").agg(F.min("id").alias("id"), F.min("fp").alias("fp"))
+            .groupBy("id").agg(F.collect_set("fp").alias("fp")))
     stay = common.cut(stay.select(F.col("id").alias("_k_id"), F.col("fp").alias("_k_fp")), "stay")
     named = docs.where(F.col(id_col).isNotNull()).withColumn("_k_key", F.col(id_col).cast("long"))
     known = named.join(stay, named["_k_key"] == stay["_k_id"], "left").drop("_k_id")
@@ -419,7 +424,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words:
         for c in K.chunks(b.column(text)):
             fp, n = _set_hash(*shingle_sets(c, words), c.n)
             # an id may stand for several texts, told apart by their class
-            keep += [m == 0 or f == w for f, m, w in zip(fp.tolist(), n.tolist(), want[c.rows])]
+            keep += [m == 0 or f in (w or ()) for f, m, w in zip(fp.tolist(), n.tolist(), want[c.rows])]
         yield b.select(cols).filter(pa.array(keep, pa.bool_()))
     one = F.row_number().over(W.partitionBy("_k_key", F.xxhash64(text)).orderBy(F.lit(0)))
     found = common.map_batches(known.withColumn("_k_n", one).where("_k_n = 1 OR _k_fp IS NULL").select(*cols, "_k_fp"),
