@@ -3,7 +3,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from tillstar.operators import clean
 
 

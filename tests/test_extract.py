@@ -1,5 +1,5 @@
 """HTML listing / link extraction (TXT4, TXT5) and invoice parsing (TXT6-TXT9)."""
-from conftest import rows
+from helpers import rows
 from tillstar.operators import extract
 
 PAGE = """<html><body>

@@ -1,6 +1,6 @@
 """Competitor matching (TXT2) and price gaps (TXT3): golden excerpts and a
 brute-force comparison on a small fixture."""
-from conftest import rows
+from helpers import rows
 from tillstar.functions import fuzzy
 from tillstar.operators import matching
 

@@ -1,5 +1,5 @@
 """Quality checks (DQ1-DQ6, JN13) on literal frames."""
-from conftest import rows
+from helpers import rows
 from tillstar.operators import quality
 
 

@@ -1,5 +1,5 @@
 """Lexicon-and-rule sentiment (TXT1) on literal reviews."""
-from conftest import rows
+from helpers import rows
 from tillstar.operators import sentiment as S
 
 
