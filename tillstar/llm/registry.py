@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chaining, chat, decontam, jaccard, langid, licenses, quality, segment, sharding, suffix_dedup
+from . import chaining, chat, decontam, jaccard, langid, licenses, quality, segment, sharding, suffix_dedup, urls
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.op1,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_chained_passages": chaining.op8,
     "op9_decontaminate": decontam.op9,
     "op10_license_scan": licenses.op10,
+    "op13_url_reputation": urls.op13,
 }
 ORACLE = {
     "op1_ngram_jaccard": jaccard.OP1_SQL,
     "op2_chat_format": chat.OP2_SQL,
     "op9_decontaminate": decontam.OP9_SQL,
     "op10_license_scan": licenses.OP10_SQL,
+    "op13_url_reputation": urls.OP13_SQL,
 }
