@@ -1,16 +1,25 @@
-"""Competitor listings and page links from HTML (TXT4, TXT5, FLT11), in
-DataFrame functions only.
-
-A block is what stands between an opening tag and the closing tag that balances
-it; nested tags of the same name are counted. Tags and attribute names are
-case-insensitive, attributes may be in either kind of quotes, blocks may span
-lines. An unclosed block reaches to the end of the page.
+"""Competitor listings and page links from HTML (TXT4, TXT5, FLT11).
+
+Blocks (listing containers, the pagination) are found by one pass over a page's
+tags (``functions/markup.py``) in Arrow batches; a block carries what it holds
+and nothing else of its page. Names, prices, references and links of the blocks
+are DataFrame expressions. Tags and attribute names are case-insensitive,
+attributes may be in either kind of quotes, blocks may span lines. An unclosed
+block reaches to the end of the page.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tillstar.functions import markup
+from tillstar.session import ship_package
 
 # Fixed values of the listing extraction.
 NAME_PREFIXES = ("Promo: ", "Best Deal: ")
@@ -24,22 +33,21 @@ _HIDDEN_RE = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 _TAG_RE = r"(?s)<[^>]*>"
 
 
-def _class(inner_double: str, inner_single: str) -> str:
-    return rf"""\bclass\s*=\s*(?:"{inner_double}"|'{inner_single}')"""
-
-
-def _open(tag: str, part: str) -> str:
-    """Opening tag whose class attribute holds ``part`` anywhere."""
-    return rf"(?is)<{tag}\b[^>]*{_class(f'[^' + chr(34) + f']*{part}[^' + chr(34) + ']*', f'[^' + chr(39) + f']*{part}[^' + chr(39) + ']*')}[^>]*>"
-
-
 #: How a page marks its listings; the first rule that a page satisfies holds.
 CONTAINERS = (
-    _open("div", "col-"),
-    rf"""(?is)<div\b[^>]*{_class('(?:[^"]*[ ])?card(?:[ ][^"]*)?', "(?:[^']*[ ])?card(?:[ ][^']*)?")}[^>]*>""",
-    _open("div", "product"),
-    r"(?is)<div\b[^>]*>",
+    lambda b: "col-" in b.classes,
+    lambda b: "card" in b.classes.split(),
+    lambda b: "product" in b.classes,
 )
+#: Without a marked container, the blocks that hold these texts.
+NEEDED = ("Ref:", CURRENCY)
+#: How a page marks its pagination, in order.
+PAGINATION = (
+    lambda b: b.name == "div" and "pagination" in b.classes,
+    lambda b: b.name == "ul" and "pagination" in b.classes.split(),
+)
+LABEL_RE = r"Previous|Next"
+_AROUND = ("div", "ul", "nav")
 
 
 def visible(html: Column) -> Column:
@@ -57,30 +65,32 @@ def texts(html: Column) -> Column:
     return F.transform(F.split(html, _TAG_RE), _unescape)
 
 
-def balanced(after: Column, tag: str) -> Column:
-    """What an already opened ``tag`` holds, given all that follows its opening
-    tag: up to the closing tag that balances it."""
-    parts = F.split(after, rf"(?i)</{tag}\s*>")
-    # part k is inside as long as more tags were opened than closed before it
-    opened = F.transform(parts, lambda p: F.size(F.regexp_extract_all(p, F.lit(rf"(?is)<{tag}\b"), 0)))
-    start = F.struct(F.lit(0).alias("n"), F.lit(1).alias("depth"))
-    inside = F.aggregate(opened, start, lambda a, k: F.when(
-        a["depth"] > 0, F.struct((a["n"] + 1).alias("n"), (a["depth"] + k - 1).alias("depth"))).otherwise(a))
-    return F.array_join(F.slice(parts, F.lit(1), inside["n"]), f"</{tag}>")
+def blocks(pages: DataFrame, find: Callable[[str], Iterable[markup.Block]], *keep: str) -> DataFrame:
+    """(keep..., place, block): what each block that ``find`` sees in a page's
+    visible HTML holds, numbered by place. One row of pages at a time."""
+    ship_package(pages.sparkSession)
+    base = pages.select(*keep, visible(F.col("html")).alias("_v"))
+    schema = base.drop("_v").schema.add("place", T.IntegerType()).add("block", T.StringType())
+
+    def run(batches):
+        for b in batches:
+            at, place, inner = [], [], []
+            for k, page in enumerate(b.column("_v").to_pylist()):
+                for n, x in enumerate(find(page)):
+                    at.append(k)
+                    place.append(n)
+                    inner.append(page[x.start:x.end])
+            rows = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*rows.columns[:-1], pa.array(place, pa.int32()), pa.array(inner, pa.string())], names=schema.names)
+    return base.mapInArrow(run, schema)
 
 
 def containers(pages: DataFrame) -> DataFrame:
     """(page_id, place, block): the listing containers of each page."""
-    html = F.col("_v")
-    rule = F.coalesce(*(F.when(html.rlike(p), F.lit(i)) for i, p in enumerate(CONTAINERS)))
-    parts = F.coalesce(*(F.when(F.col("_r") == i, F.split(html, p)) for i, p in enumerate(CONTAINERS)))
-    base = (pages.select("page_id", visible(F.col("html")).alias("_v")).withColumn("_r", rule)
-            .where("_r IS NOT NULL").select("page_id", "_r", parts.alias("_p")))
-    each = base.select("page_id", "_r", "_p", F.explode(F.sequence(F.lit(2), F.size("_p"))).alias("place"))
-    after = F.array_join(F.slice("_p", F.col("place"), F.size("_p")), "<div>")
-    out = each.select("page_id", "_r", "place", balanced(after, "div").alias("block"))
-    plain = F.array_join(texts(F.col("block")), "\n")
-    return out.where((F.col("_r") < len(CONTAINERS) - 1) | (plain.contains("Ref:") & plain.contains(CURRENCY))).drop("_r")
+    def find(page):
+        return markup.marked(markup.fold(page, ("div",)), CONTAINERS, NEEDED)
+    return blocks(pages, find, "page_id")
 
 
 def _first(block: Column, pattern: str) -> Column:
@@ -121,45 +131,26 @@ def listings(pages: DataFrame) -> DataFrame:
 # ------------------------------------------------------------- pagination
 
 ANCHOR_RE = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)')[^>]*>(.*?)</a\s*>"""
-LABEL_RE = r"Previous|Next"
-_AROUND = ("div", "ul", "nav")
-
 
-def _after(html: Column, pattern: str) -> Column:
-    """All that follows the first match of ``pattern``; null without one."""
-    parts = F.split(html, pattern, 2)
-    return F.when(F.size(parts) == 2, parts[1])
-
-
-def _labelled(html: Column) -> Column:
-    """The innermost div, ul or nav around the first label; null without one."""
-    parts = F.transform(F.split(html, rf"(?i)(?=</?(?:{'|'.join(_AROUND)})\b)"), lambda x, i: F.struct(
-        i.alias("i"), F.regexp_replace(x, _TAG_RE, "").rlike(LABEL_RE).alias("label"),
-        F.lower(F.regexp_extract(x, r"^<(/?\w+)", 1)).alias("tag"), x.alias("x")))
-    at = F.array_min(F.transform(F.filter(parts, lambda p: p["label"]), lambda p: p["i"]))
-    # the tags open at the label, as (tag, part); a closing tag takes its last one
-    kind = "array<struct<i:int,tag:string>>"
-
-    def step(a: Column, p: Column) -> Column:
-        name = F.regexp_replace(p["tag"], "^/", "")
-        last = F.array_max(F.transform(F.filter(a, lambda o: o["tag"] == name), lambda o: o["i"]))
-        return (F.when(p["tag"].isin(*_AROUND), F.concat(a, F.array(F.struct(p["i"].alias("i"), p["tag"].alias("tag")))))
-                .when(p["tag"].startswith("/"), F.filter(a, lambda o: o["i"] != F.coalesce(last, F.lit(-1))))
-                .otherwise(a))
-    opened = F.aggregate(F.filter(parts, lambda p: p["i"] <= at), F.array().cast(kind), step)
-    inner = F.array_max(opened)
-    after = F.regexp_replace(F.array_join(F.transform(
-        F.filter(parts, lambda p: p["i"] >= inner["i"]), lambda p: p["x"]), ""), r"^<[^>]*>", "")
-    return F.coalesce(*(F.when(inner["tag"] == t, balanced(after, t)) for t in _AROUND))
-
-
-def pagination_block(html: Column) -> Column:
-    """Inner HTML of the pagination block ('' without one): the first div, or
-    else ul, whose class mentions pagination; or else the innermost div, ul or
-    nav around the first "Previous" or "Next"."""
-    v = visible(html)
-    found = [balanced(_after(v, _open(tag, "pagination")), tag) for tag in ("div", "ul")]
-    return F.coalesce(*found, F.when(v.rlike(LABEL_RE), _labelled(v)), F.lit(""))
+def pagination_blocks(pages: DataFrame) -> DataFrame:
+    """(page_id, url, html): inner HTML of each page's pagination block, where it
+    has one: the first div whose class mentions pagination, or else the first ul
+    of that class; or else the innermost div, ul or nav around the first
+    "Previous" or "Next"."""
+    label = re.compile(LABEL_RE)
+
+    def find(page):
+        folded = markup.fold(page, _AROUND)
+        found = next((b for rule in PAGINATION for b in folded.blocks if rule(b)), None) or markup.innermost(folded, label)
+        return [found] if found else []
+    return blocks(pages, find, "page_id", "url").select("page_id", "url", F.col("block").alias("html"))
+
+
+def tag_blocks(pages: DataFrame, tag: str) -> DataFrame:
+    """(page_id, url, place, html): inner HTML of each block of a tag."""
+    def find(page):
+        return markup.fold(page, (tag,)).blocks
+    return blocks(pages, find, "page_id", "url").withColumnRenamed("block", "html")
 
 
 def anchors(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -753,6 +753,20 @@ def q_page_links(spark, sf):
     return extract.page_links(listing_pages(read_table(spark, sf, "part", ["p_partkey", "p_name", "p_retailprice"])))
 
 
+@register("navigation_links", """
+SELECT page_id, count(*) AS links, count(DISTINCT absolute_url) AS targets FROM (
+  SELECT page_id, """ + _url_join_sql("url", "href") + """ AS absolute_url FROM (
+    SELECT page_id, url, string_split(string_split(p, 'href="')[2], '"')[1] AS href FROM (
+      SELECT page_id, url, unnest(string_split(string_split(n, '</nav>')[1], '<a ')[2:]) AS p FROM (
+        SELECT page_id, url, unnest(string_split(html, '<nav')[2:]) AS n FROM pages))
+    WHERE contains(p, 'href="') AND contains(p, '</a>')))
+GROUP BY page_id""")
+def q_navigation_links(spark, sf):
+    from tillstar.operators import extract
+    from tillstar.sources.tables import read_table
+    return extract.navigation_links(read_table(spark, sf, "pages", ["page_id", "url", "html"], spread=True))
+
+
 @register("driver_page_links", "SELECT page_id, 0 AS position, 0 AS page_number, url AS page_url FROM pages "
                                "WHERE html ILIKE '%pagination%' OR html LIKE '%Previous%' OR html LIKE '%Next%'")
 def q_driver_page_links(spark, sf):
