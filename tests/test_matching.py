@@ -12,6 +12,24 @@ def test_weighted_score():
     assert fuzzy.weighted_score(None, "x") == 0
 
 
+def test_longest_common_subsequence():
+    import random
+    rng = random.Random(2)
+
+    def plain(a, b):
+        prev = [0] * (len(b) + 1)
+        for ca in a:
+            cur = [0]
+            for j, cb in enumerate(b, 1):
+                cur.append(prev[j - 1] + 1 if ca == cb else max(prev[j], cur[j - 1]))
+            prev = cur
+        return prev[-1]
+    for n in (0, 1, 5, 40, 90):
+        for _ in range(60):
+            a, b = ("".join(rng.choice("abcé ") for _ in range(rng.randint(0, n))) for _ in "ab")
+            assert fuzzy._lcs(a, b) == plain(a, b)
+
+
 def test_golden_gaps(spark):
     products = spark.createDataFrame([
         (1, "HP Victus 15", 125000.0), (2, "Dell XPS 13", 260000.0),

@@ -33,15 +33,18 @@ def process(s: str | None) -> str:
 
 
 def _lcs(a: str, b: str) -> int:
-    if not a or not b:
-        return 0
-    prev = [0] * (len(b) + 1)
-    for ca in a:
-        cur = [0]
-        for j, cb in enumerate(b, 1):
-            cur.append(prev[j - 1] + 1 if ca == cb else max(prev[j], cur[j - 1]))
-        prev = cur
-    return prev[-1]
+    """Length of the longest common subsequence, a row of the table at a time as
+    the bits of one integer: a zero bit is a place where the length grows."""
+    if len(a) < len(b):
+        a, b = b, a
+    places: dict[str, int] = {}
+    for i, c in enumerate(b):
+        places[c] = places.get(c, 0) | 1 << i
+    full = row = (1 << len(b)) - 1
+    for c in a:
+        hit = row & places.get(c, 0)
+        row = (row + hit | row - hit) & full
+    return len(b) - row.bit_count()
 
 
 def similarity(a: str, b: str) -> float:
