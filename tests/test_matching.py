@@ -118,3 +118,59 @@ def test_long_names_tie_by_ordinal(spark):
                                       "competitor_product_name string, competitor_price double, ordinal long")
     got = matching.match_competitors(products, catalogue).first()
     assert (got["matched_name"], got["match_score"], got["competitor_price"]) == (long_ + "y", 100, 5.0)
+
+
+def _altered(rng, n):
+    """Names that resemble each other in all ways the score knows."""
+    words = ["dell", "xps", "13", "pro", "max", "galaxy", "s23", "ultra", "lenovo", "legion", "gram", "x", "wireless", "mouse"]
+    out = []
+    for _ in range(n):
+        t = " ".join(rng.choice(words) for _ in range(rng.randint(1, 6)))
+        if out and rng.random() < 0.6:
+            t = list(rng.choice(out))
+            for _ in range(rng.randint(0, 3)):
+                t[rng.randrange(len(t))] = rng.choice(["", "a", "e", " ", "13", "-"])
+            t = "".join(t) or "z"
+            if rng.random() < 0.3:
+                t = " ".join(reversed(t.split()))
+        out.append(t)
+    return out
+
+
+def test_index_equals_all_pairs(spark):
+    """Scores, ties and prices over random names, for two thresholds; far fewer
+    pairs are scored than there are."""
+    import random
+    rng = random.Random(11)
+    names, cat = _altered(rng, 260), _altered(rng, 240)
+    products = spark.createDataFrame(list(enumerate(names)), "product_id long, product_name string")
+    catalogue = spark.createDataFrame([(c, float(i), i) for i, c in enumerate(cat)],
+                                      "competitor_product_name string, competitor_price double, ordinal long")
+    score = {(n, c): fuzzy.weighted_score(n, c) for n in set(names) for c in set(cat)}
+    for threshold in (80, 90, 60):
+        want = {}
+        for i, n in enumerate(names):
+            s, o = max(((score[n, c], -k) for k, c in enumerate(cat)))
+            if s > threshold:
+                want[i] = (cat[-o], s)
+        got = {r["product_id"]: (r["matched_name"], r["match_score"])
+               for r in matching.match_competitors(products, catalogue, threshold, block_rows=100).collect()}
+        assert got == want
+
+
+def test_candidates_hold_every_match(spark):
+    """No pair above the threshold is missing, but for those that a common word
+    alone brings; the pairs are few among names of a large vocabulary."""
+    import random
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    base = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(rng.randint(2, 4))) for _ in range(400)]
+    a = [x for x in base if fuzzy.plain(x)]
+    b = [y for y in ((x[:k] + rng.choice(letters) + x[k + 1:]).strip() for x in a for k in [rng.randrange(len(x))]) if fuzzy.plain(y)]
+    frame = lambda x: spark.createDataFrame([(t,) for t in sorted(set(x))], "text string")
+    got = {tuple(r) for r in matching.candidates(frame(a), frame(b), 80).collect()}
+    for x in set(a):
+        for y in set(b):
+            if (x, y) not in got:
+                assert fuzzy.weighted_score(x, y) <= 80 or set(x.split()) & set(y.split()) and fuzzy.weighted_score(x, y) == fuzzy.WORD_FLOOR
+    assert len(got) < 0.35 * len(set(a)) * len(set(b))

@@ -13,6 +13,7 @@ lower-casing and trimming.
 from __future__ import annotations
 
 import difflib
+import math
 import re
 from collections import Counter
 
@@ -121,6 +122,66 @@ def weighted_score(a_raw: str | None, b_raw: str | None) -> int:
                          token_set(a, b, partial=True) * UNBASE_SCALE * scale)))
 
 
+#: What texts of lengths from PARTIAL_MIN_LEN_RATIO to LONG_LEN_RATIO apart score
+#: at least by a word in common (it is found whole in the longer text).
+WORD_FLOOR = int(round(100 * UNBASE_SCALE * PARTIAL_SCALE))
+
+
+def plain(text: str) -> bool:
+    """Two characters or more, single blanks and no repeated word, so that all
+    variants of a processed text have the same grams."""
+    words = text.split()
+    return len(text) > 1 and len(set(words)) == len(words) and " ".join(words) == text
+
+
+def grams(text: str) -> list[str]:
+    """The len + 1 two-letter grams of " text ", equal ones numbered. They are
+    those of its words with a blank on either side, so in any order of the words."""
+    seen: Counter = Counter()
+    out, padded = [], f" {text} "
+    for i in range(len(text) + 1):
+        g = padded[i:i + 2]
+        out.append(f"{g}{seen[g]}" if seen[g] else g)
+        seen[g] += 1
+    return out
+
+
+# Deleting a character takes two grams at most, inserting one takes one. Texts of
+# lengths a and b with a common subsequence of L characters therefore share at
+# least (a + 1) - 2 (a - L) - (b - L) = 3 L - a - b + 1 grams.
+
+def near_grams(size, threshold: int):
+    """Least number of grams that a text of ``size`` characters shares with any
+    text of a length less than PARTIAL_MIN_LEN_RATIO apart that scores above
+    ``threshold``. A similarity s means L = s (a + b) / 2; the token-set part can
+    also compare the common words alone (c = s / (2 - s) of a text) with it."""
+    s = (threshold + 0.5) / 100
+    whole = (1.5 * s - 1) * (1 + 1 / PARTIAL_MIN_LEN_RATIO)
+    t = s / UNBASE_SCALE - 0.005                            # as a rounded percentage
+    return _up(size, min(whole, t / (2 - t) / PARTIAL_MIN_LEN_RATIO) if t <= 1 else whole, 1)
+
+
+def far_grams(size, threshold: int):
+    """The same for the shorter one of texts further apart, by the partial parts:
+    a window of the longer text, its own ends not counted."""
+    s = (threshold + 0.5) / 100 / PARTIAL_SCALE - 0.005     # as a rounded percentage
+    return _up(size, (1.5 * s - 1) * 2 / (2 - s), -1)
+
+
+def _up(size, share: float, more: int):
+    """ceil(share * size + more), 1 at least, of a Spark column or a number."""
+    if isinstance(size, int):
+        return max(1, math.ceil(share * size + more - 1e-9))
+    from pyspark.sql import functions as F
+    return F.greatest(F.lit(1), F.ceil(size * F.lit(share) + F.lit(more - 1e-9))).cast("int")
+
+
+def score_above(a: str, b: str, threshold: int) -> int:
+    """The score of two processed texts, or 0 if a bound shows that it isn't
+    above ``threshold``."""
+    return 0 if _hopeless(_parts(a), _parts(b), threshold) else weighted_score(a, b)
+
+
 def best_match(name: str | None, candidates: list[tuple[int, str]]) -> tuple[int | None, int]:
     """(ordinal, score) of the best candidate; ties go to the lowest ordinal."""
     if name is None:

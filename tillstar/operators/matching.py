@@ -6,32 +6,38 @@ ties go to the earliest catalogue entry (lowest ``ordinal``). The price is the
 one of the first catalogue row carrying the winning (lower-cased) name.
 
 Plan:
-1. The catalogue gets its ordinals once, in a written table.
+1. The catalogue gets its ordinals once, in a written table. Names and entries
+   of one processed text are one text, the entry with its lowest ordinal.
 2. Exact pass: an equi-join on the processed name. Equal names score 100. A
    different name can only round to 100 when the two are 200 characters long or
    more together, so names of up to EXACT_LENGTH characters are done then.
-3. Fuzzy pass for the rest, which is a search of each distinct name in the whole
-   catalogue, in blocks: the catalogue is dealt into blocks of about BLOCK_ROWS
-   entries, the names into salts of about as many, and each (block, salt) is one
-   cogroup, scored in its own task. Nothing is collected, no entry is left out;
-   a pair is skipped only if a bound on every part of its score is too low. The
-   best per name over all blocks is a small ``groupBy``.
+3. Candidates for the rest come from a join of two-letter grams, rarest first
+   (``candidates``): a pair above the threshold shares a number of grams that
+   follows from the lengths, so one of a text's rarest grams is among them.
+   Only such pairs are scored. Pairs of one word in common and of lengths far
+   apart all score the same by that word alone; for them the lowest ordinal of
+   each word and length is enough.
+4. Texts that the proof doesn't hold for (a repeated word or blank, or a single
+   character) are searched in blocks, each (block, salt) in its own task.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillstar.functions import fuzzy
 from tillstar.functions.money import money
-from tillstar.session import materialize
+from tillstar.session import materialize, ship_package
 
 THRESHOLD = 80
 BLOCK_ROWS = 2000
 #: Equal processed names of up to this length can't be tied by another name.
 EXACT_LENGTH = 98
+#: Below this threshold the lengths alone guarantee no common gram.
+LEAST_INDEXED = 70
 
 
 def _processed(c):
@@ -60,7 +66,7 @@ def match_competitors(products: DataFrame, catalogue: DataFrame,
     """products(product_id, product_name) x catalogue(competitor_product_name,
     competitor_price[, ordinal]) -> (product_id, matched_name, match_score,
     competitor_price). Unmatched products are absent."""
-    spark = products.sparkSession
+    ship_package(products.sparkSession)
     cat = materialize(_catalogue(catalogue).where(F.col("competitor_product_name").isNotNull()), "catalogue")
     prods = products.select("product_id", "product_name").where(
         F.col("product_name").isNotNull())
@@ -72,39 +78,136 @@ def match_competitors(products: DataFrame, catalogue: DataFrame,
     names = materialize(names.join(cat_keys, "_key", "left").withColumn(
         "matched_name", F.when(short, F.col("matched_name"))).drop("_key"), "match_names")
     exact = names.where("matched_name IS NOT NULL").withColumn("match_score", F.lit(100))
-    rest = names.where("matched_name IS NULL").select("product_name")
+    rest = _texts(names.where("matched_name IS NULL").select(F.col("product_name").alias("raw")), "match_rest")
+    entries = _texts(cat.select(F.col("competitor_product_name").alias("raw"), "ordinal"), "match_entries")
+
+    keys = rest.select("text", "indexed").distinct()
+    texts = entries.groupBy("text", "indexed").agg(F.min("ordinal").alias("ordinal"))
+    if threshold < LEAST_INDEXED:
+        scored = _in_blocks(keys, texts, threshold, block_rows)
+    else:
+        a, b = keys.where("indexed"), texts.where("indexed")
+        scored = (_scored(candidates(a, b, threshold).join(b.select(F.col("text").alias("entry"), "ordinal"), "entry"), threshold)
+                  .unionByName(_by_word(a, b, threshold))
+                  .unionByName(_in_blocks(keys.where("NOT indexed"), texts, threshold, block_rows))
+                  .unionByName(_in_blocks(a, texts.where("NOT indexed"), threshold, block_rows)))
+    best = (scored.groupBy("text")
+            .agg(F.max(F.struct(F.col("match_score").alias("s"), (-F.col("ordinal")).alias("o"))).alias("b"))
+            .select("text", F.col("b.s").alias("match_score"), (-F.col("b.o")).alias("ordinal")))
+    found = (best.join(cat.select("ordinal", F.col("competitor_product_name").alias("matched_name")), "ordinal")
+             .join(rest.select("text", F.col("raw").alias("product_name")), "text")
+             .select("product_name", "matched_name", "match_score"))
+    matched = prods.join(exact.unionByName(found), "product_name").select("product_id", "matched_name", "match_score")
+    return (matched.withColumn("_lname", F.lower("matched_name"))
+            .join(_price_by_name(cat), "_lname", "left").drop("_lname"))
+
 
-    # counts of two written tables: their footers have them
-    n_blocks = max(1, -(-cat.count() // block_rows))
-    n_salts = max(1, -(-names.count() // block_rows), -(-spark.sparkContext.defaultParallelism // n_blocks))
+def _texts(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with ``text``, the processed ``raw``, and whether the gram index
+    holds for it. Empty texts match nothing and go."""
+    schema = T.StructType(list(rows.schema.fields)).add("text", T.StringType()).add("indexed", T.BooleanType())
+
+    def run(frames):
+        for f in frames:
+            f["text"] = [fuzzy.process(x) for x in f["raw"]]
+            f["indexed"] = [fuzzy.plain(x) for x in f["text"]]
+            yield f
+    return materialize(rows.mapInPandas(run, schema).where("text <> ''"), name)
+
+
+def _grams(texts: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., text, grams): the two-letter grams of " text ", numbered among
+    equal ones."""
+    schema = T.StructType(list(texts.select(*keep, "text").schema.fields)).add("grams", T.ArrayType(T.StringType()))
+
+    def run(frames):
+        for f in frames:
+            f["grams"] = [fuzzy.grams(x) for x in f["text"]]
+            yield f
+    return texts.select(*keep, "text").mapInPandas(run, schema)
+
+
+def candidates(names: DataFrame, entries: DataFrame, threshold: int) -> DataFrame:
+    """(text, entry): all pairs of indexed texts that can score above
+    ``threshold`` other than by a common word alone. Of lengths less than
+    PARTIAL_MIN_LEN_RATIO apart, both texts' rarest grams are joined; beyond that
+    the shorter one's rarest grams with all grams of the longer one."""
+    grams = _grams(names.select("text", F.lit(0).alias("side")).unionByName(
+        entries.select("text", F.lit(1).alias("side"))), "side")
+    each = grams.select("side", "text", F.explode("grams").alias("gram"))
+    seen = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # a text's grams, rarest first; the same order for all texts
+    order = F.row_number().over(Window.partitionBy("side", "text").orderBy("n", "gram"))
+    size = F.length("text")
+    near, far = fuzzy.near_grams(size, threshold), fuzzy.far_grams(size, threshold)
+    each = materialize(each.join(seen, "gram").withColumn("at", order).select(
+        "side", "text", "gram", size.alias("size"), (F.col("at") <= size + 2 - near).alias("near"),
+        (F.col("at") <= size + 2 - far).alias("far")), "match_grams")
+    a = each.where("side = 0").select("gram", "text", F.col("size").alias("sa"), F.col("near").alias("na"), F.col("far").alias("fa"))
+    b = each.where("side = 1").select("gram", F.col("text").alias("entry"), F.col("size").alias("sb"),
+                                      F.col("near").alias("nb"), F.col("far").alias("fb"))
+    ratio = F.greatest("sa", "sb") / F.least("sa", "sb")
+    close = (ratio < fuzzy.PARTIAL_MIN_LEN_RATIO) & F.col("na") & F.col("nb")
+    apart = (ratio >= fuzzy.PARTIAL_MIN_LEN_RATIO) & (ratio <= fuzzy.LONG_LEN_RATIO) & F.when(
+        F.col("sa") < F.col("sb"), F.col("fa")).otherwise(F.col("fb"))
+    return a.join(b, "gram").where(close | apart).select("text", "entry").distinct()
+
+
+def _scored(pairs: DataFrame, threshold: int) -> DataFrame:
+    def run(frames):
+        for f in frames:
+            f["match_score"] = [fuzzy.score_above(a, b, threshold) for a, b in zip(f["text"], f["entry"])]
+            yield f[f["match_score"] > threshold][["text", "ordinal", "match_score"]]
+    return pairs.mapInPandas(run, "text string, ordinal long, match_score int")
+
+
+def _by_word(names: DataFrame, entries: DataFrame, threshold: int) -> DataFrame:
+    """The score that a common word gives texts of lengths far apart, with the
+    lowest ordinal of such entries: one row a word and length of entries."""
+    floor = fuzzy.WORD_FLOOR
+    if floor <= threshold:
+        return _empty_scores(names)
+    word = F.explode(F.split("text", " "))
+    first = (entries.select(word.alias("word"), F.length("text").alias("sb"), "ordinal")
+             .groupBy("word", "sb").agg(F.min("ordinal").alias("ordinal")))
+    ratio = F.greatest("sa", "sb") / F.least("sa", "sb")
+    return (names.select("text", word.alias("word"), F.length("text").alias("sa")).join(first, "word")
+            .where((ratio >= fuzzy.PARTIAL_MIN_LEN_RATIO) & (ratio <= fuzzy.LONG_LEN_RATIO))
+            .groupBy("text").agg(F.min("ordinal").alias("ordinal")).withColumn("match_score", F.lit(floor)))
+
+
+def _empty_scores(names: DataFrame) -> DataFrame:
+    return names.where(F.lit(False)).select("text", F.lit(0).cast("long").alias("ordinal"), F.lit(0).alias("match_score"))
+
+
+def _in_blocks(names: DataFrame, entries: DataFrame, threshold: int, block_rows: int) -> DataFrame:
+    """All ``names`` against all ``entries``, in blocks."""
+    spark = names.sparkSession
+    n, m = names.count(), entries.count()
+    if not n or not m:
+        return _empty_scores(names)
+    n_blocks = -(-m // block_rows)
+    n_salts = max(-(-n // block_rows), -(-spark.sparkContext.defaultParallelism // n_blocks))
     # named partitions, which adaptive execution doesn't merge: scoring is slow, not large
     tasks = min(n_blocks * n_salts, 4 * max(spark.sparkContext.defaultParallelism,
                                             int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    left = (rest.withColumn("_s", F.pmod(F.xxhash64("product_name"), F.lit(n_salts)).cast("int"))
+    left = (names.select("text", F.pmod(F.xxhash64("text"), F.lit(n_salts)).cast("int").alias("_s"))
             .withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
-    right = (cat.select("ordinal", "competitor_product_name",
-                        F.pmod(F.xxhash64("ordinal"), F.lit(n_blocks)).cast("int").alias("_b"))
+    right = (entries.select("ordinal", F.col("text").alias("entry"),
+                            F.pmod(F.xxhash64("ordinal"), F.lit(n_blocks)).cast("int").alias("_b"))
              .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(n_salts - 1)))))
     keys = ("_b", "_s")
-    scored = (left.repartition(tasks, *keys).groupBy(*keys)
-              .cogroup(right.repartition(tasks, *keys).groupBy(*keys))
-              .applyInPandas(_scorer(threshold), "product_name string, ordinal long, match_score int"))
-    best = (scored.groupBy("product_name")
-            .agg(F.max(F.struct(F.col("match_score").alias("s"), (-F.col("ordinal")).alias("o"))).alias("b"))
-            .select("product_name", F.col("b.s").alias("match_score"), (-F.col("b.o")).alias("ordinal")))
-    found = (best.join(cat.select("ordinal", F.col("competitor_product_name").alias("matched_name")), "ordinal")
-             .select("product_name", "matched_name", "match_score"))
-    matched = prods.join(exact.unionByName(found), "product_name").select("product_id", "matched_name", "match_score")
-    return (matched.withColumn("_lname", F.lower("matched_name"))
-            .join(_price_by_name(cat), "_lname", "left").drop("_lname"))
+    return (left.repartition(tasks, *keys).groupBy(*keys)
+            .cogroup(right.repartition(tasks, *keys).groupBy(*keys))
+            .applyInPandas(_scorer(threshold), "text string, ordinal long, match_score int"))
 
 
 def _scorer(threshold):
     def run(names: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        cands = fuzzy.prepare(zip(entries["ordinal"], entries["competitor_product_name"]))
-        rows = [(n, *fuzzy.best_above(n, cands, threshold)) for n in names["product_name"]]
+        cands = fuzzy.prepare(zip(entries["ordinal"], entries["entry"]))
+        rows = [(n, *fuzzy.best_above(n, cands, threshold)) for n in names["text"]]
         rows = [r for r in rows if r[1] is not None]
-        return pd.DataFrame(rows, columns=["product_name", "ordinal", "match_score"]).astype(
+        return pd.DataFrame(rows, columns=["text", "ordinal", "match_score"]).astype(
             {"ordinal": "int64", "match_score": "int32"})
     return run
 
