@@ -128,52 +128,40 @@ WORD_FLOOR = int(round(100 * UNBASE_SCALE * PARTIAL_SCALE))
 
 
 def plain(text: str) -> bool:
-    """Two characters or more, single blanks and no repeated word, so that all
-    variants of a processed text have the same grams."""
+    """Two characters or more, single blanks and no repeated word, so that the
+    variants of a processed text are orders of the same words."""
     words = text.split()
     return len(text) > 1 and len(set(words)) == len(words) and " ".join(words) == text
 
 
-def grams(text: str) -> list[str]:
-    """The len + 1 two-letter grams of " text ", equal ones numbered. They are
-    those of its words with a blank on either side, so in any order of the words."""
-    seen: Counter = Counter()
-    out, padded = [], f" {text} "
-    for i in range(len(text) + 1):
-        g = padded[i:i + 2]
-        out.append(f"{g}{seen[g]}" if seen[g] else g)
-        seen[g] += 1
-    return out
-
-
-# Deleting a character takes two grams at most, inserting one takes one. Texts of
-# lengths a and b with a common subsequence of L characters therefore share at
-# least (a + 1) - 2 (a - L) - (b - L) = 3 L - a - b + 1 grams.
-
-def near_grams(size, threshold: int):
-    """Least number of grams that a text of ``size`` characters shares with any
-    text of a length less than PARTIAL_MIN_LEN_RATIO apart that scores above
-    ``threshold``. A similarity s means L = s (a + b) / 2; the token-set part can
-    also compare the common words alone (c = s / (2 - s) of a text) with it."""
-    s = (threshold + 0.5) / 100
-    whole = (1.5 * s - 1) * (1 + 1 / PARTIAL_MIN_LEN_RATIO)
-    t = s / UNBASE_SCALE - 0.005                            # as a rounded percentage
-    return _up(size, min(whole, t / (2 - t) / PARTIAL_MIN_LEN_RATIO) if t <= 1 else whole, 1)
-
-
-def far_grams(size, threshold: int):
-    """The same for the shorter one of texts further apart, by the partial parts:
-    a window of the longer text, its own ends not counted."""
-    s = (threshold + 0.5) / 100 / PARTIAL_SCALE - 0.005     # as a rounded percentage
-    return _up(size, (1.5 * s - 1) * 2 / (2 - s), -1)
+def grams(text: str, size: int) -> list[str]:
+    """The different grams of ``size`` letters of " text ", in its own order of
+    words and in sorted order."""
+    both = (f" {text} ", f" {_sorted_tokens(text)} ")
+    return sorted({t[i:i + size] for t in both for i in range(len(t) - size + 1)})
+
+
+# Deleting a character takes three 3-letter grams at most, inserting one takes
+# two. " text " has as many grams as the text has characters, so texts of lengths a
+# and b with a common subsequence of L characters share at least
+# a - 3 (a - L) - 2 (b - L) = 5 L - 2 (a + b) of them. A similarity s means
+# L = s (a + b) / 2, so there is one from s > 0.8 on. The token-set part can also
+# compare common words alone, and a common word has a gram of its own. The partial
+# parts compare the shorter text with a window of the longer one of w characters:
+# the a - 2 grams inside, less the same, leave 5 L - 2 (a + w) - 2, where w is at
+# least L and so s a / (2 - s).
 
+#: From this threshold on, texts up to PARTIAL_MIN_LEN_RATIO apart share a gram.
+LEAST_INDEXED = 80
 
-def _up(size, share: float, more: int):
-    """ceil(share * size + more), 1 at least, of a Spark column or a number."""
-    if isinstance(size, int):
-        return max(1, math.ceil(share * size + more - 1e-9))
-    from pyspark.sql import functions as F
-    return F.greatest(F.lit(1), F.ceil(size * F.lit(share) + F.lit(more - 1e-9))).cast("int")
+
+def tiny(threshold: int) -> int:
+    """Texts of fewer characters needn't share a 3-letter gram with a longer one
+    that holds them; a 2-letter gram they do, by the same count: 3 L - a - w - 1."""
+    s = (threshold + 0.5) / 100 / PARTIAL_SCALE - 0.005     # as a rounded percentage
+    if s >= 1:
+        return 0
+    return math.floor(2 / ((2.5 * s - 2) * 2 / (2 - s)) + 1e-9) + 1
 
 
 def score_above(a: str, b: str, threshold: int) -> int:

@@ -11,9 +11,9 @@ Plan:
 2. Exact pass: an equi-join on the processed name. Equal names score 100. A
    different name can only round to 100 when the two are 200 characters long or
    more together, so names of up to EXACT_LENGTH characters are done then.
-3. Candidates for the rest come from a join of two-letter grams, rarest first
-   (``candidates``): a pair above the threshold shares a number of grams that
-   follows from the lengths, so one of a text's rarest grams is among them.
+3. Candidates for the rest come from a join of three-letter grams
+   (``candidates``): a pair above the threshold shares one, as follows from the
+   lengths (``functions/fuzzy.py``).
    Only such pairs are scored. Pairs of one word in common and of lengths far
    apart all score the same by that word alone; for them the lowest ordinal of
    each word and length is enough.
@@ -36,8 +36,6 @@ THRESHOLD = 80
 BLOCK_ROWS = 2000
 #: Equal processed names of up to this length can't be tied by another name.
 EXACT_LENGTH = 98
-#: Below this threshold the lengths alone guarantee no common gram.
-LEAST_INDEXED = 70
 
 
 def _processed(c):
@@ -83,7 +81,7 @@ def match_competitors(products: DataFrame, catalogue: DataFrame,
 
     keys = rest.select("text", "indexed").distinct()
     texts = entries.groupBy("text", "indexed").agg(F.min("ordinal").alias("ordinal"))
-    if threshold < LEAST_INDEXED:
+    if threshold < fuzzy.LEAST_INDEXED:
         scored = _in_blocks(keys, texts, threshold, block_rows)
     else:
         a, b = keys.where("indexed"), texts.where("indexed")
@@ -115,42 +113,29 @@ def _texts(rows: DataFrame, name: str) -> DataFrame:
     return materialize(rows.mapInPandas(run, schema).where("text <> ''"), name)
 
 
-def _grams(texts: DataFrame, *keep: str) -> DataFrame:
-    """(keep..., text, grams): the two-letter grams of " text ", numbered among
-    equal ones."""
-    schema = T.StructType(list(texts.select(*keep, "text").schema.fields)).add("grams", T.ArrayType(T.StringType()))
-
+def _grams(texts: DataFrame, size: int) -> DataFrame:
+    """(text, gram) of the texts, each different gram once."""
     def run(frames):
         for f in frames:
-            f["grams"] = [fuzzy.grams(x) for x in f["text"]]
+            f["gram"] = [fuzzy.grams(x, size) for x in f["text"]]
             yield f
-    return texts.select(*keep, "text").mapInPandas(run, schema)
+    return texts.select("text").mapInPandas(run, "text string, gram array<string>").select("text", F.explode("gram").alias("gram"))
 
 
 def candidates(names: DataFrame, entries: DataFrame, threshold: int) -> DataFrame:
     """(text, entry): all pairs of indexed texts that can score above
-    ``threshold`` other than by a common word alone. Of lengths less than
-    PARTIAL_MIN_LEN_RATIO apart, both texts' rarest grams are joined; beyond that
-    the shorter one's rarest grams with all grams of the longer one."""
-    grams = _grams(names.select("text", F.lit(0).alias("side")).unionByName(
-        entries.select("text", F.lit(1).alias("side"))), "side")
-    each = grams.select("side", "text", F.explode("grams").alias("gram"))
-    seen = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    # a text's grams, rarest first; the same order for all texts
-    order = F.row_number().over(Window.partitionBy("side", "text").orderBy("n", "gram"))
-    size = F.length("text")
-    near, far = fuzzy.near_grams(size, threshold), fuzzy.far_grams(size, threshold)
-    each = materialize(each.join(seen, "gram").withColumn("at", order).select(
-        "side", "text", "gram", size.alias("size"), (F.col("at") <= size + 2 - near).alias("near"),
-        (F.col("at") <= size + 2 - far).alias("far")), "match_grams")
-    a = each.where("side = 0").select("gram", "text", F.col("size").alias("sa"), F.col("near").alias("na"), F.col("far").alias("fa"))
-    b = each.where("side = 1").select("gram", F.col("text").alias("entry"), F.col("size").alias("sb"),
-                                      F.col("near").alias("nb"), F.col("far").alias("fb"))
-    ratio = F.greatest("sa", "sb") / F.least("sa", "sb")
-    close = (ratio < fuzzy.PARTIAL_MIN_LEN_RATIO) & F.col("na") & F.col("nb")
-    apart = (ratio >= fuzzy.PARTIAL_MIN_LEN_RATIO) & (ratio <= fuzzy.LONG_LEN_RATIO) & F.when(
-        F.col("sa") < F.col("sb"), F.col("fa")).otherwise(F.col("fb"))
-    return a.join(b, "gram").where(close | apart).select("text", "entry").distinct()
+    ``threshold``, but for those of a common word alone that :func:`_by_word`
+    has. They share a gram of three letters; of lengths PARTIAL_MIN_LEN_RATIO
+    apart, a tiny text and a longer one share one of two."""
+    least = fuzzy.tiny(threshold)
+    small = F.length("text") < least
+    side = lambda df: df.withColumnRenamed("text", "entry")
+    found = _grams(names, 3).join(side(_grams(entries, 3)), "gram").select("text", "entry")
+    reach = F.length("text") < least * fuzzy.LONG_LEN_RATIO
+    for a, b in ((small, reach), (reach, small)):
+        found = found.unionByName(_grams(names.where(a), 2).join(side(_grams(entries.where(b), 2)), "gram").select("text", "entry"))
+    sa, sb = F.length("text"), F.length("entry")
+    return found.where(F.greatest(sa, sb) <= fuzzy.LONG_LEN_RATIO * F.least(sa, sb)).distinct()
 
 
 def _scored(pairs: DataFrame, threshold: int) -> DataFrame:
