@@ -679,6 +679,56 @@ def q_not_null_violations(spark, sf):
     return DQ.not_null_violations({t: (wh.table(t), list(c)) for t, c in _REQUIRED.items()})
 
 
+@register("contract_set_aside", """
+SELECT l_orderkey, l_linenumber, l_suppkey, reason, count(*) AS rows FROM (
+  SELECT l_orderkey, l_linenumber, l_suppkey, coalesce(why, CASE WHEN row_number() OVER (
+           PARTITION BY l_orderkey, l_linenumber, why IS NULL ORDER BY l_orderkey NULLS FIRST, l_linenumber NULLS FIRST,
+           l_partkey NULLS FIRST, l_suppkey NULLS FIRST, l_shipdate NULLS FIRST, l_extendedprice NULLS FIRST) > 1
+         THEN 'duplicate key' END) AS reason
+  FROM (SELECT *, CASE WHEN l_orderkey IS NULL THEN 'null l_orderkey' WHEN l_linenumber IS NULL THEN 'null l_linenumber'
+               WHEN l_shipdate IS NULL THEN 'null l_shipdate'
+               WHEN l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey IS NOT NULL) THEN 'orphan l_orderkey'
+               WHEN l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) THEN 'orphan l_suppkey' END AS why
+        FROM lineitem)) WHERE reason IS NOT NULL
+GROUP BY ALL""")
+def q_contract_set_aside(spark, sf):
+    """SNK3, DQ6: the sales lines that the keys of orders and of suppliers with a
+    positive balance don't admit, and those that repeat a line's key."""
+    from tillstar.operators.contract import Contract, write_enforced
+    from tillstar.session import scratch_path
+    from tillstar.sources.tables import read_table
+    lines = read_table(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
+                                               "l_extendedprice"], spread=True)
+    orders = read_table(spark, sf, "orders", ["o_orderkey"])
+    supplier = read_table(spark, sf, "supplier", ["s_suppkey", "s_acctbal"]).where("s_acctbal > 0")
+    contract = Contract(required=("l_shipdate",), key=("l_orderkey", "l_linenumber"),
+                        references={"l_orderkey": (orders, "o_orderkey"), "l_suppkey": (supplier, "s_suppkey")})
+    _, aside, _ = write_enforced(lines, contract, scratch_path(spark, "contract"))
+    return aside.groupBy("l_orderkey", "l_linenumber", "l_suppkey", "reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("star_versions", """
+SELECT CAST(year AS VARCHAR) AS part, count(*) - count(CASE WHEN year = 1998 AND discount = 0 THEN 1 END) AS rows,
+       year <> 1998 AS kept
+FROM (SELECT CAST(extract(year FROM l_shipdate) AS INTEGER) AS year, l_discount AS discount FROM lineitem)
+GROUP BY year""")
+def q_star_versions(spark, sf):
+    """SNK2: the sales lines loaded by year, then again without the undiscounted
+    ones of 1998: the parts of the second version, and whether their files are
+    those of the first."""
+    from tillstar.session import scratch_path
+    from tillstar.sources import versions
+    from tillstar.sources.tables import read_table
+    lines = read_table(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_discount", "l_shipdate"])
+    lines = lines.withColumn("year", F.year("l_shipdate"))
+    root = scratch_path(spark, "versions")
+    first = versions.load({"sales": lines}, root, {"sales": "year"})
+    versions.load({"sales": lines.where("NOT (year = 1998 AND l_discount = 0)")}, root, {"sales": "year"})
+    old = versions.manifest(spark, root, first).select("part", F.col("path").alias("old_path"))
+    return (versions.manifest(spark, root).join(old, "part", "left")
+            .select("part", "rows", F.coalesce(F.col("path") == F.col("old_path"), F.lit(False)).alias("kept")))
+
+
 # ======================================================= matching / prices
 
 @register("competitor_matches", "SELECT product_id, matched_name, match_score, competitor_price FROM matches")
