@@ -7,7 +7,8 @@ def _scores(spark, texts):
     df = spark.createDataFrame([(i, 1, 3.0, t) for i, t in enumerate(texts)],
                                "review_id long, product_id long, rating double, review_text string")
     rules = S.rule_table(spark, S.lexicon_frame(spark))
-    out = {r["review_id"]: float(r["sentiment_score"]) for r in S.score_reviews(df, rules).collect()}
+    out = {r["review_id"]: float(r["sentiment_score"])
+           for r in S.score_reviews(df, rules, phrases=S.phrase_frame(spark)).collect()}
     return [out[i] for i in range(len(texts))]
 
 
@@ -41,3 +42,37 @@ def test_local_rules_equal_distributed_rules(spark):
     cols = ("token", "valence", "boost", "neg", "is_but")
     assert n == local.count()
     assert rows(local, *cols) == rows(dist.select(*cols), *cols)
+
+
+def _compound(v):
+    return round(v / (v * v + 15) ** 0.5, 2)
+
+
+def test_least_never_so_and_without_doubt(spark):
+    good, bad = 1.9, -2.5
+    so = 1.9 + 0.293
+    got = _scores(spark, [
+        "the least good", "at least good", "very least good", "least good",
+        "never so good", "never this good", "never so very good", "never good", "so never good",
+        "without doubt good", "without a doubt good", "without good", "least bad"])
+    very = 1.9 + 0.293 + 0.293 * 0.95
+    assert got == [_compound(x) for x in (
+        good * -0.74, good, good + 0.293 * 0.95, good * -0.74,
+        so * 1.25, good * 1.25, very * 1.25, good * -0.74, (good * -0.74) - 0.293 * 0.95,
+        good, good, good * -0.74, bad * -0.74)]
+
+
+def test_phrases(spark):
+    got = _scores(spark, ["a kiss of death", "very bad ass", "not to die for", "bus stop good", "yeah right, good",
+                          "broken heart", "a broken part", "Kiss, of -- DEATH!", "bad"])
+    assert got == [_compound(x) for x in (
+        -1.5, 1.5 + 0.293, 3.0 * -0.74, 1.9, -2.0 + 1.9, -2.9, -1.9, -1.5 - 0.292, -2.5)]
+
+
+def test_longer_and_earlier_phrases_hold(spark):
+    df = spark.createDataFrame([(1, 1, 3.0, "x a b c y"), (2, 1, 3.0, "a b a"), (3, 1, 3.0, "b c d")],
+                               "review_id long, product_id long, rating double, review_text string")
+    phrases = S.phrase_frame(spark, (("a b", 1.0), ("a b c", 2.0), ("b c", 3.0), ("b a", -3.0), ("c d", -1.0)))
+    rules = S.rule_table(spark, S.lexicon_frame(spark, (("c", 9.0), ("a", 9.0), ("d", 4.0))))
+    got = {r["review_id"]: float(r["sentiment_score"]) for r in S.score_reviews(df, rules, phrases=phrases).collect()}
+    assert got == {1: _compound(2.0), 2: _compound(1.0 + 9.0), 3: _compound(3.0 + 4.0)}

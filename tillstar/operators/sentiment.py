@@ -5,8 +5,12 @@ contributes its valence; a booster word among the three preceding tokens adds
 or removes a fixed amount (decaying with distance), a negation among them flips
 and damps the valence; a contrastive "but" halves what precedes it and
 amplifies what follows; "!" and "?" amplify the sum; the sum ``s`` is squashed
-to ``s / sqrt(s^2 + alpha)``. Text is lower-cased first, so capitalisation
-rules never apply.
+to ``s / sqrt(s^2 + alpha)``. "least" before a word flips it, "never so" and
+"never this" strengthen what follows instead of flipping it, "without doubt"
+leaves it. A phrase of the phrase table counts as one word at its first token:
+it has the phrase's valence, and its tokens have none of their own; of phrases
+that overlap the longer one holds, then the earlier. Text is lower-cased first,
+so capitalisation rules never apply.
 
 Plan: tokens are exploded (narrow), matched against a size-checked broadcast
 rule table (token -> valence / booster / negation / but), and only the hits
@@ -36,6 +40,17 @@ EXCLAMATION_MAX = 4
 QUESTION_STEP = "0.18"
 QUESTION_CAP = "0.96"
 
+NEVER_SO_SCALAR = "1.25"
+INTENSE = ("so", "this")         # behind "never"
+LEAST_EXEMPT = ("at", "very")    # before "least"
+
+# Phrases of the method with a valence of their own.
+DEFAULT_PHRASES = (
+    ("the shit", 3.0), ("the bomb", 3.0), ("bad ass", 1.5), ("bus stop", 0.0), ("yeah right", -2.0),
+    ("kiss of death", -1.5), ("to die for", 3.0), ("beating heart", 3.1), ("broken heart", -2.9),
+)
+MAX_PHRASE_WORDS = 3
+
 # Our word lists (the lexicon itself is an input table).
 NEGATIONS = (
     "not", "no", "never", "none", "nobody", "nothing", "neither", "nor",
@@ -174,24 +189,69 @@ def _token_valence(hits: Column, h: Column, j: Column) -> Column:
                 * F.lit(decay).cast("decimal(4,2)"))
         bstep = F.when(n.isNotNull() & n["valence"].isNull() & n["boost"].isNotNull(),
                        n["boost"].cast("decimal(2,0)") * step).otherwise(F.lit(0))
-        nmult = F.when(n.isNotNull() & F.coalesce(n["neg"], F.lit(False)),
-                       F.lit(NEGATION_SCALAR)).otherwise(F.lit("1"))
+        flip = F.lit(NEGATION_SCALAR) if k == 1 else (
+            F.when(h[f"x{k}"] == 1, F.lit(NEVER_SO_SCALAR)).when(h[f"x{k}"] == 2, F.lit("1")).otherwise(F.lit(NEGATION_SCALAR)))
+        nmult = F.when(n.isNotNull() & F.coalesce(n["neg"], F.lit(False)), flip).otherwise(F.lit("1"))
         ctx.append(F.struct(bstep.cast("decimal(12,6)").alias("b"),
                             nmult.cast("decimal(4,2)").alias("n")))
+    least = F.when(h["least"], F.lit(NEGATION_SCALAR)).otherwise(F.lit("1"))
+    ctx.append(F.struct(F.lit(0).cast("decimal(12,6)").alias("b"), least.cast("decimal(4,2)").alias("n")))
     v0 = F.when(h["boost"].isNull(), h["valence"]).cast(_ACC)
     return F.aggregate(
         F.array(*ctx), v0,
         lambda acc, c: ((acc + F.signum(acc).cast("decimal(2,0)") * c["b"]) * c["n"]).cast(_ACC))
 
 
+def _with_phrases(tokens: DataFrame, phrases: DataFrame | None) -> DataFrame:
+    """``tokens`` with the longest phrase that begins at each (p_len, p_val):
+    a join of the rolling token n-grams with the phrase table, by length."""
+    val = "decimal(8,4)"
+    if phrases is None:
+        return tokens.withColumns({"p_len": F.lit(None).cast("int"), "p_val": F.lit(None).cast(val)})
+    known = (phrases.select(F.lower(F.trim("phrase")).alias("_p"), F.col("valence").cast(val).alias("_v"))
+             .groupBy("_p").agg(F.max("_v").alias("_v")))
+    out, lens, vals = tokens, [], []
+    for k in range(MAX_PHRASE_WORDS, 1, -1):
+        out = out.join(known.select(F.col("_p").alias(f"_g{k}"), F.col("_v").alias(f"_v{k}")), f"_g{k}", "left")
+        lens.append(F.when(F.col(f"_v{k}").isNotNull(), F.lit(k)))
+        vals.append(F.col(f"_v{k}"))
+    return out.withColumns({"p_len": F.coalesce(*lens), "p_val": F.coalesce(*vals)})
+
+
+def _phrases_held(hits: Column) -> Column:
+    """The hits with their phrases in force: a phrase that no better one overlaps
+    gives its first token its valence and silences all its tokens."""
+    found = F.filter(hits, lambda h: h["p_len"].isNotNull())
+
+    def beaten(p: Column) -> Column:
+        return F.exists(found, lambda q: (q["pos"] < p["pos"] + p["p_len"]) & (p["pos"] < q["pos"] + q["p_len"]) & (
+            (q["p_len"] > p["p_len"]) | (q["p_len"] == p["p_len"]) & (q["pos"] < p["pos"])))
+    held = F.filter(found, lambda p: ~beaten(p))
+
+    def silenced(h: Column) -> Column:
+        inside = F.exists(held, lambda p: (p["pos"] <= h["pos"]) & (h["pos"] < p["pos"] + p["p_len"]))
+        starts = F.exists(held, lambda p: p["pos"] == h["pos"])
+        return F.struct(
+            h["pos"].alias("pos"),
+            F.when(starts, h["p_val"]).when(~inside, h["valence"]).alias("valence"),
+            F.when(~inside, h["boost"]).alias("boost"), (h["neg"] & ~inside).alias("neg"), (h["is_but"] & ~inside).alias("is_but"),
+            h["x2"].alias("x2"), h["x3"].alias("x3"), h["least"].alias("least"), h["p_len"].alias("p_len"), h["p_val"].alias("p_val"))
+    return F.transform(hits, silenced)
+
+
+def phrase_frame(spark: SparkSession, entries=DEFAULT_PHRASES) -> DataFrame:
+    return literal_table(spark, [(t, float(v)) for t, v in entries], "phrase string, valence double")
+
+
 def score_reviews(reviews: DataFrame, rules: DataFrame, *, id_col: str = "review_id",
                   text_col: str = "review_text",
                   keep: tuple[str, ...] = ("product_id", "rating"),
-                  n_rules: int | None = None) -> DataFrame:
+                  n_rules: int | None = None, phrases: DataFrame | None = None) -> DataFrame:
     """Per-review compound score in [-1, 1], rounded to 2 digits (DECIMAL).
 
     Output: ``id_col``, ``keep`` columns, ``sentiment_score``. ``n_rules`` is
-    the known size of ``rules`` (counted here when not given).
+    the known size of ``rules`` (counted here when not given). ``phrases``:
+    (phrase, valence), of two to MAX_PHRASE_WORDS tokens.
     """
     if n_rules is None:
         n_rules = rules.count()
@@ -203,21 +263,33 @@ def score_reviews(reviews: DataFrame, rules: DataFrame, *, id_col: str = "review
         _count_char(F.col(text_col), "?").alias("_qm"),
         tokenize(F.col(text_col)).alias("_toks"),
     )
-    exploded = base.select(
-        id_col, *keep, "_excl", "_qm",
-        F.posexplode_outer("_toks").alias("pos", "token"))
+    # each token with those before it and the phrases that begin at it
+    at = lambda i: F.get("_toks", i)
+    grams = [F.when(F.size("_toks") >= F.col("pos") + k, F.array_join(F.slice("_toks", F.col("pos") + 1, k), " ")).alias(f"_g{k}")
+             for k in range(2, MAX_PHRASE_WORDS + 1)]
+    exploded = (base.select(id_col, *keep, "_excl", "_qm", "_toks", F.posexplode_outer("_toks").alias("pos", "token"))
+                .select(id_col, *keep, "_excl", "_qm", "pos", "token", *(grams if phrases is not None else []),
+                        *(at(F.col("pos") - k).alias(f"_t{k}") for k in (1, 2, 3))))
     neg_pattern = F.coalesce(F.col("token").endswith("n't"), F.lit(False))
     joined = (exploded.join(rules_side, "token", "left")
               .withColumn("neg", F.coalesce(F.col("neg"), F.lit(False)) | neg_pattern)
               .withColumn("is_but", F.coalesce(F.col("is_but"), F.lit(False))))
+    joined = _with_phrases(joined, phrases)
     is_hit = (F.col("valence").isNotNull() | F.col("boost").isNotNull()
-              | F.col("neg") | F.col("is_but"))
+              | F.col("neg") | F.col("is_but") | F.col("p_len").isNotNull())
     hits = joined.where(is_hit | F.col("pos").isNull() | (F.col("pos") == 0))
+    one = lambda c, *words: F.coalesce(F.col(c).isin(*words), F.lit(False))
+    never = lambda k, so: (F.when(one(f"_t{k}", "never") & so(*INTENSE), 1)
+                           .when(one(f"_t{k}", "without") & so("doubt"), 2).otherwise(0))
     per_review = hits.groupBy(id_col, *keep, "_excl", "_qm").agg(
         F.array_sort(F.collect_list(F.when(is_hit, F.struct(
             F.col("pos").cast("int").alias("pos"),
-            F.col("valence"), F.col("boost"), F.col("neg"), F.col("is_but"))))
+            F.col("valence"), F.col("boost"), F.col("neg"), F.col("is_but"),
+            never(2, lambda *w: one("_t1", *w)).alias("x2"), never(3, lambda *w: one("_t1", *w) | one("_t2", *w)).alias("x3"),
+            (one("_t1", "least") & ~one("_t2", *LEAST_EXEMPT)).alias("least"), F.col("p_len"), F.col("p_val"))))
         ).alias("_hits"))
+    if phrases is not None:
+        per_review = per_review.withColumn("_hits", _phrases_held(F.col("_hits")))
 
     hits_c = F.col("_hits")
     per_review = per_review.withColumn("_but", F.array_min(F.transform(
@@ -264,17 +336,20 @@ def product_sentiment(scored: DataFrame) -> DataFrame:
 
 def analyze_sentiment(reviews: DataFrame, lexicon=None,
                       boosters_up=BOOSTERS_UP, boosters_down=BOOSTERS_DOWN,
-                      negations=NEGATIONS) -> DataFrame:
+                      negations=NEGATIONS, phrases=None) -> DataFrame:
     """TXT1 end to end: reviews(review_id, product_id, rating, review_text)
     -> (product_id, avg_sentiment, avg_rating, review_count).
 
     ``lexicon``: a DataFrame (token, valence), or literal (token, valence)
-    pairs, or None for the default lexicon."""
+    pairs, or None for the default lexicon. ``phrases``: a DataFrame (phrase,
+    valence), or literal pairs, or None for the method's own phrases."""
     spark = reviews.sparkSession
+    if not isinstance(phrases, DataFrame):
+        phrases = phrase_frame(spark, DEFAULT_PHRASES if phrases is None else phrases)
     if isinstance(lexicon, DataFrame):
         rules, n = rule_table(spark, lexicon, boosters_up, boosters_down, negations), None
     else:
         rules, n = local_rule_table(spark, lexicon if lexicon is not None else DEFAULT_LEXICON,
                                     boosters_up, boosters_down, negations)
     reviews = reviews.withColumn("rating", F.col("rating").try_cast(T.DoubleType()))
-    return product_sentiment(score_reviews(reviews, rules, n_rules=n))
+    return product_sentiment(score_reviews(reviews, rules, n_rules=n, phrases=phrases))

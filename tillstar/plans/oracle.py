@@ -35,6 +35,8 @@ _WORDS = _values(
     + [(w, -1, False, False) for w in S.CORPUS_BOOSTERS_DOWN]
     + [(w, None, True, False) for w in sentiment.NEGATIONS]
     + [("but", None, False, True)], ["token", "boost", "neg", "is_but"])
+_PHRASES = _values(list(S.CORPUS_PHRASES), ["phrase", "valence"])
+_SO = "('so', 'this')"
 _SHIP = _values(list(S.SHIPPING_SHEET), ["region_name", "shipping_cost"])
 
 ACC = "DECIMAL(30,12)"
@@ -46,7 +48,8 @@ def _vk(k: int) -> str:
     prev = "v0" if k == 1 else f"v{k - 1}"
     return (f"CAST(({prev} + CAST(sign({prev}) AS DECIMAL(2,0)) * "
             f"CAST(CASE WHEN b{k}_ok THEN CAST(b{k} AS DECIMAL(2,0)) * {_STEP[k - 1]} ELSE 0 END AS DECIMAL(12,6)))"
-            f" * CAST(CASE WHEN n{k} THEN {sentiment.NEGATION_SCALAR} ELSE 1 END AS DECIMAL(4,2)) AS {ACC})")
+            f" * CAST(CASE WHEN n{k} THEN CASE x{k} WHEN 1 THEN {sentiment.NEVER_SO_SCALAR} WHEN 2 THEN 1 "
+            f"ELSE {sentiment.NEGATION_SCALAR} END ELSE 1 END AS DECIMAL(4,2)) AS {ACC})")
 
 
 BASE = f"""
@@ -89,11 +92,31 @@ tok1 AS (
 tok AS (
   SELECT review_id, row_number() OVER (PARTITION BY review_id ORDER BY idx) - 1 AS pos, token
   FROM tok1 WHERE token <> ''),
-tokr AS (
+tokj AS (
   SELECT t.review_id, t.pos, t.token, r.valence, r.boost,
          coalesce(r.wneg, FALSE) OR coalesce(t.token LIKE '%n''t', FALSE) AS neg,
          coalesce(r.wbut, FALSE) AS is_but
   FROM tok t LEFT JOIN rules r ON t.token = r.token),
+grams AS (
+  SELECT review_id, pos, token || ' ' || lead(token, 1) OVER w AS g2,
+         token || ' ' || lead(token, 1) OVER w || ' ' || lead(token, 2) OVER w AS g3
+  FROM tok WINDOW w AS (PARTITION BY review_id ORDER BY pos)),
+phr AS (
+  SELECT review_id, pos, CASE WHEN c.phrase IS NOT NULL THEN 3 ELSE 2 END AS len,
+         CAST(coalesce(c.valence, b.valence) AS DECIMAL(8,4)) AS pval
+  FROM grams g LEFT JOIN {_PHRASES.replace("AS t(", "AS b(")} ON b.phrase = g.g2
+       LEFT JOIN {_PHRASES.replace("AS t(", "AS c(")} ON c.phrase = g.g3
+  WHERE b.phrase IS NOT NULL OR c.phrase IS NOT NULL),
+held AS (
+  SELECT * FROM phr p WHERE NOT EXISTS (
+    SELECT 1 FROM phr q WHERE q.review_id = p.review_id AND q.pos < p.pos + p.len AND p.pos < q.pos + q.len
+      AND (q.len > p.len OR q.len = p.len AND q.pos < p.pos))),
+tokr AS (
+  SELECT t.review_id, t.pos, t.token,
+         CASE WHEN h.pos = t.pos THEN h.pval WHEN h.pos IS NULL THEN t.valence END AS valence,
+         CASE WHEN h.pos IS NULL THEN t.boost END AS boost,
+         t.neg AND h.pos IS NULL AS neg, t.is_but AND h.pos IS NULL AS is_but
+  FROM tokj t LEFT JOIN held h ON h.review_id = t.review_id AND t.pos >= h.pos AND t.pos < h.pos + h.len),
 ctx AS (
   SELECT review_id, pos, valence, boost, is_but,
          lag(boost, 1) OVER w AS b1, lag(boost, 2) OVER w AS b2, lag(boost, 3) OVER w AS b3,
@@ -102,12 +125,21 @@ ctx AS (
          lag(valence, 3) OVER w IS NULL AND lag(boost, 3) OVER w IS NOT NULL AS b3_ok,
          coalesce(lag(neg, 1) OVER w, FALSE) AS n1,
          coalesce(lag(neg, 2) OVER w, FALSE) AS n2,
-         coalesce(lag(neg, 3) OVER w, FALSE) AS n3
+         coalesce(lag(neg, 3) OVER w, FALSE) AS n3,
+         0 AS x1,
+         CASE WHEN lag(token, 2) OVER w = 'never' AND lag(token, 1) OVER w IN {_SO} THEN 1
+              WHEN lag(token, 2) OVER w = 'without' AND lag(token, 1) OVER w = 'doubt' THEN 2 ELSE 0 END AS x2,
+         CASE WHEN lag(token, 3) OVER w = 'never' AND (lag(token, 1) OVER w IN {_SO} OR lag(token, 2) OVER w IN {_SO}) THEN 1
+              WHEN lag(token, 3) OVER w = 'without' AND (lag(token, 1) OVER w = 'doubt' OR lag(token, 2) OVER w = 'doubt') THEN 2
+              ELSE 0 END AS x3,
+         coalesce(lag(token, 1) OVER w = 'least', FALSE)
+           AND NOT coalesce(lag(token, 2) OVER w IN ('at', 'very'), FALSE) AS least
   FROM tokr WINDOW w AS (PARTITION BY review_id ORDER BY pos)),
 v1 AS (SELECT *, CAST(CASE WHEN boost IS NULL THEN valence END AS {ACC}) AS v0 FROM ctx),
 v2 AS (SELECT *, {_vk(1)} AS v1 FROM v1),
 v3 AS (SELECT *, {_vk(2)} AS v2 FROM v2),
-v4 AS (SELECT *, {_vk(3)} AS v3 FROM v3),
+v4 AS (SELECT * EXCLUDE (v3), CAST(v3 * CAST(CASE WHEN least THEN {sentiment.NEGATION_SCALAR} ELSE 1 END AS DECIMAL(4,2)) AS {ACC}) AS v3
+       FROM (SELECT *, {_vk(3)} AS v3 FROM v3)),
 butp AS (SELECT review_id, min(pos) AS but_pos FROM tokr WHERE is_but GROUP BY review_id),
 tsum AS (
   SELECT v.review_id,

@@ -64,6 +64,9 @@ CORPUS_LEXICON = sentiment.DEFAULT_LEXICON + (
 )
 CORPUS_BOOSTERS_UP = sentiment.BOOSTERS_UP + ("this",)
 CORPUS_BOOSTERS_DOWN = sentiment.BOOSTERS_DOWN + ("by",)
+CORPUS_PHRASES = sentiment.DEFAULT_PHRASES + (
+    ("of the", 0.9), ("in the", -0.7), ("the in", 0.4), ("the of the", 1.1), ("with the", -0.3), ("was the", 0.0),
+)
 
 
 @dataclass
@@ -337,7 +340,7 @@ def build_dimensions(spark: SparkSession, sf_dir: str, root: str) -> dict[str, D
         senti = sentiment.analyze_sentiment(
             reviews_from_documents(docs, n_products),
             CORPUS_LEXICON,
-            CORPUS_BOOSTERS_UP, CORPUS_BOOSTERS_DOWN)
+            CORPUS_BOOSTERS_UP, CORPUS_BOOSTERS_DOWN, phrases=CORPUS_PHRASES)
         senti = _write(senti, os.path.join(root, "product_review_stats"))
     with _step("dim_product"):
         matches = matching.match_competitors(products, competitor_catalogue(part))
