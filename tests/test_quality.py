@@ -29,3 +29,15 @@ def test_orphans_status_not_null(spark):
     assert got == {"fact": (4, 1, 1, "WARNING"), "dim": (2, 0, 0, "OK")}
     nn = rows(quality.not_null_violations({"fact": (fact, ["pid", "sid"])}))
     assert nn == [("fact", "pid", 0), ("fact", "sid", 1)]
+
+
+def test_stored_profile_equals_the_single_reports(spark):
+    from tillstar.sources.tables import literal_table
+    df = spark.createDataFrame([(1, "a", None), (1, None, 2.0), (None, "b", 3.0), (None, "b", None), (4, "c", 5.0)],
+                               "id int, name string, v double")
+    for t in (df, df.limit(0)):
+        p = literal_table(spark, quality.profile(t, "t", ["id"]), quality.PROFILE)
+        assert rows(quality.profile_columns(p)) == rows(quality.column_profile(t, "t"))
+        assert rows(quality.profile_completeness(p)) == rows(quality.completeness(t, "t"))
+        assert rows(quality.profile_duplicates(p), "duplicate_keys") == rows(quality.duplicate_keys(t, "id"))
+        assert rows(quality.profile_status(p)) == rows(quality.table_status({"t": (t, ["id"])}))

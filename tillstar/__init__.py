@@ -11,7 +11,6 @@ Layers
   extraction, shaping).
 * ``plans``     – end-to-end jobs: the star-schema build from the driver tables,
   the query registry and the equivalent DuckDB SQL used as an oracle.
-* ``streaming`` – intentionally empty (the modelled pipeline is batch only).
 """
 
 __all__ = ["__version__"]

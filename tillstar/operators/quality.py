@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tillstar.functions.money import money
@@ -108,3 +108,57 @@ def not_null_violations(tables: Mapping[str, tuple[DataFrame, Sequence[str]]]) -
         out.append(row.select(stack.alias("s")).select(
             F.lit(name).alias("table_name"), "s.column_name", "s.violations"))
     return _union(out)
+
+
+# ------------------------------------------------------------ stored profile
+
+PROFILE = ("table_name string, position int, column_name string, dtype string, rows long, non_null long, "
+           "duplicate_keys long")
+
+
+def profile(df: DataFrame, table: str, key: Sequence[str]) -> list[tuple]:
+    """The rows of PROFILE for a table, from one scan of it: what each column
+    holds is observed while the rows pass on to the count of repeated keys, which
+    shuffles the key alone."""
+    cols, seen = df.columns, Observation(f"profile {table}")
+    types = [f.dataType.simpleString() for f in df.schema]
+    if df.isEmpty():
+        return [(table, i, c, t, 0, 0, 0) for i, (c, t) in enumerate(zip(cols, types))]
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.count(F.col(f"`{c}`")).alias(f"nn_{i}") for i, c in enumerate(cols)))
+    repeated = duplicate_keys(counted, key).first()[0]
+    got = seen.get
+    return [(table, i, c, t, got["rows"], got[f"nn_{i}"], repeated) for i, (c, t) in enumerate(zip(cols, types))]
+
+
+def _filled_pct(of: str, rows: str = "rows"):
+    return money(F.try_divide(F.col(of) * 100.0, F.col(rows).cast("double")))
+
+
+def profile_columns(p: DataFrame) -> DataFrame:
+    """DQ1 from a stored profile."""
+    return (p.withColumn("null_count", F.col("rows") - F.col("non_null"))
+            .select("table_name", "position", "column_name", "dtype", "non_null", "null_count",
+                    _filled_pct("null_count").alias("null_pct")))
+
+
+def profile_duplicates(p: DataFrame) -> DataFrame:
+    """DQ2 from a stored profile."""
+    return p.where("position = 0").select("table_name", "duplicate_keys")
+
+
+def profile_completeness(p: DataFrame, threshold: float = COMPLETE_PCT) -> DataFrame:
+    """DQ3 from a stored profile."""
+    pct = _filled_pct("non_null")
+    return p.select("table_name", "position", "column_name", F.col("non_null").alias("filled"), pct.alias("filled_pct"),
+                    (F.coalesce(pct, F.lit(0.0)) >= threshold).alias("complete"))
+
+
+def profile_status(p: DataFrame) -> DataFrame:
+    """DQ5 from a stored profile."""
+    t = p.groupBy("table_name", "rows", "duplicate_keys").agg(
+        F.count(F.lit(1)).alias("columns"), F.sum(F.col("rows") - F.col("non_null")).alias("missing_values"))
+    t = t.withColumn("cells", F.col("rows") * F.col("columns"))
+    pct = F.coalesce(_filled_pct("missing_values", "cells"), F.lit(0.0))
+    return t.select("table_name", "rows", F.col("columns").cast("int").alias("columns"), "missing_values",
+                    pct.alias("missing_pct"), "duplicate_keys",
+                    F.when((pct < OK_MISSING_PCT) & (F.col("duplicate_keys") == 0), "OK").otherwise("WARNING").alias("status"))

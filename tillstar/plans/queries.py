@@ -557,12 +557,7 @@ def _profile_sql() -> str:
 @register("column_profile", _profile_sql())
 def q_column_profile(spark, sf):
     wh = _wh(spark, sf)
-    parts = [DQ.column_profile(wh.table(t).select(*cols), t).drop("dtype")
-             for t, cols in _PROFILED.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("position", F.col("position").cast("int"))
+    return DQ.profile_columns(_profile(wh)).drop("dtype")
 
 
 def _completeness_sql() -> str:
@@ -579,12 +574,7 @@ def _completeness_sql() -> str:
 
 @register("completeness", _completeness_sql())
 def q_completeness(spark, sf):
-    wh = _wh(spark, sf)
-    parts = [DQ.completeness(wh.table(t).select(*cols), t) for t, cols in _PROFILED.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("position", F.col("position").cast("int"))
+    return DQ.profile_completeness(_profile(_wh(spark, sf)))
 
 
 _KEYED = {"dim_product": ["product_id"], "dim_store": ["store_id"],
@@ -597,13 +587,7 @@ _KEYED = {"dim_product": ["product_id"], "dim_store": ["store_id"],
     f"FROM (SELECT count(*) AS _n FROM {'fact' if t == 'fact_sales' else t} GROUP BY {', '.join(k)})"
     for t, k in _KEYED.items()))
 def q_duplicate_keys(spark, sf):
-    wh = _wh(spark, sf)
-    parts = [DQ.duplicate_keys(wh.table(t), k).select(F.lit(t).alias("table_name"), "duplicate_keys")
-             for t, k in _KEYED.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return DQ.profile_duplicates(_profile(_wh(spark, sf))).where(F.col("table_name").isin(*_KEYED))
 
 
 @register("orphan_keys", """
@@ -657,9 +641,15 @@ FROM {name}""")
 
 @register("table_status", _status_sql())
 def q_table_status(spark, sf):
-    wh = _wh(spark, sf)
-    return DQ.table_status({t: (wh.table(t).select(*_STATUS_COLS[t]), list(k))
-                            for t, k in _STATUS_TABLES.items()})
+    return DQ.profile_status(_profile(_wh(spark, sf)))
+
+
+def _profile(wh) -> DataFrame:
+    """The stored profile of the star's tables; one scan of each when it is first
+    asked for."""
+    from tillstar.sources.tables import literal_table
+    return wh.derived("table_profile", lambda: literal_table(wh.spark, [
+        r for t, k in _STATUS_TABLES.items() for r in DQ.profile(wh.table(t).select(*_STATUS_COLS[t]), t, k)], DQ.PROFILE))
 
 
 _REQUIRED = {"dim_product": ("product_id", "product_name"),

@@ -91,6 +91,13 @@ class Warehouse:
             self._frames[name] = df
         return df
 
+    def derived(self, name: str, make) -> DataFrame:
+        """A table that ``make()`` derives from the star, written once."""
+        with _LOCK:
+            if name not in self._frames:
+                make().write.mode("overwrite").parquet(self.path(name))
+            return self.table(name)
+
     @property
     def fact(self) -> DataFrame:
         return self.table("fact_sales")
