@@ -1125,6 +1125,23 @@ def q_csv_roundtrip(spark, sf):
     return back.withColumn("product_id", F.col("product_id").cast("long"))
 
 
+@register("extraction_summary", """
+SELECT 'table_nation' AS "table", count(*) AS rows, 3 AS columns, 'ok' AS status FROM nation
+UNION ALL SELECT 'orders', count(*), 6, 'ok' FROM orders
+UNION ALL SELECT 'broken', 0, 0, 'failed'
+UNION ALL SELECT 'no_rows', 0, 4, 'ok'""")
+def q_extraction_summary(spark, sf):
+    """SRC6, SNK6: tables written one by one; one that can't be read is reported."""
+    from tillstar.session import scratch_path
+    from tillstar.sources import files
+    from tillstar.sources.tables import read_table
+    customer = read_table(spark, sf, "customer", ["c_custkey", "c_name"])
+    return files.extract_tables({
+        "table_nation": read_table(spark, sf, "nation"), "orders": read_table(spark, sf, "orders"),
+        "broken": customer.select("c_custkey", F.raise_error(F.lit("unreadable")).alias("c_name")),
+        "no_rows": read_table(spark, sf, "supplier").where("s_suppkey IS NULL")}, scratch_path(spark, "extract"))
+
+
 @register("flat_files", f"""
 SELECT 'marketing_expenses' AS sheet, count(*) AS rows, {M('sum(usd)')} AS amount FROM (SELECT DISTINCT * FROM mkt)
 UNION ALL SELECT 'monthly_targets', count(*), {M('sum(CAST(s_acctbal AS DECIMAL(18,2)))')} FROM supplier WHERE s_acctbal > 0
