@@ -1224,6 +1224,72 @@ FROM fact""")
 def q_etl_star(spark, sf):
     """ETL1, JN4, PRJ1-6: the driver tables written as extracted CSV files, read
     back by name, and the whole pipeline run over them; the fact by its contract."""
+    num = lambda c: F.col(c).cast("long").alias(c)
+    return _etl(spark, sf)["fact_sales"].select(
+        "sale_id", "date_id", num("product_id"), num("store_id"), num("customer_id"), "quantity",
+        F.col("total_revenue").cast("decimal(18,4)").alias("total_revenue"),
+        *(F.col(c).cast("decimal(18,4)").alias(c) for c in ("product_cost", "shipping_cost", "marketing_cost", "net_profit")))
+
+
+@register("etl_dimensions", """
+SELECT 'product' AS kind, CAST(product_id AS VARCHAR) AS id, product_name AS name, subcategory_name AS part_of,
+       category_name AS group_name, CAST(unit_price AS DOUBLE) AS first_amount, CAST(unit_cost AS DOUBLE) AS second_amount
+FROM dim_product
+UNION ALL SELECT 'store', CAST(store_id AS VARCHAR), store_name, city_name, region,
+       CAST(monthly_target AS DOUBLE), CAST(annual_target AS DOUBLE) FROM dim_store
+UNION ALL SELECT 'customer', CAST(customer_id AS VARCHAR), customer_name, city_name, region, NULL, NULL FROM dim_customer""")
+def q_etl_dimensions(spark, sf):
+    """ETL1, JN4, JN6, JN7, DIM1-3: the dimensions of the same run."""
+    out, text = _etl(spark, sf), lambda c: F.col(c).cast("string")
+
+    def rows(kind, df, key, name, part_of, group, *amounts):
+        amounts = [F.col(a).cast("double") for a in amounts] or [F.lit(None).cast("double")] * 2
+        return df.select(F.lit(kind).alias("kind"), text(key).alias("id"), text(name).alias("name"), text(part_of).alias("part_of"),
+                         text(group).alias("group_name"), amounts[0].alias("first_amount"), amounts[1].alias("second_amount"))
+    return (rows("product", out["dim_product"], "product_id", "product_name", "subcat_name", "category_name", "unit_price", "unit_cost")
+            .unionByName(rows("store", out["dim_store"], "store_id", "store_name", "city_name", "region", "monthly_target", "annual_target"))
+            .unionByName(rows("customer", out["dim_customer"], "customer_id", "full_name", "city_name", "region")))
+
+
+@register("product_categories", """
+SELECT 'subcategory' AS via, p_partkey AS product_id, lower(trim(p_type)) AS category FROM part
+UNION ALL SELECT 'category_id', p_partkey, lower(trim(p_type)) FROM part
+UNION ALL SELECT 'own_text', p_partkey, lower(trim(p_type)) FROM part
+UNION ALL SELECT 'nothing', p_partkey, 'unknown' FROM part""")
+def q_product_categories(spark, sf):
+    """PRJ6: the category of each product by each of its four links: through the
+    subcategory, by the product's category id, by its own text, or 'unknown'."""
+    from tillstar.plans import etl
+    from tillstar.sources.tables import read_table
+    part = read_table(spark, sf, "part", ["p_partkey", "p_brand", "p_type"]).select(
+        F.col("p_partkey").alias("product_id"), F.xxhash64("p_brand", "p_type").alias("sub_category_id"),
+        F.pmod(F.hash("p_type"), F.lit(1 << 30)).alias("category_id"), F.concat(F.lit(" "), F.upper("p_type")).alias("Category"))
+    subs = part.select("sub_category_id", "category_id").distinct()
+    cats = part.select("category_id", F.col("Category").alias("category_name")).distinct()
+    ways = {"subcategory": (part.select("product_id", "sub_category_id"), subs, cats),
+            "category_id": (part.select("product_id", "category_id"), None, cats),
+            "own_text": (part.select("product_id", "Category"), None, cats),
+            "nothing": (part.select("product_id"), None, cats)}
+    out = None
+    for via, args in ways.items():
+        df = etl.product_category(*args).select(F.lit(via).alias("via"), "product_id", "category")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+_ETL_RUNS: dict[tuple, dict[str, DataFrame]] = {}
+
+
+def _etl(spark, sf) -> dict[str, DataFrame]:
+    """The pipeline over extracted files, run and written once a session and input."""
+    from tillstar.plans.star import session_key
+    key = session_key(spark, sf)
+    if key not in _ETL_RUNS:
+        _ETL_RUNS[key] = _run_etl(spark, sf)
+    return _ETL_RUNS[key]
+
+
+def _run_etl(spark, sf) -> dict[str, DataFrame]:
     from tillstar.plans import etl
     from tillstar.plans import star as S
     from tillstar.session import scratch_path
@@ -1258,12 +1324,7 @@ def q_etl_star(spark, sf):
         "monthly_targets": S.target_sheet(rd("supplier")),
         "shipping_rates": S.shipping_sheet(spark),
     }.items()}, root)
-    out = etl.run_etl(files.read_extracted(spark, root), write_to=scratch_path(spark, "etl"))
-    num = lambda c: F.col(c).cast("long").alias(c)
-    return out["fact_sales"].select(
-        "sale_id", "date_id", num("product_id"), num("store_id"), num("customer_id"), "quantity",
-        F.col("total_revenue").cast("decimal(18,4)").alias("total_revenue"),
-        *(F.col(c).cast("decimal(18,4)").alias(c) for c in ("product_cost", "shipping_cost", "marketing_cost", "net_profit")))
+    return etl.run_etl(files.read_extracted(spark, root), write_to=scratch_path(spark, "etl"))
 
 
 @register("profit_bands", f"""
