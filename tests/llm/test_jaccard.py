@@ -95,3 +95,12 @@ def test_one_row_stays_of_each_group_under_one_id(spark):
     rows = [(5, a), (5, b), (5, b), (6, a + " more"), (7, c), (8, c), (9, b + " end"), (9, words(60, rng))]
     kept = J.keep_one(frame(spark, rows)).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == sorted([(5, a), (5, b), (7, c), (9, rows[7][1])])
+
+
+def test_of_repeated_rows_the_same_one_stays(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, f"s{k}") for k in range(8)]
+    kept = {tuple(tuple(r) for r in J.keep_one(spark.createDataFrame(x, "doc_id long, text string, source string")
+                                                     .repartition(n)).collect())
+            for x, n in ((rows, 1), (rows[::-1], 3), (rows[4:] + rows[:4], 5))}
+    assert len(kept) == 1 and len(kept.pop()) == 1

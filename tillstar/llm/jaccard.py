@@ -407,7 +407,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS,
              num: int = NUM, den: int = DEN) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the one with the
-    least id, of its repetitions one. Rows without a word and rows with a null id
+    least id, of its repetitions one (by a hash of all its columns, so the same in
+    every run). Rows without a word and rows with a null id
     link with nothing and stay."""
     cols, schema = docs.columns, docs.schema
     rows = near_duplicates(docs, id_col, text, words, num, den)
@@ -426,7 +427,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words:
             # an id may stand for several texts, told apart by their class
             keep += [m == 0 or f in (w or ()) for f, m, w in zip(fp.tolist(), n.tolist(), want[c.rows])]
         yield b.select(cols).filter(pa.array(keep, pa.bool_()))
-    one = F.row_number().over(W.partitionBy("_k_key", F.xxhash64(text)).orderBy(F.lit(0)))
+    one = F.row_number().over(W.partitionBy("_k_key", F.xxhash64(text)).orderBy(F.xxhash64(*cols), *cols))
     found = common.map_batches(known.withColumn("_k_n", one).where("_k_n = 1 OR _k_fp IS NULL").select(*cols, "_k_fp"),
                                run, schema)
     return found.unionByName(docs.where(F.col(id_col).isNull()))
