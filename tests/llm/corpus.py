@@ -52,3 +52,10 @@ def frame(spark, rows, extra=True):
     cols = CLASH if extra else ()
     data = [(*r, *(f"{c}{r[0]}" for c in cols)) for r in rows]
     return spark.createDataFrame(data, "doc_id long, text string" + "".join(f", {c} string" for c in cols))
+
+
+def twins(n=1024):
+    """Two different texts that a polynomial hash modulo 2^64 can't tell apart:
+    a Thue-Morse word and its complement."""
+    one = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))

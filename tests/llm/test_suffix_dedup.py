@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from corpus import corpus, frame
+from corpus import corpus, frame, twins
 
 from tillstar.llm import suffix_dedup as S
 
@@ -45,3 +45,12 @@ def test_two_stage_sort_is_a_suffix_array():
             text = np.append(raw.astype(np.uint16) + 1, 0).astype(np.uint16)
             want = sorted(range(len(text)), key=lambda i: text[i:].tolist())
             assert S.two_stage_sort(text, len(text)).tolist() == want
+
+
+@pytest.mark.parametrize("most", [256, 1])
+def test_texts_made_to_collide(spark, monkeypatch, most):
+    monkeypatch.setattr(S, "MAX_REGIONS", most)
+    one, two = twins()
+    rows = [(1, one), (2, two), (3, "c" + one[:600]), (4, "x" + two[300:] + "y"), (5, one[:399])]
+    got = S.dedup(frame(spark, rows)).select("id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 400)

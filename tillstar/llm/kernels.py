@@ -15,8 +15,12 @@ import pyarrow.compute as pc
 
 #: Temporary arrays of a chunk take about a hundred times as much.
 CHUNK_BYTES = 1 << 19
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
+#: Spans are hashed as polynomials modulo this prime. A modulus of 2^64 has texts
+#: that collide for every base (Thue-Morse words of 1,024 letters).
+_PRIME = (1 << 61) - 1
+_P = np.uint64(_PRIME)
+_BASE = 0x1E3779B97F4A7C15 % _PRIME
+_INV = pow(_BASE, -1, _PRIME)
 #: Odd multipliers, one for each place in a window.
 _STEPS = np.array([pow(0xD1342543DE82EF95, 2 * j + 1, 1 << 64) for j in range(64)], np.uint64)
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -42,19 +46,57 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _reduce(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, both below it."""
+    half, low = np.uint64(31), np.uint64((1 << 31) - 1)
+    ah, al, bh, bl = a >> half, a & low, b >> half, b & low
+    mid = ah * bl + al * bh
+    mid = (mid >> np.uint64(30)) + ((mid & np.uint64((1 << 30) - 1)) << half)
+    return _reduce(((ah * bh) << np.uint64(1)) + mid + al * bl)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << max(16, int(n).bit_length())
     if size not in _TABLES:
         _TABLES.clear()
         out = []
         for base in (_BASE, _INV):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=np.uint64))
+            p, step = np.ones(1, np.uint64), base
+            while len(p) < size:
+                p = np.concatenate((p, _times(p, np.uint64(step))))
+                step = step * step % _PRIME
+            out.append(p)
         _TABLES[size] = tuple(out)
     return _TABLES[size]
 
 
+class Spans:
+    """Hashes of spans of ``values`` (below 2^22, 2^33 of them at most)."""
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        pw, self._inv = _powers(n + 1)
+        v = values.astype(np.uint64) + np.uint64(1)
+        pw = pw[:n]
+        high = v * (pw >> np.uint64(32))
+        term = _reduce((high >> np.uint64(29)) + ((high & np.uint64((1 << 29) - 1)) << np.uint64(32))
+                       + v * (pw & np.uint64(0xFFFFFFFF)))
+        # the sums of both halves fit into 64 bits
+        low, high = np.cumsum(term & np.uint64((1 << 31) - 1)), _reduce(np.cumsum(term >> np.uint64(31)))
+        self._sum = np.zeros(n + 1, np.uint64)
+        self._sum[1:] = _reduce((high >> np.uint64(30)) + ((high & np.uint64((1 << 30) - 1)) << np.uint64(31)) + _reduce(low))
+
+    def hash(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """64-bit hash of each span [s, e)."""
+        a, b = self._sum[e], self._sum[s]
+        return mix(_times(np.where(a >= b, a - b, a + (_P - b)), self._inv[s]))
+
+
 class Chunk:
     """Some documents: ``data`` (uint8), ``offsets`` (len + 1) and ``rows``,
     the slice of the batch they come from."""
@@ -62,7 +104,7 @@ class Chunk:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, rows: slice):
         self.data, self.offsets, self.rows = data, offsets, rows
         self.n = len(offsets) - 1
-        self._prefix = None
+        self._spans = None
 
     def lower(self) -> "Chunk":
         return Chunk(_LOWER[self.data], self.offsets, self.rows)
@@ -93,12 +135,9 @@ class Chunk:
 
     def hash_spans(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         """64-bit hash of each byte span [s, e)."""
-        pw, inv = _powers(len(self.data) + 1)
-        if self._prefix is None:
-            p = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * pw[:len(self.data)], out=p[1:])
-            self._prefix = p
-        return mix((self._prefix[e] - self._prefix[s]) * inv[s])
+        if self._spans is None:
+            self._spans = Spans(self.data)
+        return self._spans.hash(s, e)
 
 
 def chunks(text: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
