@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from corpus import corpus, frame, lower, space_words, words
+from corpus import corpus, frame, lower, space_words, twins, words
 
 from tillstar.llm import jaccard as J
 
@@ -104,3 +104,28 @@ def test_of_repeated_rows_the_same_one_stays(spark):
                                                      .repartition(n)).collect())
             for x, n in ((rows, 1), (rows[::-1], 3), (rows[4:] + rows[:4], 5))}
     assert len(kept) == 1 and len(kept.pop()) == 1
+
+
+def test_texts_made_to_collide_do_not_link(spark):
+    rows = list(enumerate([x for n in (1024, 2048, 4096) for x in twins(n)]))
+    got = J.near_duplicates(frame(spark, rows)).select("id", "component_id").collect()
+    assert sorted(map(tuple, got)) == [(i, i) for i in range(6)]
+
+
+def test_forest_joins_what_its_pairs_join():
+    rng = random.Random(4)
+    comp = np.array([rng.randrange(1000) * 7 for _ in range(60)])
+    pairs = [(rng.choice(comp), rng.choice(comp)) for _ in range(45)]
+    forest, kept = J.Forest(comp), []
+    for s in range(0, 45, 9):
+        x, y = map(np.array, zip(*pairs[s:s + 9]))
+        kept += [pairs[s + k] for k in forest.take(x, y)]
+
+    def parts(edges):
+        of = {c: {c} for c in set(comp)}
+        for a, b in edges:
+            both = of[a] | of[b]
+            for c in both:
+                of[c] = both
+        return {frozenset(v) for v in of.values()}
+    assert parts(kept) == parts(pairs) and len(kept) == len(set(comp)) - len(parts(pairs))

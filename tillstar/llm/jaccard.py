@@ -19,7 +19,9 @@ links that decide which documents belong together.
    range of their sizes. Two trees are traversed together, and a pair of nodes
    is dropped when the most overlap it allows is below the least overlap a link
    of its sizes needs, or when its classes are connected already. What remains
-   at the leaves is checked exactly on the whole sets.
+   at the leaves is checked exactly on the whole sets. In the first FORESTS
+   rounds a task hands on only pairs that form a forest over the components, as
+   most of them link; the last round hands on every pair still apart.
 
 A subtree of more than BLOCK classes is cut into blocks, and pairs of blocks
 are traversed, each by its own task. Shingles are 47-bit hashes.
@@ -51,6 +53,8 @@ LEAF, FAN = 8, 8
 BLOCK = 2048
 #: Node pairs looked at together.
 FRONT = 1 << 14
+#: Rounds that hand on a forest. Any number gives the same components.
+FORESTS = 2
 _TOKEN_BITS = 47
 _TOP = np.uint64(1 << _TOKEN_BITS)
 
@@ -257,10 +261,37 @@ def _open(kids, i, other):
     return at, np.repeat(other, reps)
 
 
-def _tree_join(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of classes that the trees can't rule out, with their components and
-    the subtrees that pair them: (a, b, ca, cb, m). ``rows``: (key, lo, hi, side,
-    fp, n, comp, sig), grouped by (key, lo, hi)."""
+class Forest:
+    """Of the pairs seen so far those that join two components not yet joined."""
+
+    def __init__(self, comp: np.ndarray):
+        self.names = np.unique(comp)
+        self.root = np.arange(len(self.names))
+
+    def take(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Places of the component pairs (x, y) that become edges."""
+        x, y = np.searchsorted(self.names, x), np.searchsorted(self.names, y)
+        at, kept = np.arange(len(x)), []
+        while True:
+            u, v = self.root[x[at]], self.root[y[at]]
+            apart = u != v
+            at, u, v = at[apart], u[apart], v[apart]
+            if not len(at):
+                return np.concatenate(kept) if kept else at
+            # each tree is hung below one smaller neighbour: no cycles
+            high, one = np.unique(np.maximum(u, v), return_index=True)
+            kept.append(at[one])
+            up = np.arange(len(self.root))
+            up[high] = np.minimum(u, v)[one]
+            while (up[up] != up).any():
+                up = up[up]
+            self.root = up[self.root]
+
+
+def _tree_join(rows: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
+    """Pairs of classes that the trees can't rule out, with their components:
+    (a, b, ca, cb); with ``forest`` those only that join components within a
+    task. ``rows``: (key, lo, hi, side, fp, n, comp, sig), grouped by (key, lo, hi)."""
     def group(t):
         side, n, comp, fp = (t[c] for c in ("side", "n", "comp", "fp"))
         halves = [np.arange(len(n))] if side.min() == side.max() else [np.flatnonzero(side == s) for s in (side.min(), side.max())]
@@ -269,10 +300,9 @@ def _tree_join(rows: DataFrame, num: int, den: int) -> DataFrame:
             i, j = halves[0][i], halves[-1][j]
             yield fp[i], fp[j], comp[i], comp[j]
 
-    def flush(t):
+    def found(t):
         cut = np.flatnonzero(np.concatenate(([True], (t["key"][1:] != t["key"][:-1]) | (t["lo"][1:] != t["lo"][:-1])
                                              | (t["hi"][1:] != t["hi"][:-1]), [True])))
-        got = []
         size = np.diff(cut)
         crossed = t["lo"] != t["hi"]
         # groups of two are a root with two leaves: all at once
@@ -282,22 +312,27 @@ def _tree_join(rows: DataFrame, num: int, den: int) -> DataFrame:
                     np.ones(len(t["n"]), bool))
             ok = _possible(flat, two, flat, two + 1, num, den)
             two = two[ok]
-            got.append((t["fp"][two], t["fp"][two + 1], t["comp"][two], t["comp"][two + 1]))
+            yield t["fp"][two], t["fp"][two + 1], t["comp"][two], t["comp"][two + 1]
         for s, e in zip(cut[:-1], cut[1:]):
             if e - s < 2 or (e - s == 2 and not crossed[s]) or (crossed[s] and t["side"][s:e].min() == t["side"][s:e].max()):
                 continue
-            got += group({c: v[s:e] for c, v in t.items()})
+            yield from group({c: v[s:e] for c, v in t.items()})
+
+    def flush(t):
+        trees, got = Forest(t["comp"]), []
+        for pairs in found(t):
+            if forest:
+                edges = trees.take(*pairs[2:])
+                pairs = [v[edges] for v in pairs]
+            got.append(pairs)
         if not got:
             return None
         x, y, cx, cy = (np.concatenate([g[k] for g in got]) for k in range(4))
         swap = x > y
         ends = np.stack([np.where(swap, y, x), np.where(swap, x, y), np.where(swap, cy, cx), np.where(swap, cx, cy)])
-        order = np.lexsort(ends[1::-1])
-        ends = ends[:, order]
-        new = np.flatnonzero(np.concatenate(([True], (np.diff(ends[:2], axis=1) != 0).any(0)))) if len(order) else order
-        m = np.diff(np.append(new, len(order)))
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in (*ends[:, new], m.astype(np.int64))],
-                                          names=["a", "b", "ca", "cb", "m"])
+        ends = ends[:, np.lexsort(ends[1::-1])]
+        new = np.concatenate((np.ones(min(1, len(x)), bool), (np.diff(ends[:2], axis=1) != 0).any(0)))
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in ends[:, new]], names=["a", "b", "ca", "cb"])
 
     def run(batches):
         held = None
@@ -317,7 +352,23 @@ def _tree_join(rows: DataFrame, num: int, den: int) -> DataFrame:
         if held is not None and (out := flush(held)):
             yield out
     return (rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "fp")
-            .mapInArrow(run, "a long, b long, ca long, cb long, m long"))
+            .mapInArrow(run, "a long, b long, ca long, cb long"))
+
+
+def _open_rows(members: DataFrame, comp: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The rows of the subtrees with classes of several components, once for each
+    pair of blocks that they belong to."""
+    known = members.select("key", "fp").join(comp.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "key", "fp", F.coalesce("root", "fp").alias("comp"))
+    known = common.cut(known, "known")
+    open_keys = (known.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"),
+                                          F.count(F.lit(1)).alias("size")).where("c1 <> c2"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    side = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    return (known.join(open_keys, "key").withColumn("side", side)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            .select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"),
+                    "side", "fp", "comp").join(sigs, "fp"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS,
@@ -359,39 +410,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
              .select(F.col("m.lead").alias("a"), F.col("fp").alias("b")))
     comp = common.components(common.cut(_linked(stars, sets, num, den), "links"), "first")
 
-    # second round: the trees, over subtrees that hold more than one component
-    known = common.cut(members.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "key", "fp", F.coalesce("root", "fp").alias("comp")), "known")
-    open_keys = (known.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"),
-                                          F.count(F.lit(1)).alias("size")).where("c1 <> c2"))
-    sigs = base.join(reps, ["fp", "id"], "left_semi").dropDuplicates(["fp"]).select("fp", "n", "sig")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    side = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    rows = (known.join(open_keys, "key").withColumn("side", side)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            .select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"),
-                    "side", "fp", "comp").join(sigs, "fp"))
-    pairs = common.cut(_tree_join(rows, num, den).groupBy("a", "b").agg(
-        F.sum("m").alias("m"), F.first("ca").alias("ca"), F.first("cb").alias("cb")), "pairs")
-    # one pair of each two components, then all pairs of what is still apart
-    between = (F.least("ca", "cb"), F.greatest("ca", "cb"))
-    best = (pairs.groupBy(between[0].alias("ca"), between[1].alias("cb"))
-            .agg(F.max(F.struct("m", F.col("a").alias("a"), F.col("b").alias("b"))).alias("x"))
-            .select("x.a", "x.b", "ca", "cb"))
-    joined = common.components(common.cut(_linked(best, sets, num, den, ("ca", "cb")), "links")
-                               .select(F.col("ca").alias("a"), F.col("cb").alias("b")), "second")
-    left = joined.select(F.col("node").alias("ca"), F.col("root").alias("ra"))
-    right = joined.select(F.col("node").alias("cb"), F.col("root").alias("rb"))
-    apart = (pairs.join(left, "ca", "left").join(right, "cb", "left")
-             .withColumn("ca", F.coalesce("ra", "ca")).withColumn("cb", F.coalesce("rb", "cb")).where("ca <> cb")
-             .join(best.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "ca", "cb"))
-    last = common.components(common.cut(_linked(apart, sets, num, den, ("ca", "cb")), "links")
-                             .select(F.col("ca").alias("a"), F.col("cb").alias("b")), "third")
-    for more in (joined, last):
-        nxt = more.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        comp = (comp.join(nxt, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
-                .unionByName(nxt.join(comp, nxt["root"] == comp["node"], "left_anti")
-                             .select(F.col("root").alias("node"), F.col("further").alias("root"))).distinct())
+    # then the trees, over subtrees that hold more than one component
+    sigs = common.cut(base.join(reps, ["fp", "id"], "left_semi").dropDuplicates(["fp"]).select("fp", "n", "sig"), "sigs")
+    for turn in range(FORESTS + 1):
+        pairs = _tree_join(_open_rows(members, comp, sigs), num, den, turn < FORESTS).dropDuplicates(["a", "b"])
+        links = common.cut(_linked(pairs, sets, num, den, ("ca", "cb")), "links")
+        if links.isEmpty():
+            continue
+        more = common.components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "further")
+        more = more.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        comp = common.cut(
+            comp.join(more, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+            .unionByName(more.join(comp, more["root"] == comp["node"], "left_anti")
+                         .select(F.col("root").alias("node"), F.col("further").alias("root"))).distinct(), "comp")
 
     linked = F.expr("n > 0 AND id IS NOT NULL")
     named = (base.where(linked).groupBy("fp").agg(F.min("id").alias("id"))
