@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillstar.functions.money import money
+from tillstar.operators import cube as CB
 from tillstar.operators import filters as FL
 from tillstar.operators import metrics as MT
 from tillstar.operators import quality as DQ
@@ -34,6 +35,17 @@ def _wh(spark, sf):
     return warehouse(spark, sf)
 
 
+def _cube(wh):
+    return wh.derived("sales_cube", lambda: CB.build(wh.star))
+
+
+def _kpi_bundle(wh, flt):
+    """From the aggregate where it covers the filter, else from the fact."""
+    if CB.covers(flt):
+        return CB.kpi_bundle(_cube(wh), wh.table("dim_product"), flt)
+    return MT.kpi_bundle(wh.star, wh.table("dim_product"), flt)
+
+
 # A fixed dashboard filter exercised by the *_filtered keys.
 DEMO_FILTER = FL.SalesFilter(date_range=("1997-01-01", "1998-12-31"),
                              regions=("ASIA", "EUROPE"),
@@ -129,8 +141,31 @@ def q_kpi_bundle(spark, sf):
 
 @register("kpi_bundle_filtered", _bundle_sql(_DEMO_WHERE))
 def q_kpi_bundle_filtered(spark, sf):
-    wh = _wh(spark, sf)
-    return MT.kpi_bundle(wh.star, wh.table("dim_product"), DEMO_FILTER)
+    return _kpi_bundle(_wh(spark, sf), DEMO_FILTER)
+
+
+# Finer than the aggregate: read from the fact.
+_STORES = tuple(f"Supplier#{i:09d}" for i in range(1, 8))
+_STORE_FILTER = FL.SalesFilter(date_range=("1994-01-01", "1998-12-31"), stores=_STORES)
+
+
+@register("kpi_bundle_stores", _bundle_sql(
+    "full_date BETWEEN DATE '1994-01-01' AND DATE '1998-12-31' AND store_name IN ('" + "', '".join(_STORES) + "')"))
+def q_kpi_bundle_stores(spark, sf):
+    return _kpi_bundle(_wh(spark, sf), _STORE_FILTER)
+
+
+@register("sales_cube", f"""
+SELECT full_date, year, month, month_name, store_region, category_name, subcategory_name, count(*) AS n_rows,
+       CAST(sum(total_revenue) AS DOUBLE) AS total_revenue, count(total_revenue) AS n_revenue,
+       CAST(sum(net_profit) AS DOUBLE) AS net_profit, CAST(sum(quantity) AS BIGINT) AS quantity,
+       count(quantity) AS n_quantity, CAST(sum({TARGET}) AS DOUBLE) AS target,
+       CAST(sum(CAST(sentiment_score AS DECIMAL(10,4))) AS DOUBLE) AS sentiment, count(sentiment_score) AS n_sentiment
+FROM star GROUP BY full_date, year, month, month_name, store_region, category_name, subcategory_name""")
+def q_sales_cube(spark, sf):
+    amounts = ("total_revenue", "net_profit", "target", "sentiment")
+    return _cube(_wh(spark, sf)).select(
+        *CB.GRAIN, *[F.col(c).cast("double").alias(c) if c in amounts else F.col(c) for c in CB.MEASURES])
 
 
 @register("fact_totals", f"""
@@ -149,7 +184,8 @@ SELECT min(full_date) AS start_date, max(full_date) AS end_date, count(*) AS tot
        {AVG('quantity')} AS avg_quantity_per_transaction
 FROM star""")
 def q_dashboard_summary(spark, sf):
-    return MT.dashboard_summary(_wh(spark, sf).star)
+    wh = _wh(spark, sf)
+    return CB.dashboard_summary(_cube(wh), wh.derived("sales_ids", lambda: CB.distinct_ids(wh.star)))
 
 
 @register("warehouse_summary", f"""
@@ -195,7 +231,7 @@ def q_monthly_trends(spark, sf):
 
 @register("monthly_trends_filtered", _monthly_sql(_DEMO_WHERE))
 def q_monthly_trends_filtered(spark, sf):
-    return MT.monthly_trends(_wh(spark, sf).star, DEMO_FILTER)
+    return CB.monthly_trends(_cube(_wh(spark, sf)), DEMO_FILTER)
 
 
 @register("ytd_revenue", f"""
