@@ -21,7 +21,8 @@ links that decide which documents belong together.
    of its sizes needs, or when its classes are connected already. What remains
    at the leaves is checked exactly on the whole sets. In the first FORESTS
    rounds a task hands on only pairs that form a forest over the components, as
-   most of them link; the last round hands on every pair still apart.
+   most of them link; the last round hands on every pair still apart. Only
+   subtrees with a pair not handed on come to the next round.
 
 A subtree of more than BLOCK classes is cut into blocks, and pairs of blocks
 are traversed, each by its own task. Shingles are 47-bit hashes.
@@ -290,15 +291,16 @@ class Forest:
 
 def _tree_join(rows: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
     """Pairs of classes that the trees can't rule out, with their components:
-    (a, b, ca, cb); with ``forest`` those only that join components within a
-    task. ``rows``: (key, lo, hi, side, fp, n, comp, sig), grouped by (key, lo, hi)."""
+    (a, b, ca, cb, null). With ``forest`` those only that join components within
+    a task, and (null, null, null, null, key) for the subtrees that have others.
+    ``rows``: (key, lo, hi, side, fp, n, comp, sig), grouped by (key, lo, hi)."""
     def group(t):
         side, n, comp, fp = (t[c] for c in ("side", "n", "comp", "fp"))
         halves = [np.arange(len(n))] if side.min() == side.max() else [np.flatnonzero(side == s) for s in (side.min(), side.max())]
         trees = [Tree(t["sig"][h], n[h], comp[h]) for h in halves]
         for i, j in traverse(trees[0], trees[-1], num, den):
             i, j = halves[0][i], halves[-1][j]
-            yield fp[i], fp[j], comp[i], comp[j]
+            yield fp[i], fp[j], comp[i], comp[j], t["key"][i]
 
     def found(t):
         cut = np.flatnonzero(np.concatenate(([True], (t["key"][1:] != t["key"][:-1]) | (t["lo"][1:] != t["lo"][:-1])
@@ -312,27 +314,33 @@ def _tree_join(rows: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
                     np.ones(len(t["n"]), bool))
             ok = _possible(flat, two, flat, two + 1, num, den)
             two = two[ok]
-            yield t["fp"][two], t["fp"][two + 1], t["comp"][two], t["comp"][two + 1]
+            yield t["fp"][two], t["fp"][two + 1], t["comp"][two], t["comp"][two + 1], t["key"][two]
         for s, e in zip(cut[:-1], cut[1:]):
             if e - s < 2 or (e - s == 2 and not crossed[s]) or (crossed[s] and t["side"][s:e].min() == t["side"][s:e].max()):
                 continue
             yield from group({c: v[s:e] for c, v in t.items()})
 
     def flush(t):
-        trees, got = Forest(t["comp"]), []
-        for pairs in found(t):
+        trees, got, later = Forest(t["comp"]), [], [np.zeros(0, np.int64)]
+        for *pairs, key in found(t):
             if forest:
-                edges = trees.take(*pairs[2:])
+                edges = np.zeros(len(key), bool)
+                edges[trees.take(*pairs[2:])] = True
+                later.append(np.unique(key[~edges]))
                 pairs = [v[edges] for v in pairs]
             got.append(pairs)
         if not got:
             return None
+        later = np.unique(np.concatenate(later))
         x, y, cx, cy = (np.concatenate([g[k] for g in got]) for k in range(4))
         swap = x > y
         ends = np.stack([np.where(swap, y, x), np.where(swap, x, y), np.where(swap, cy, cx), np.where(swap, cx, cy)])
         ends = ends[:, np.lexsort(ends[1::-1])]
         new = np.concatenate((np.ones(min(1, len(x)), bool), (np.diff(ends[:2], axis=1) != 0).any(0)))
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in ends[:, new]], names=["a", "b", "ca", "cb"])
+        none = pa.nulls(len(later), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [*(pa.concat_arrays([pa.array(v), none]) for v in ends[:, new]),
+             pa.concat_arrays([pa.nulls(int(new.sum()), pa.int64()), pa.array(later)])], names=["a", "b", "ca", "cb", "key"])
 
     def run(batches):
         held = None
@@ -352,7 +360,7 @@ def _tree_join(rows: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
         if held is not None and (out := flush(held)):
             yield out
     return (rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "fp")
-            .mapInArrow(run, "a long, b long, ca long, cb long"))
+            .mapInArrow(run, "a long, b long, ca long, cb long, key long"))
 
 
 def _open_rows(members: DataFrame, comp: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -413,7 +421,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     # then the trees, over subtrees that hold more than one component
     sigs = common.cut(base.join(reps, ["fp", "id"], "left_semi").dropDuplicates(["fp"]).select("fp", "n", "sig"), "sigs")
     for turn in range(FORESTS + 1):
-        pairs = _tree_join(_open_rows(members, comp, sigs), num, den, turn < FORESTS).dropDuplicates(["a", "b"])
+        found = common.cut(_tree_join(_open_rows(members, comp, sigs), num, den, turn < FORESTS), "found")
+        pairs = found.where("a IS NOT NULL").drop("key").dropDuplicates(["a", "b"])
+        members = members.join(found.where("a IS NULL").select("key").distinct(), "key", "left_semi")
         links = common.cut(_linked(pairs, sets, num, den, ("ca", "cb")), "links")
         if links.isEmpty():
             continue
