@@ -387,3 +387,13 @@ def category_month_revenue(fact):
     return (fact.where(F.col("category").isNotNull())
             .groupBy("category", F.date_format("month_start", "yyyy-MM").alias("month"))
             .agg(rsum("total_revenue").alias("total_revenue")))
+
+
+def basket_sizes(sales: DataFrame) -> DataFrame:
+    """Orders, pieces and revenue by year and number of lines of an order."""
+    baskets = sales.groupBy("order_key").agg(
+        F.min(F.year("full_date")).alias("year"), F.count(F.lit(1)).alias("n_lines"),
+        F.sum("quantity").alias("quantity"), F.sum("total_revenue").alias("revenue"))
+    return baskets.groupBy("year", "n_lines").agg(
+        F.count(F.lit(1)).alias("n_orders"), F.sum("quantity").alias("quantity"),
+        F.sum("revenue").cast("double").alias("revenue"))

@@ -16,7 +16,7 @@ from tillstar.operators import metrics as MT
 from tillstar.operators import quality as DQ
 from tillstar.operators import shaping as SH
 from tillstar.plans.oracle import BASE, M
-from tillstar.plans.star import warehouse
+from tillstar.plans.star import order_tables, sales_from_orders, warehouse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -168,6 +168,17 @@ def q_sales_cube(spark, sf):
         *CB.GRAIN, *[F.col(c).cast("double").alias(c) if c in amounts else F.col(c) for c in CB.MEASURES])
 
 
+@register("basket_sizes", """
+, baskets AS (SELECT order_key, min(year(full_date)) AS year, count(*) AS n_lines, sum(quantity) AS quantity,
+                     sum(total_revenue) AS revenue FROM sales GROUP BY order_key)
+SELECT CAST(year AS INTEGER) AS year, n_lines, count(*) AS n_orders, CAST(sum(quantity) AS BIGINT) AS quantity,
+       CAST(sum(revenue) AS DOUBLE) AS revenue FROM baskets GROUP BY year, n_lines""")
+def q_basket_sizes(spark, sf):
+    """Orders by year and number of lines, from the bucketed copies: neither the join nor the
+    aggregation by order has an exchange."""
+    return MT.basket_sizes(sales_from_orders(**order_tables(spark, sf, bucketed=True)))
+
+
 @register("fact_totals", f"""
 SELECT {SUM('total_revenue')} AS total_revenue, {SUM('net_profit')} AS net_profit,
        count(*) AS total_transactions, {AVG('total_revenue')} AS avg_transaction_value FROM fact""")
