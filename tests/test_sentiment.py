@@ -76,3 +76,43 @@ def test_longer_and_earlier_phrases_hold(spark):
     rules = S.rule_table(spark, S.lexicon_frame(spark, (("c", 9.0), ("a", 9.0), ("d", 4.0))))
     got = {r["review_id"]: float(r["sentiment_score"]) for r in S.score_reviews(df, rules, phrases=phrases).collect()}
     assert got == {1: _compound(2.0), 2: _compound(1.0 + 9.0), 3: _compound(3.0 + 4.0)}
+
+
+def test_long_reviews_full_of_phrases(spark):
+    import time
+    # 4,000 phrases in one review: work that grows with their square or cube doesn't end here
+    df = spark.createDataFrame([(1, 1, 3.0, "a b c d " * 2000 + "good"), (2, 1, 3.0, "a b a b a")],
+                               "review_id long, product_id long, rating double, review_text string")
+    phrases = S.phrase_frame(spark, (("a b", 1.0), ("c d", -1.0)))
+    rules = S.rule_table(spark, S.lexicon_frame(spark))
+    t = time.perf_counter()
+    got = {r["review_id"]: float(r["sentiment_score"]) for r in S.score_reviews(df, rules, phrases=phrases).collect()}
+    assert got == {1: _compound(1.9), 2: _compound(2.0)}
+    assert time.perf_counter() - t < 60
+
+
+def test_overlapping_phrases_by_brute_force(spark):
+    import random
+    rnd = random.Random(5)
+    table = {"a b": 1.0, "b a": -2.0, "a a b": 0.5, "b b b": 1.5, "b a a": -0.7, "c c": 3.0, "c a": 0.3}
+    texts = [" ".join(rnd.choice("abc") for _ in range(rnd.randint(1, 14))) for _ in range(150)]
+    want = []
+    for t in texts:
+        words, found = t.split(), []
+        for i in range(len(words)):
+            for k in (3, 2):
+                if " ".join(words[i:i + k]) in table and i + k <= len(words):
+                    found.append((i, k))
+                    break
+        held = [(i, k) for i, k in found if not any(
+            j < i + k and i < j + m and (m > k or m == k and j < i) for j, m in found)]
+        at = {i: table[" ".join(words[i:i + k])] for i, k in held}
+        inside = {x for i, k in held for x in range(i, i + k)}
+        s = sum(at.get(i, 0 if i in inside or w != "a" else 0.9) for i, w in enumerate(words))
+        want.append(_compound(s))
+    df = spark.createDataFrame([(i, 1, 3.0, t) for i, t in enumerate(texts)],
+                               "review_id long, product_id long, rating double, review_text string")
+    rules = S.rule_table(spark, S.lexicon_frame(spark, (("a", 0.9),)))
+    out = S.score_reviews(df, rules, phrases=S.phrase_frame(spark, table.items())).collect()
+    got = {r["review_id"]: float(r["sentiment_score"]) for r in out}
+    assert max(abs(got[i] - w) for i, w in enumerate(want)) < 0.0101      # halves round apart
