@@ -74,3 +74,18 @@ def test_star_inputs(spark, merge_joins):
     assert "Exchange" not in plan(star.sales_from_orders(**star.order_tables(spark, SF)))
     # of the report over orders only its last, small aggregation shuffles
     assert plan(metrics.basket_sizes(sales)).count("Exchange") == 1
+
+
+def test_buckets_by_rows_not_by_compressed_files(spark, tmp_path):
+    # equal rows compress to almost nothing; sorted in memory they take 8 bytes a column
+    n = 8 << 20
+    df = spark.range(n).selectExpr("id % 3 AS k", "1L AS a", "2L AS b", "3L AS c")
+    df.write.parquet(str(tmp_path / "flat"))
+    got = buckets.bucket_count([spark.read.parquet(str(tmp_path / "flat"))] * 2)
+    cores = spark.sparkContext.defaultParallelism
+    assert got >= n * 32 // buckets.BUCKET_BYTES and got >= cores
+    old, buckets.BUCKET_BYTES = buckets.BUCKET_BYTES, 1 << 20
+    try:
+        assert buckets.bucket_count([spark.read.parquet(str(tmp_path / "flat"))]) == 256
+    finally:
+        buckets.BUCKET_BYTES = old
