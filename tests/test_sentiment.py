@@ -116,3 +116,19 @@ def test_overlapping_phrases_by_brute_force(spark):
     out = S.score_reviews(df, rules, phrases=S.phrase_frame(spark, table.items())).collect()
     got = {r["review_id"]: float(r["sentiment_score"]) for r in out}
     assert max(abs(got[i] - w) for i, w in enumerate(want)) < 0.0101      # halves round apart
+
+
+def test_only_hits_are_shuffled(spark):
+    df = spark.createDataFrame([(1, 1, 3.0, "yeah right, not so good"), (2, 1, 3.0, "kiss of death")],
+                               "review_id long, product_id long, rating double, review_text string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")      # as for tables whose size the planner can't see
+    try:
+        out = S.score_reviews(df, S.rule_table(spark, S.lexicon_frame(spark)), phrases=S.phrase_frame(spark))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {r["review_id"]: float(r["sentiment_score"]) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    above = plan[:plan.index("Generate posexplode")]      # what the tokens pass on their way up
+    assert "SortMergeJoin" not in above and above.count("BroadcastHashJoin") == 3
+    assert got == {1: _compound(-2.0 + (1.9 + 0.293) * -0.74), 2: _compound(-1.5)}
