@@ -1,3 +1,4 @@
+import hashlib
 import math
 from itertools import product
 
@@ -80,3 +81,35 @@ def test_rows_are_the_same_in_any_chunk(spark, monkeypatch):
     assert plain(whole) == plain(again)
     assert all(s.exact for r in whole for s in r._s_samples)
     assert S.encode(frame(spark, []), "doc_id", ["doc_id"]).collect() == []
+
+
+def test_all_samples_keep_their_ids(spark):
+    rows = [(1, "a few words"), (2, "Ünïcode \U0001f389 a few"), (3, None), (4, "")]
+    df = frame(spark, rows)
+    pieces = S.Pieces.load(S.MODEL_PATH)
+    for r in S.encode(df, "doc_id", ["doc_id"]).collect():
+        assert len(r._s_samples) == (1 if r.doc_id > 2 else S.SAMPLES)
+        for s in r._s_samples:
+            ids = np.array(s.ids, "<i4")
+            assert len(ids) == s.n_pieces and hashlib.sha256(ids.tobytes()).hexdigest() == s.sha256
+            assert pieces.decode(s.ids) == (dict(rows)[r.doc_id] or "")
+
+
+def test_op7_returns_the_ids(spark, tmp_path):
+    frame(spark, [(1, "a few words"), (2, "more of them")]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = S.op7(spark, str(tmp_path)).collect()
+    assert [[len(i) for i in r.ids] for r in got] == [r.n_pieces for r in got] and all(len(r.ids) == S.SAMPLES for r in got)
+
+
+def test_words_kept_between_chunks_change_nothing(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{rng.integers(400)}é{rng.integers(9)}" for _ in range(40)) for _ in range(30)]
+    keys = np.arange(len(texts)).astype(np.uint64)
+    plain = lambda rows: [[(r["sha256"], round(r["logp"], 9), round(r["score"], 9)) for r in x] for x in rows]
+    want = plain(S.sample_texts(texts, keys, S.Pieces.load(S.MODEL_PATH), 2))
+    for room in (1, 500, 4000, 1 << 18):
+        monkeypatch.setattr(S, "NODES", room)
+        pieces, got = S.Pieces.load(S.MODEL_PATH), []
+        for _ in range(2):
+            got = [x for i in range(0, 30, 4) for x in plain(S.sample_texts(texts[i:i + 4], keys[i:i + 4], pieces, 2))]
+        assert got == want
