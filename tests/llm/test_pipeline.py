@@ -62,3 +62,14 @@ def test_the_rest_works_without_the_folder(tmp_path):
     said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, check=True)
     n, op, pipe = said.stdout.split()
     assert int(n) >= 75 and (op, pipe) == ("False", "False")
+
+
+def test_encoding_keeps_all_samples(spark):
+    docs = spark.createDataFrame([(1, "some text to encode", "en", "web"), (2, None, None, "web")],
+                                 "doc_id long, text string, lang string, source string")
+    rows = corpus_pipeline.encoding(spark, docs, SF).collect()
+    pieces = segment.Pieces.load(segment.MODEL_PATH)
+    assert sorted((r.doc_id, r["sample"]) for r in rows) == [(1, k + 1) for k in range(segment.SAMPLES)] + [(2, 1)]
+    texts = {1: "some text to encode", 2: ""}
+    assert all(pieces.decode(r.ids) == texts[r.doc_id] and r.exact and len(r.ids) == r.n_pieces for r in rows)
+    assert len({tuple(r.ids) for r in rows if r.doc_id == 1}) == segment.SAMPLES
