@@ -82,3 +82,27 @@ def test_heap_gives_all_cells_by_falling_bound():
     assert sorted(i * 7 + j for _, i, j in got) == sorted(index.cells)
     assert [s for s, _, _ in got] == sorted((s for s, _, _ in got), reverse=True)
     assert all(s == a[i] + b[j] for s, i, j in got)
+
+
+def test_queries_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(negatives, "FIRST_CELLS", 2)
+    monkeypatch.setattr(negatives, "BATCH_QUERIES", 9)
+    rows = sample(6)
+    df = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], SCHEMA)
+    got = negatives.mine(df, F.col("id") % 10 == 0, rows_per_cell=20)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, 10)
+
+
+def test_visits_are_not_broadcast(spark, monkeypatch):
+    plans, plain = [], negatives.common.map_batches
+
+    def seen(df, fn, schema):
+        if "cell" in df.columns and "ids" in df.columns:
+            plans.append(df._jdf.queryExecution().toString())
+        assert "binary" not in schema or "cell" not in schema or schema.startswith("cell long, d1")
+        return plain(df, fn, schema)
+    monkeypatch.setattr(negatives.common, "map_batches", seen)
+    rows = sample(7, n=120)
+    df = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], SCHEMA)
+    negatives.mine(df, F.col("id") % 10 == 0, rows_per_cell=20).collect()
+    assert plans and all("SortMergeJoin" in p for p in plans)

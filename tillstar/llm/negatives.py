@@ -13,8 +13,10 @@ results are exact, whatever the sample; only the number of visits depends on it.
 The walk is done in rounds of Spark jobs with four times as many cells in each:
 the tasks walk blocks of queries, join the visits with the cells' rows (in
 blocks of about BLOCK_ROWS), score block by block as matrix products, and keep
-the best of each window. Only codebooks, radii and the list of cells (at most
-MAX_CODES squared) go through the driver.
+the best of each window. A visit names its block of queries only; the blocks
+themselves, of BATCH_QUERIES queries at most, are broadcast, and more queries are
+searched batch by batch. Only they, codebooks, radii and the list of cells (at
+most MAX_CODES squared) go through the driver.
 
 Of rows that are equal in label and vector only as many as a window wants are
 kept, those of least id: others can never come before them. So one vector that
@@ -33,6 +35,8 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +49,8 @@ ROWS_PER_CELL = 512
 BLOCK_ROWS = 512
 #: Queries scored at once.
 QUERY_BLOCK = 128
+#: Queries whose blocks are broadcast at once: some 500 bytes each for 64 components.
+BATCH_QUERIES = 1 << 15
 #: Cells a query visits in the first round; four times as many in each next.
 FIRST_CELLS = 4
 MAX_COMPONENT = 1 << 23
@@ -182,8 +188,8 @@ def build(rows: DataFrame, sample: int = SAMPLE, rows_per_cell: int = ROWS_PER_C
     return index, common.cut(blocks, "negatives-blocks")
 
 
-_VISIT = ("cell long, q array<long>, ql array<long>, qv array<binary>, w array<array<long>>, "
-          "lo array<array<long>>, hi array<array<long>>")
+_BLOCK = "b long, q array<long>, ql array<long>, qv array<binary>, w array<array<long>>, lo array<array<long>>, hi array<array<long>>"
+_VISIT = "cell long, b long, n array<int>"
 
 
 def search(index: Index, blocks: DataFrame, queries: DataFrame, wanted: int, same: bool) -> DataFrame:
@@ -193,13 +199,27 @@ def search(index: Index, blocks: DataFrame, queries: DataFrame, wanted: int, sam
     score is between lo and hi."""
     spark = queries.sparkSession
     known = spark.sparkContext.broadcast(index)
+    batches = max(1, -(-queries.count() // BATCH_QUERIES))
+    out = None
+    for k in range(batches):
+        part = queries if batches == 1 else queries.where(F.pmod(F.xxhash64("q"), F.lit(batches)) == k)
+        best = _search(index, known, blocks, part, wanted, same)
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+def _search(index: Index, known, blocks: DataFrame, queries: DataFrame, wanted: int, same: bool) -> DataFrame:
+    spark = queries.sparkSession
     best, done, size = None, 0, FIRST_CELLS
     while done < len(index.cells):
         todo = queries if best is None else _narrowed(queries, best, wanted)
-        visits = common.cut(common.map_batches(todo, _visitor(known, done, size), _VISIT), "negatives-visits")
+        asked = common.cut(todo.mapInArrow(_query_blocks, _BLOCK), "negatives-asked")
+        visits = common.cut(common.map_batches(asked, _visitor(known, done, size), _VISIT), "negatives-visits")
         if visits.isEmpty():
             break
-        hits = common.map_batches(visits.join(blocks, "cell"), _scorer(wanted, same), "q long, w long, s long, id long")
+        # visits compress so well that their files look small enough to be broadcast; they grow with queries times cells
+        met = visits.hint("merge").join(blocks, "cell").join(F.broadcast(asked), "b")
+        hits = common.map_batches(met, _scorer(wanted, same), "q long, w long, s long, id long")
         best = common.cut(_top(hits if best is None else hits.unionByName(best), wanted), "negatives-best")
         done, size = done + size, size * 4
     if best is None:
@@ -221,34 +241,42 @@ def _narrowed(queries: DataFrame, best: DataFrame, wanted: int) -> DataFrame:
     return queries.join(full, "q", "left").select("q", "label", "v", raised.alias("windows"))
 
 
+def _query_blocks(batches):
+    """Blocks of QUERY_BLOCK queries that have windows, with a number each."""
+    b = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        batch = batch.filter(pc.greater(pc.fill_null(pc.list_value_length(batch.column("windows")), 0), 0))
+        for at in range(0, batch.num_rows, QUERY_BLOCK):
+            part = batch.slice(at, QUERY_BLOCK)
+            windows = part.column("windows").to_pylist()
+            field = lambda name: pa.array([[w[name] for w in ws] for ws in windows], pa.list_(pa.int64()))
+            one = lambda x: pa.array([x.to_pylist()], pa.list_(x.type))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([b], pa.int64()), *map(one, (part.column("q"), part.column("label"), part.column("v"))),
+                 *(one(field(name)) for name in ("w", "lo", "hi"))], names=["b", "q", "ql", "qv", "w", "lo", "hi"])
+            b += 1
+
+
 def _visitor(known, done: int, size: int):
     """Of each query the cells from the ``done``-th to the ``size`` next, as far
-    as a window can gain by them: one row a cell and block of queries."""
-    def run(b):
+    as a window can gain by them: one row a cell and block of queries, with the
+    queries' places in the block."""
+    def run(batch):
         index = known.value
-        for at in range(0, b.num_rows, QUERY_BLOCK):
-            part = b.slice(at, QUERY_BLOCK)
-            q, label, v, windows = (part.column(c).to_pylist() for c in ("q", "label", "v", "windows"))
-            (high1, low1), (high2, low2) = index.bounds(_matrix(v))
-            width, visits = len(index.books[1]), {}
-            for n, ws in enumerate(windows):
-                if not ws:
-                    continue
-                least, most = min(w["lo"] for w in ws), max(w["hi"] for w in ws)
+        width = len(index.books[1])
+        for b, v, lo, hi in zip(*(batch.column(c) for c in ("b", "qv", "lo", "hi"))):
+            (high1, low1), (high2, low2) = index.bounds(_matrix(v.as_py()))
+            visits: dict[int, list[int]] = {}
+            for n, (least, most) in enumerate(zip(map(min, lo.as_py()), map(max, hi.as_py()))):
                 for step, (bound, i, j) in enumerate(index.walk(high1[n], high2[n])):
                     if bound < least or step >= done + size:
                         break
                     if step >= done and low1[n, i] + low2[n, j] <= most:
                         visits.setdefault(i * width + j, []).append(n)
             if visits:
-                pick = lambda values: [[values[n] for n in ns] for ns in visits.values()]
-                field = lambda name: pick([[w[name] for w in ws] for ws in windows])
-                many = pa.list_(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(visits), pa.int64()), pa.array(pick(q), pa.list_(pa.int64())),
-                     pa.array(pick(label), pa.list_(pa.int64())), pa.array(pick(v), pa.list_(pa.binary())),
-                     pa.array(field("w"), many), pa.array(field("lo"), many), pa.array(field("hi"), many)],
-                    names=["cell", "q", "ql", "qv", "w", "lo", "hi"])
+                    [pa.array(list(visits), pa.int64()), pa.array([b.as_py()] * len(visits), pa.int64()),
+                     pa.array(list(visits.values()), pa.list_(pa.int32()))], names=["cell", "b", "n"])
     return run
 
 
@@ -262,16 +290,17 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _scorer(wanted: int, same: bool):
     def run(b):
-        get = {c: b.column(c) for c in ("ids", "labels", "vs", "q", "ql", "qv", "w", "lo", "hi")}
+        get = {c: b.column(c) for c in ("ids", "labels", "vs", "n", "q", "ql", "qv", "w", "lo", "hi")}
         for n in range(b.num_rows):
+            asked = get["n"][n].as_py()
+            of = lambda c: [x[i] for x in [get[c][n].as_py()] for i in asked]  # noqa: B023, E731
             ids, labels = np.array(get["ids"][n].as_py()), np.array(get["labels"][n].as_py())
             order = np.argsort(ids, kind="stable")
             ids, labels = ids[order], labels[order]
-            s = _products(_matrix(get["qv"][n].as_py()), _matrix(get["vs"][n].as_py())[order])
-            fits = np.array(get["ql"][n].as_py())[:, None] == labels
+            s = _products(_matrix(of("qv")), _matrix(get["vs"][n].as_py())[order])
+            fits = np.array(of("ql"))[:, None] == labels
             fits = fits if same else ~fits
-            w, lo, hi = (get[c][n].as_py() for c in ("w", "lo", "hi"))
-            q = get["q"][n].as_py()
+            q, w, lo, hi = map(of, ("q", "w", "lo", "hi"))
             out = []
             for k in range(max(map(len, w))):
                 has = [m for m in range(len(q)) if len(w[m]) > k]
