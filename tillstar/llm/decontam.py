@@ -42,7 +42,7 @@ def _word_hashes(texts: pa.Array):
     for c in K.chunks(texts):
         c = c.lower()
         s, e, doc = c.words(K.ALNUM_WORDS)
-        yield c, c.hash_spans(s, e), doc
+        yield c, c.hash_words(s, e, K.ALNUM_WORDS), doc
 
 
 class Benchmark:

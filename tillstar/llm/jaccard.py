@@ -65,7 +65,7 @@ def shingle_sets(chunk: K.Chunk, k: int, heavy: np.ndarray | None = None):
     within each document. ``heavy``: shingles that come last, the rarest first."""
     c = chunk.lower()
     s, e, doc = c.words(K.SPACE_WORDS)
-    h, wdoc, _ = K.windows(c.hash_spans(s, e), doc, k, c.n, short=True)
+    h, wdoc, _ = K.windows(c.hash_words(s, e, K.SPACE_WORDS), doc, k, c.n, short=True)
     tok = h >> np.uint64(64 - _TOKEN_BITS)
     if heavy is not None and len(heavy):
         order = np.argsort(heavy)
