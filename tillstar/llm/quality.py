@@ -39,23 +39,26 @@ FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
             "n_upper", "n_alpha", "n_marks")
 
 
+_LINE = np.ones(256, bool)
+_LINE[10] = False
+
+
 def measure(chunk: K.Chunk) -> list[np.ndarray]:
     """The features of each document of the chunk, in the order of FEATURES."""
     n, data = chunk.n, chunk.data
     count = lambda table: _between(table[data], chunk.offsets)
     s, e, doc = chunk.words(K.SPACE_WORDS)
     n_words = np.bincount(doc, minlength=n)
-    heads = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    word_chars = K.per_doc(heads[e] - heads[s], doc, n)
+    word_chars = _between(((data & 0xC0) != 0x80) & K.SPACE_WORDS[data], chunk.offsets)
     # lines: those with a word, less the different ones
     ls, le, ldoc = chunk.lines()
     wordy = np.searchsorted(s, le) > np.searchsorted(s, ls)
     ldoc = ldoc[wordy]
-    key = K.mix(chunk.hash_spans(ls[wordy], le[wordy]) ^ K.mix(ldoc.astype(np.uint64)))
+    key = chunk.codes(ls, le, _LINE)[1][wordy] * n + ldoc
     first = np.unique(key, return_index=True)[1]
     n_dup = np.bincount(ldoc, minlength=n) - np.bincount(ldoc[first], minlength=n)
     # words in a 3-word window that occurs twice or more in its document
-    h, wdoc, pos = K.windows(chunk.hash_spans(s, e), doc, 3, n, short=False)
+    h, wdoc, pos = K.windows(K.mix(chunk.codes(s, e, K.SPACE_WORDS)[1].astype(np.uint64) + np.uint64(1)), doc, 3, n, short=False)
     cover = np.zeros(len(s) + 3, np.int64)
     if len(h):
         h = K.mix(h ^ K.mix(wdoc.astype(np.uint64)))
@@ -69,8 +72,7 @@ def measure(chunk: K.Chunk) -> list[np.ndarray]:
 
 
 def _between(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.concatenate(([0], np.cumsum(flags)))
-    return total[offsets[1:]] - total[offsets[:-1]]
+    return np.diff(np.searchsorted(np.flatnonzero(flags), offsets))
 
 
 def features(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
